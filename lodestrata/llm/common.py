@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,3 +74,32 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 def empty_where_null(texts: pa.Array) -> pa.Array:
     return pa.compute.fill_null(texts, "")
+
+
+#: Rows of a key table that may be broadcast; each is a few dozen bytes.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked(keys: DataFrame, rows: int | None = None) -> DataFrame:
+    """keys, marked for broadcast if it has few enough rows; beyond that the join shuffles."""
+    n = keys.count() if rows is None else rows
+    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, label: the smallest node of each connected component of links(a, b); every linked node is there.
+
+    Each round takes the smallest label among neighbours and then follows the label's own label, so a chain halves in
+    each round. Rounds are written to the shared folder; nothing comes to the driver but a count.
+    """
+    both = stow(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = stow(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
+        lower = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("low"))
+        lower = stow(lower)
+        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
+        fresh = stow(lower.join(jump, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed")))
+        if fresh.where("changed").isEmpty():
+            return fresh.select("node", "label")
+        labels = fresh.select("node", "label")

@@ -12,6 +12,7 @@ from .chat import collapse
 from .common import table, workers_import
 from .decontaminate import benchmark_leaks
 from .lattice import document_scores
+from .order_minhash import near_duplicates
 from .packing import pack
 from .quality import quality_verdicts
 from .tokens import token_counts
@@ -47,10 +48,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     workers_import(spark)
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op5_benchmark_leaks, op8_chat_collapse, op7_token_counts, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op5_benchmark_leaks, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL}
