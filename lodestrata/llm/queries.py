@@ -15,6 +15,7 @@ from .lattice import document_scores
 from .order_minhash import near_duplicates
 from .packing import pack
 from .quality import quality_verdicts
+from .suffixes import remove_repeats
 from .tokens import token_counts
 from .toxicity import toxicity_scores
 
@@ -39,6 +40,11 @@ def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_chat_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collapse(table(spark, sf_dir, "conversations"))
 
@@ -58,5 +64,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op5_benchmark_leaks, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL}
