@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +68,17 @@ def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.
         first = last
 
 
+def filtered(docs: DataFrame, verdicts: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of docs, with all their columns, whose verdict holds; verdicts sees chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_chunks(batch):
+                yield part.filter(pa.array(verdicts(part)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

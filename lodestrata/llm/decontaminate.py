@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import column_of, empty_where_null, keyed_text, text_chunks
+from .common import column_of, empty_where_null, filtered, keyed_text, text_chunks
 
 SEED_WORDS = 3
 #: An n-gram in at most so many documents is rare for any item; else within this factor of the item's lower quartile.
@@ -141,34 +141,58 @@ def _document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     return {r.gram % (1 << 64): r.n for r in rows}
 
 
-def _block_leaks(docs: DataFrame, block: Block) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(block)
+def _found(block: Block, part: pa.RecordBatch) -> Iterator[tuple[int, int, float, int, int]]:
+    """(row of the chunk, item, score, end word, seeds)."""
+    hashes, at = word_hashes(W.Texts.of(pa.compute.utf8_lower(empty_where_null(column_of(part, "text")))))
+    by_doc: dict[int, list[tuple[int, int]]] = {}
+    for d, place, seed in _hits(block, hashes, at):
+        by_doc.setdefault(d, []).append((place, seed))
+    for d, hits in by_doc.items():
+        for leak in _leaks(block, hashes[at[d] : at[d + 1]], hits):
+            yield d, *leak
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                hashes, at = word_hashes(W.Texts.of(pa.compute.utf8_lower(empty_where_null(column_of(part, "text")))))
-                by_doc: dict[int, list[tuple[int, int]]] = {}
-                for d, place, seed in _hits(held.value, hashes, at):
-                    by_doc.setdefault(d, []).append((place, seed))
-                ids = column_of(part, "doc_id").to_pylist()
-                rows = [(ids[d], held.value.ids[i], score, end, seeds) for d, hits in by_doc.items() for i, score, end, seeds in _leaks(held.value, hashes[at[d] : at[d + 1]], hits)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc_id", "item_id", "score", "end_word", "n_seeds"])
 
-    return docs.mapInArrow(run, "doc_id long, item_id long, score double, end_word long, n_seeds long")
-
-
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document and item that it holds a copy of: doc_id, item_id, score (of 1), end_word, n_seeds."""
-    docs = keyed_text(docs)
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[Block]:
+    """The benchmark in blocks with their seeds."""
     items = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), benchmark["text"].cast("string").alias("text")).where("text is not null").distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks, out = 1 + size // block_bytes, None
+    blocks = 1 + size // block_bytes
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         block = Block([r.item_id for r in rows], [r.text for r in rows])
         block.set(range(len(rows)), _document_counts(docs, block))
-        found = _block_leaks(docs, block)
+        yield block
+
+
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document and item that it holds a copy of: doc_id, item_id, score (of 1), end_word, n_seeds."""
+    docs, out = keyed_text(docs), None
+    for block in _blocks(docs, benchmark, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in text_chunks(batch):
+                    ids = column_of(part, "doc_id").to_pylist()
+                    rows = [(ids[d], held.value.ids[i], score, end, seeds) for d, i, score, end, seeds in _found(held.value, part)]
+                    kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc_id", "item_id", "score", "end_word", "n_seeds"])
+
+        found = docs.mapInArrow(run, "doc_id long, item_id long, score double, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that hold a copy of an item."""
+    out = docs
+    for block in _blocks(keyed_text(docs), benchmark, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def verdicts(part: pa.RecordBatch, held=held) -> np.ndarray:
+            clean = np.ones(len(part), bool)
+            clean[[d for d, *_ in _found(held.value, part)]] = False
+            return clean
+
+        out = filtered(out, verdicts)
+    return out

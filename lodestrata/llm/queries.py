@@ -14,6 +14,7 @@ from .decontaminate import benchmark_leaks
 from .lattice import document_scores
 from .order_minhash import near_duplicates
 from .packing import pack
+from .passages import repeated_passages
 from .quality import quality_verdicts
 from .suffixes import remove_repeats
 from .tokens import token_counts
@@ -35,6 +36,11 @@ def op3_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_scores(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     workers_import(spark)
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -64,5 +70,5 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op4_compact_windows, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
 ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL}

@@ -29,14 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import column_of, empty_where_null, keyed_text, stow, text_chunks
+from .chunks import bucket_count, bucket_of, chunk_rows, ids_of, marked, numbered, opened, slices
+from .common import column_of, empty_where_null, stow, text_chunks
 
 LENGTH, GRAM = 50, 16
-#: Bytes of text for each bucket of anchors, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
 _LOW = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
-_LAST = np.iinfo(np.int64).max
 NOTHING, SETTLED, SEND = 0, 1, 2
 
 
@@ -87,22 +85,7 @@ class Chunk:
         self.entry[order] = np.cumsum(fresh) - 1
 
     def buckets(self, n: int) -> np.ndarray:
-        return _bucket(self.key, n)
-
-
-def _bucket(key: np.ndarray, n: int) -> np.ndarray:
-    return (((key >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
-
-
-def _slices(buckets: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    if not len(buckets):
-        return
-    edges = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
-    yield from zip(buckets[edges].tolist(), edges.tolist(), np.append(edges[1:], len(buckets)).tolist(), strict=True)
-
-
-def _ids(column: pa.Array) -> np.ndarray:
-    return np.asarray(pa.compute.fill_null(column, _LAST), np.int64)
+        return bucket_of(self.key, n)
 
 
 def _packed(key: np.ndarray, block: np.ndarray, doc: np.ndarray, base: int) -> bytes:
@@ -118,28 +101,15 @@ def _unpacked(n: int, base: int, data: bytes) -> tuple[np.ndarray, np.ndarray, n
     return np.frombuffer(data, "<u4", n), block, doc
 
 
-def _texts(rows: DataFrame) -> DataFrame:
-    """chunk, ids, sizes, body: the chunks of documents, compressed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch):
-                texts = W.Texts.of(empty_where_null(column_of(part, "text")))
-                body = zstandard.ZstdCompressor(level=3).compress(texts.data.tobytes())
-                yield pa.RecordBatch.from_arrays([column_of(part, "row")[:1], pa.array([column_of(part, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(texts.at).tolist()], pa.list_(pa.int64())), pa.array([body], pa.binary())], ["chunk", "ids", "sizes", "body"])
-
-    return rows.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, body binary")
-
-
 def _entries(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """bucket, chunk, n, base, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
-                c = Chunk(W.Texts.of(empty_where_null(column_of(part, "text"))), _ids(column_of(part, "doc_id")), length, gram)
+                c = Chunk(W.Texts.of(empty_where_null(column_of(part, "text"))), ids_of(column_of(part, "doc_id")), length, gram)
                 chunk, base = column_of(part, "row")[0].as_py(), int(c.least.min()) if len(c.least) else 0
-                out = [(b, chunk, j - i, base, _packed(c.key[i:j], c.block[i:j], c.least[i:j], base)) for b, i, j in _slices(c.buckets(buckets))]
+                out = [(b, chunk, j - i, base, _packed(c.key[i:j], c.block[i:j], c.least[i:j], base)) for b, i, j in slices(c.buckets(buckets))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "n", "base", "data"])
 
     return rows.mapInArrow(run, "bucket long, chunk long, n long, base long, data binary")
@@ -163,23 +133,6 @@ def _settle(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "codes": pa.array([zstandard.ZstdCompressor(level=1).compress(codes[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
 
-def _opened(ids: list, sizes: list, body: bytes) -> tuple[W.Texts, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
-    return W.Texts(data, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), np.array([_LAST if i is None else i for i in ids], np.int64)
-
-
-def _runs(covered: np.ndarray, texts: W.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    starts, ends, at = texts.tokens(covered)
-    return starts, ends, at
-
-
-def _marked(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    step = np.zeros(n + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.cumsum(step[:-1]) > 0
-
-
 _SPAN = np.dtype([("row", "<u4"), ("start", "<i8"), ("end", "<i8")])
 _SENT = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<i8"), ("size", "<u2")])
 
@@ -190,12 +143,12 @@ def _answers(coded: DataFrame, buckets: int, length: int, gram: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                texts, ids = _opened(r["ids"], r["sizes"], r["body"])
+                texts, ids = opened(r["ids"], r["sizes"], r["body"])
                 c = Chunk(texts, ids, length, gram)
                 codes = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["codes"]) for x in sorted(r["answers"], key=lambda x: x["bucket"])), np.uint8)
                 code = codes[c.entry]
                 gone = (code == SETTLED) | (c.doc > c.least[c.entry])
-                starts, ends, at = _runs(_marked(len(texts.data), c.first[gone], c.last[gone] + length), texts)
+                starts, ends, at = texts.tokens(marked(len(texts.data), c.first[gone], c.last[gone] + length))
                 spans = np.empty(len(starts), _SPAN)
                 spans["row"] = W.owner(at)
                 spans["start"], spans["end"] = starts - texts.at[spans["row"]], ends - texts.at[spans["row"]]
@@ -205,7 +158,7 @@ def _answers(coded: DataFrame, buckets: int, length: int, gram: int) -> DataFram
                 heads = np.empty(len(sent), _SENT)
                 heads["doc"], heads["row"], heads["start"] = c.doc[sent], c.row[sent], c.first[sent] - texts.at[c.row[sent]]
                 heads["size"] = c.last[sent] + length - c.first[sent]
-                for b, i, j in _slices(_bucket(c.key[c.entry[sent]], buckets)):
+                for b, i, j in slices(bucket_of(c.key[c.entry[sent]], buckets)):
                     out.append((b, r["chunk"], heads[i:j].tobytes(), b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))))
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "heads", "data"])
 
@@ -259,7 +212,7 @@ def _compare(length: int):
         spans["row"], spans["start"], spans["end"] = head["row"][block], head["start"][block] + low, head["start"][block] + high + length
         chunk = np.repeat(np.arange(len(heads)), [len(x) for x in heads])[block]
         order = np.argsort(chunk, kind="stable")
-        out = [(rows["chunk"][k], spans[order[i:j]].tobytes()) for k, i, j in _slices(chunk[order])]
+        out = [(rows["chunk"][k], spans[order[i:j]].tobytes()) for k, i, j in slices(chunk[order])]
         return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "heads": pa.array([o[1] for o in out], pa.binary())})
 
     return run
@@ -269,11 +222,11 @@ def _cut(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                texts, _ = _opened(r["ids"], r["sizes"], r["body"])
+                texts, _ = opened(r["ids"], r["sizes"], r["body"])
                 spans = np.frombuffer(b"".join(r["spans"] or []), _SPAN)
                 base = texts.at[spans["row"]]
-                covered = _marked(len(texts.data), base + spans["start"], base + spans["end"])
-                _, _, at = _runs(covered, texts)
+                covered = marked(len(texts.data), base + spans["start"], base + spans["end"])
+                _, _, at = texts.tokens(covered)
                 kept, bounds = texts.data[~covered], texts.at - np.concatenate([[0], np.cumsum(covered)])[texts.at]
                 shas = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 texts_kept = [kept[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
@@ -284,12 +237,11 @@ def _cut(joined: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    rows = keyed_text(docs).withColumn("row", F.monotonically_increasing_id())
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    buckets = max(LEAST_BUCKETS, size // BUCKET_BYTES)
+    rows = numbered(docs)
+    buckets = bucket_count(rows)
     codes = _entries(rows, buckets, length, gram).groupBy("bucket").applyInArrow(_settle, "chunk long, bucket long, codes binary")
     answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
-    texts = _texts(rows)
+    texts = chunk_rows(rows)
     found = stow(_answers(texts.join(answers, "chunk"), buckets, length, gram))
     by_block = found.where("bucket is null").select("chunk", "heads")
     by_window = found.where("bucket is not null").groupBy("bucket").applyInArrow(_compare(length), "chunk long, heads binary")
