@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Capability bits, tracking states, mesh labels and stream order.
-CAPABILITIES = {0x01: "pose", 0x02: "camera_frame", 0x04: "scene_depth", 0x08: "mesh", 0x10: "lidar"}
-TRACKING = {0: "not_available", 1: "limited", 2: "normal"}
+#: Capability bits, tracking states, mesh labels, sensor models and health, stream order.
+CAPABILITIES = {1: "scene-reconstruction", 2: "scene-depth", 4: "camera-frames"}
+TRACKING = {0: "unavailable", 1: "limited", 2: "normal"}
 MESH_LABELS = {0: "none", 1: "wall", 2: "floor", 3: "ceiling", 4: "table", 5: "seat", 6: "window", 7: "door"}
+SENSOR_MODELS = {0x18: "A1", 0x28: "A2", 0x41: "C1"}
+SENSOR_HEALTH = {0: "Good", 1: "Warning", 2: "Error"}
 STREAMS = {0: "POSE", 1: "LIDAR", 2: "FRAME", 3: "DEPTH", 4: "MESH"}
 UNLABELLED = 255
 

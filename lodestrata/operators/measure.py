@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.geometry import turned
 from .graph import components
 from .robust import concentration, height_share, histogram, peaks
-from .spatial import height_band
 
 YAW_STEP, YAW_BIN = 0.25, 0.02
 WALL_LOW, WALL_HIGH, WALL_BIN, WALL_SHARE = -0.45, 0.25, 0.01, 0.04
@@ -22,9 +21,16 @@ def yaw_scores(points: DataFrame, keys: list[str], x: str, z: str, step: float =
     """keys, k, score: how concentrated both axes' histograms are when turned back by k * step degrees, k * step in [0, 90)."""
     turns = points.sparkSession.range(int(round(90 / step))).withColumnRenamed("id", "k")
     a, b = turned(F.col(x), F.col(z), -F.radians(F.col("k") * step))
-    both = points.crossJoin(F.broadcast(turns)).select(*keys, "k", F.explode(F.array(F.struct(F.lit(0).alias("axis"), a.alias("v")), F.struct(F.lit(1).alias("axis"), b.alias("v")))).alias("s")).select(*keys, "k", "s.axis", "s.v")
-    shares = concentration(histogram(both, [*keys, "k", "axis"], "v", width), [*keys, "k", "axis"])
-    return shares.groupBy(*keys, "k").agg(F.sum("concentration").alias("score"))
+    both = points.select(*keys, x, z).crossJoin(F.broadcast(turns)).select(*keys, "k", a.alias("a"), b.alias("b"))
+    low = both.groupBy(*keys, "k").agg(F.min("a").alias("la"), F.min("b").alias("lb"), F.max("a").alias("ha"), F.max("b").alias("hb"))  # few rows for each key and turn
+    placed = both.join(F.broadcast(low), [*keys, "k"])
+    bins = lambda v: F.least(F.floor((F.col(v) - F.col(f"l{v}")) / width), F.greatest(F.ceil((F.col(f"h{v}") - F.col(f"l{v}")) / width), F.lit(1)) - 1)
+    scores = None
+    for v in "ab":  # counts are combined before they are shuffled
+        part = placed.groupBy(*keys, "k", bins(v).alias("bin")).agg(F.count("*").alias("n"))
+        share = concentration(part, [*keys, "k"])
+        scores = share if scores is None else scores.unionByName(share)
+    return scores.groupBy(*keys, "k").agg(F.sum("concentration").alias("score"))
 
 
 def manhattan_yaw(points: DataFrame, keys: list[str], x: str, z: str, step: float = YAW_STEP, width: float = YAW_BIN) -> DataFrame:
@@ -85,5 +91,3 @@ def measure_doors(points: DataFrame, yaw: DataFrame) -> DataFrame:
     rows = F.explode(F.array(F.struct(F.lit("door width").alias("name"), F.col("width").alias("value_m")), F.struct(F.lit("door height").alias("name"), F.col("height").alias("value_m"))))
     return doors.select(F.col("k").alias("seq"), rows.alias("r")).select("r.*", (F.col("seq") + 3).alias("seq"))
 
-
-__all__ = ["door_sizes", "height_band", "manhattan_yaw", "measure_doors", "measure_room", "wall_span", "yaw_scores"]

@@ -49,12 +49,13 @@ def nearest(points: DataFrame, key: str, axes: list[str], targets: DataFrame, ta
     return points.join(best, key, "left").select(*points.columns, *(F.col("_best")[c].alias(c) for c in columns))
 
 
-def radius_pairs(points: DataFrame, key: str, axes: list[str], radius: float) -> DataFrame:
-    """i, j, d2 for i < j no farther apart than radius: a self-join on the cells around each point."""
-    names = [f"_c{n}" for n in range(len(axes))]
-    base = points.select(F.col(key).alias("i"), *(F.col(a).alias(f"_a{n}") for n, a in enumerate(axes)), *cells(axes, radius, names))
+def radius_pairs(points: DataFrame, key: str, axes: list[str], radius: float, keys: list[str] | None = None) -> DataFrame:
+    """keys, i, j, d2 for i < j of one group, no farther apart than radius: a self-join on the cells around each point."""
+    keys, count = keys or [], range(len(axes))
+    names = [f"_c{n}" for n in count]
+    base = points.select(*keys, F.col(key).alias("i"), *(F.col(a).alias(f"_a{n}") for n, a in enumerate(axes)), *cells(axes, radius, names))
     offsets = F.explode(F.array(*(F.struct(*(F.lit(o).alias(f"o{n}") for n, o in enumerate(c))) for c in product((-1, 0, 1), repeat=len(axes)))))
-    other = points.select(F.col(key).alias("j"), *(F.col(a).alias(f"_b{n}") for n, a in enumerate(axes)), *cells(axes, radius, [f"_k{n}" for n in range(len(axes))])).withColumn("_o", offsets)
-    other = other.select("j", *(f"_b{n}" for n in range(len(axes))), *((F.col(f"_k{n}") + F.col("_o")[f"o{n}"]).alias(c) for n, c in enumerate(names)))
-    d = squared_distance([f"_a{n}" for n in range(len(axes))], [f"_b{n}" for n in range(len(axes))])
-    return base.join(other, names).where("i < j").withColumn("d2", d).where(F.col("d2") <= radius * radius).select("i", "j", "d2")
+    other = points.select(*keys, F.col(key).alias("j"), *(F.col(a).alias(f"_b{n}") for n, a in enumerate(axes)), *cells(axes, radius, [f"_k{n}" for n in count])).withColumn("_o", offsets)
+    other = other.select(*keys, "j", *(f"_b{n}" for n in count), *((F.col(f"_k{n}") + F.col("_o")[f"o{n}"]).alias(c) for n, c in enumerate(names)))
+    d = squared_distance([f"_a{n}" for n in count], [f"_b{n}" for n in count])
+    return base.join(other, [*keys, *names]).where("i < j").withColumn("d2", d).where(F.col("d2") <= radius * radius).select(*keys, "i", "j", "d2")
