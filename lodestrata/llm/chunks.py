@@ -1,6 +1,6 @@
 """Chunks of documents as units of exchange.
 
-Documents are taken in chunks of about two megabytes, the same ones in every pass over the table. A chunk sends what it
+Documents are taken in chunks of about half a megabyte, the same ones in every pass over the table. A chunk sends what it
 has to say to a bucket in one row of packed arrays, and gets its answers back by its number; texts travel compressed.
 """
 
@@ -17,14 +17,21 @@ from pyspark.sql import functions as F
 from . import words as W
 from .common import column_of, empty_where_null, keyed_text, text_chunks
 
+#: Bytes of text in a chunk; a longer single text is a chunk of its own.
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch; chunks don't span batches.
+BATCH_ROWS = 500
 #: Bytes of text for each bucket, and the least number of buckets.
-BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 64
+BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Stands for a null doc_id: larger than all others.
 LAST = np.iinfo(np.int64).max
 
+pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back between batches
+
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row; a chunk bears the number of its first row."""
+    """doc_id, text, row; a chunk bears the number of its first row. Batches to Python are kept small for memory's sake."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return keyed_text(docs).withColumn("row", F.monotonically_increasing_id())
 
 
@@ -38,7 +45,7 @@ def chunk_rows(rows: DataFrame, number: str = "row", rest: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, CHUNK_BYTES):
                 texts = W.Texts.of(empty_where_null(column_of(part, "text")))
                 body = zstandard.ZstdCompressor(level=3).compress(texts.data.tobytes())
                 sink = pa.BufferOutputStream()
