@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .chunks import bucket_count, bucket_of, chunk_rows, ids_of, marked, numbered, opened, slices
+from .chunks import CHUNK_BYTES, bucket_count, bucket_of, chunk_rows, ids_of, marked, numbered, opened, slices
 from .common import column_of, empty_where_null, stow, text_chunks
 
 LENGTH, GRAM = 50, 16
@@ -50,9 +50,9 @@ def _anchors(texts: W.Texts, prefix: np.ndarray, length: int, gram: int) -> tupl
         if not len(s):
             continue
         high = min(n, low + _SEGMENT + length)
-        at = np.arange(low, high - gram + 1)
-        grams = W.span_hashes(prefix, at, at + gram)
-        least = grams & ~_LOW | np.arange(len(grams), dtype=np.uint64)  # ties go to the left
+        grams = W.rolling_hashes(prefix, low, high, gram)
+        least = grams & ~_LOW
+        least |= np.arange(len(grams), dtype=np.uint64)  # ties go to the left
         width = 1
         while width * 2 <= span:
             least = np.minimum(least[:-width], least[width:])
@@ -106,7 +106,7 @@ def _entries(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_chunks(batch):
+            for part in text_chunks(batch, CHUNK_BYTES):
                 c = Chunk(W.Texts.of(empty_where_null(column_of(part, "text"))), ids_of(column_of(part, "doc_id")), length, gram)
                 chunk, base = column_of(part, "row")[0].as_py(), int(c.least.min()) if len(c.least) else 0
                 out = [(b, chunk, j - i, base, _packed(c.key[i:j], c.block[i:j], c.least[i:j], base)) for b, i, j in slices(c.buckets(buckets))]

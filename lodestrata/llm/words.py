@@ -84,6 +84,15 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * _power("down", len(prefix))[starts] + lengths * np.uint64(0xD6E8FEB86659FD93))
 
 
+def rolling_hashes(prefix: np.ndarray, low: int, high: int, length: int) -> np.ndarray:
+    """span_hashes of all spans of a length within [low, high), without index arrays."""
+    n = max(high - low - length + 1, 0)
+    out = prefix[low + length : low + length + n] - prefix[low : low + n]
+    out *= _power("down", len(prefix))[low : low + n]
+    out += np.uint64(length * 0xD6E8FEB86659FD93 % (1 << 64))
+    return mix(out)
+
+
 def grams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all n consecutive word hashes within a document; bounds of each document in them."""
     counts = np.maximum(np.diff(at) - (n - 1), 0)
