@@ -6,6 +6,7 @@ has to say to a bucket in one row of packed arrays, and gets its answers back by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import column_of, empty_where_null, keyed_text, text_chunks
+from .common import column_of, empty_where_null, keyed_text, stow, text_chunks
 
 #: Bytes of text in a chunk; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
@@ -29,10 +30,17 @@ LAST = np.iinfo(np.int64).max
 pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back between batches
 
 
+def steady(docs: DataFrame) -> DataFrame:
+    """docs as something that gives the same rows in the same order each time: plain scans of files do; the rest is stowed."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for m in map(re.compile(r"[\s:+|-]*(\w+)").match, plan.splitlines()) if m}
+    return docs if nodes <= {"Project", "Filter", "Relation", "RelationV2"} else stow(docs)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """doc_id, text, row; a chunk bears the number of its first row. Batches to Python are kept small for memory's sake."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return keyed_text(docs).withColumn("row", F.monotonically_increasing_id())
+    return keyed_text(steady(docs)).withColumn("row", F.monotonically_increasing_id())
 
 
 def bucket_count(rows: DataFrame) -> int:
