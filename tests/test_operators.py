@@ -10,7 +10,7 @@ from lodestrata.functions import geometry as G
 from lodestrata.operators import robust, spatial, temporal
 from lodestrata.operators.graph import components, reachable
 
-FEW = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 
 
 @FEW
@@ -86,10 +86,10 @@ def test_components(spark, edges):
 
 
 def test_peaks_and_histogram(spark):
-    rows = [(v,) for v in [0.005] * 10 + [0.015] * 30 + [0.055] * 40 + [0.1]]
-    bins = robust.histogram(spark.createDataFrame(rows, "v double"), [], "v", 0.01)
+    rows = [(v,) for v in [0.5] * 10 + [1.5] * 30 + [5.5] * 40 + [10.0]]
+    bins = robust.histogram(spark.createDataFrame(rows, "v double"), [], "v", 1.0)
     assert bins.agg(F.sum("n")).first()[0] == 81 and bins.count() == 10
-    got = robust.peaks(bins, [], 0.01, 0.2).orderBy("peak").collect()
+    got = robust.peaks(bins, [], 1.0, 0.2).orderBy("peak").collect()
     assert [(r.first_bin, r.last_bin, r.mass) for r in got] == [(0, 1, 40), (5, 5, 40)]
 
 

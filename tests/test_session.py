@@ -114,13 +114,13 @@ def test_flat_wall_depth(spark):
 
 
 def test_mesh_revisions_and_label_radius(spark):
-    shift = [1.0, 0, 0, 0, 0, 1.0, 0, 0, 0, 0, 1.0, 0, 10.0, 0.0, 0.0, 1.0]
+    shift = [1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 10.0, 0.0, 0.0, 1.0]
     tri = [0.0, 0.0, 0.0, 3.0, 0.0, 0.0, 0.0, 3.0, 0.0]
     rows = [("s1", k, 0, 0, anchor, shift, tri, [0, 1, 2, 0, 2, 1], [label]) for k, (anchor, label) in enumerate([("a", 1), ("b", 2), ("a", 7)])]
     mesh = meshes.faces(spark.createDataFrame(rows, schemas.MESH))
     assert sorted((r.anchor_id, r.face, r.label) for r in mesh.collect()) == [("a", 0, 7), ("b", 0, 2)]
     assert abs(mesh.first().cx - 11) < 1e-9 and abs(mesh.first().area - 4.5) < 1e-9
-    points = spark.createDataFrame([(k, 11.0, 1.0 + d, 0.0) for k, d in enumerate((0.19, 0.20, 0.21))], "point long, x double, y double, z double")
+    points = spark.createDataFrame([(k, 11.0, 1.0, d) for k, d in enumerate((0.19, 0.20, 0.21))], "point long, x double, y double, z double")
     assert [r.label for r in meshes.label_points(points, "point", mesh.where("anchor_id = 'a'")).orderBy("point").collect()] == [7, 255, 255]
     assert meshes.faces(spark.createDataFrame([], schemas.MESH)).count() == 0
 
