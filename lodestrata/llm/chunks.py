@@ -27,7 +27,12 @@ BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Stands for a null doc_id: larger than all others.
 LAST = np.iinfo(np.int64).max
 
-pa.set_memory_pool(pa.system_memory_pool())  # which gives memory back between batches
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one, so that of a batch of chunks only one is held twice."""
+    for batch in batches:
+        for k in range(len(batch)):
+            yield batch.slice(k, 1).to_pylist()[0]
 
 
 def steady(docs: DataFrame) -> DataFrame:

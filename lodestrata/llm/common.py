@@ -1,24 +1,32 @@
-"""Helpers that the operators share: table access, shared-folder tables, worker paths and text chunks."""
+"""Helpers that the operators share: worker paths and memory, text chunks, and what the rest of the package has for tables."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
+from ..sources.tables import checked, stow, table, workers_import
+
 #: Bytes of text that the array code works on at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def give_back() -> None:
+    """Have large arrays mapped, so that workers give their memory back as soon as an array goes."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has this
+        ctypes.CDLL(None).mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+
+
+give_back()
 
 
 def keyed_text(docs: DataFrame) -> DataFrame:
@@ -26,31 +34,6 @@ def keyed_text(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; a local one only where that is unset, as in tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/lodestrata-shared-{os.getpid()}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def stow(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses nothing of it."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stowed/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def workers_import(spark: SparkSession) -> None:
-    """Let local Python workers import this package when it isn't installed; clusters ship it with --py-files."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def remainder_of_id(doc_id, modulus: int):
     """crc32 of the id written as text, modulo: fixes the held-out rows."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
@@ -87,30 +70,4 @@ def empty_where_null(texts: pa.Array) -> pa.Array:
     return pa.compute.fill_null(texts, "")
 
 
-#: Rows of a key table that may be broadcast; each is a few dozen bytes.
-BROADCAST_ROWS = 1_000_000
-
-
-def checked(keys: DataFrame, rows: int | None = None) -> DataFrame:
-    """keys, marked for broadcast if it has few enough rows; beyond that the join shuffles."""
-    n = keys.count() if rows is None else rows
-    return F.broadcast(keys) if n <= BROADCAST_ROWS else keys
-
-
-def components(links: DataFrame) -> DataFrame:
-    """node, label: the smallest node of each connected component of links(a, b); every linked node is there.
-
-    Each round takes the smallest label among neighbours and then follows the label's own label, so a chain halves in
-    each round. Rounds are written to the shared folder; nothing comes to the driver but a count.
-    """
-    both = stow(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = stow(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("node")).agg(F.min("other").alias("other"))
-        lower = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("low"))
-        lower = stow(lower)
-        jump = lower.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        fresh = stow(lower.join(jump, "low").select("node", F.least("low", "far").alias("label"), (F.least("low", "far") != F.col("label")).alias("changed")))
-        if fresh.where("changed").isEmpty():
-            return fresh.select("node", "label")
-        labels = fresh.select("node", "label")
+__all__ = ["checked", "column_of", "components", "empty_where_null", "filtered", "give_back", "keyed_text", "remainder_of_id", "stow", "table", "text_chunks", "workers_import"]

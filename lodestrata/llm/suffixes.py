@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .chunks import CHUNK_BYTES, bucket_count, bucket_of, chunk_rows, ids_of, marked, numbered, opened, slices
+from .chunks import CHUNK_BYTES, bucket_count, bucket_of, chunk_rows, each_row, ids_of, marked, numbered, opened, slices
 from .common import column_of, empty_where_null, stow, text_chunks
 
 LENGTH, GRAM = 50, 16
+#: Buckets of sent bytes for each bucket of entries: a byte sent stands for a window of many numbers.
+FINER = 8
 _LOW = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
 NOTHING, SETTLED, SEND = 0, 1, 2
@@ -141,26 +143,25 @@ def _answers(coded: DataFrame, buckets: int, length: int, gram: int) -> DataFram
     """Rows with bucket null: chunk and its spans settled by block; others: bucket, chunk, heads and bytes of the blocks that it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                texts, ids = opened(r["ids"], r["sizes"], r["body"])
-                c = Chunk(texts, ids, length, gram)
-                codes = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["codes"]) for x in sorted(r["answers"], key=lambda x: x["bucket"])), np.uint8)
-                code = codes[c.entry]
-                gone = (code == SETTLED) | (c.doc > c.least[c.entry])
-                starts, ends, at = texts.tokens(marked(len(texts.data), c.first[gone], c.last[gone] + length))
-                spans = np.empty(len(starts), _SPAN)
-                spans["row"] = W.owner(at)
-                spans["start"], spans["end"] = starts - texts.at[spans["row"]], ends - texts.at[spans["row"]]
-                out = [(None, r["chunk"], spans.tobytes(), b"")]
-                sent = np.flatnonzero((code == SEND) & ~gone)
-                sent = sent[np.argsort(c.key[c.entry[sent]], kind="stable")]
-                heads = np.empty(len(sent), _SENT)
-                heads["doc"], heads["row"], heads["start"] = c.doc[sent], c.row[sent], c.first[sent] - texts.at[c.row[sent]]
-                heads["size"] = c.last[sent] + length - c.first[sent]
-                for b, i, j in slices(bucket_of(c.key[c.entry[sent]], buckets)):
-                    out.append((b, r["chunk"], heads[i:j].tobytes(), b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))))
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "heads", "data"])
+        for r in each_row(batches):
+            texts, ids = opened(r["ids"], r["sizes"], r["body"])
+            c = Chunk(texts, ids, length, gram)
+            codes = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["codes"]) for x in sorted(r["answers"], key=lambda x: x["bucket"])), np.uint8)
+            code = codes[c.entry]
+            gone = (code == SETTLED) | (c.doc > c.least[c.entry])
+            starts, ends, at = texts.tokens(marked(len(texts.data), c.first[gone], c.last[gone] + length))
+            spans = np.empty(len(starts), _SPAN)
+            spans["row"] = W.owner(at)
+            spans["start"], spans["end"] = starts - texts.at[spans["row"]], ends - texts.at[spans["row"]]
+            out = [(None, r["chunk"], spans.tobytes(), b"")]
+            sent = np.flatnonzero((code == SEND) & ~gone)
+            sent = sent[np.argsort(c.key[c.entry[sent]], kind="stable")]
+            heads = np.empty(len(sent), _SENT)
+            heads["doc"], heads["row"], heads["start"] = c.doc[sent], c.row[sent], c.first[sent] - texts.at[c.row[sent]]
+            heads["size"] = c.last[sent] + length - c.first[sent]
+            for b, i, j in slices(bucket_of(c.key[c.entry[sent]], buckets * FINER)):
+                out.append((b, r["chunk"], heads[i:j].tobytes(), b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "heads", "data"])
 
     return coded.mapInArrow(run, "bucket long, chunk long, heads binary, data binary")
 
@@ -220,17 +221,16 @@ def _compare(length: int):
 
 def _cut(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                texts, _ = opened(r["ids"], r["sizes"], r["body"])
-                spans = np.frombuffer(b"".join(r["spans"] or []), _SPAN)
-                base = texts.at[spans["row"]]
-                covered = marked(len(texts.data), base + spans["start"], base + spans["end"])
-                _, _, at = texts.tokens(covered)
-                kept, bounds = texts.data[~covered], texts.at - np.concatenate([[0], np.cumsum(covered)])[texts.at]
-                shas = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                texts_kept = [kept[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(texts.at)), pa.array(W.sums(covered, texts.at)), pa.array(np.diff(at).astype(np.int64)), pa.array(shas), pa.array(texts_kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        for r in each_row(batches):
+            texts, _ = opened(r["ids"], r["sizes"], r["body"])
+            spans = np.frombuffer(b"".join(r["spans"] or []), _SPAN)
+            base = texts.at[spans["row"]]
+            covered = marked(len(texts.data), base + spans["start"], base + spans["end"])
+            _, _, at = texts.tokens(covered)
+            kept, bounds = texts.data[~covered], texts.at - np.concatenate([[0], np.cumsum(covered)])[texts.at]
+            shas = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            texts_kept = [kept[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(texts.at)), pa.array(W.sums(covered, texts.at)), pa.array(np.diff(at).astype(np.int64)), pa.array(shas), pa.array(texts_kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
