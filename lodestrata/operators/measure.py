@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import turned
+from ..sources.tables import stow
 from .graph import components
 from .robust import concentration, height_share, histogram, peaks
 
@@ -67,10 +68,11 @@ def measure_room(points: DataFrame) -> DataFrame:
     The room's direction is found on the wall band; heights are between the floor's and the ceiling's median where both are
     labelled, else between the 1st and the 99th percentile.
     """
-    keys = ["source"]
+    keys, points = ["source"], stow(points)  # read several times
     bands = height_share(points, keys, "y", WALL_LOW, WALL_HIGH)
     yaw = manhattan_yaw(bands, keys, "x", "z")
     a, b = turned(F.col("x"), F.col("z"), -F.radians("yaw_deg"))
+    yaw = stow(yaw)
     straight = bands.join(F.broadcast(yaw), keys).select("source", a.alias("a"), b.alias("b"))
     spans = [wall_span(straight, keys, axis).select("source", F.lit(f"wall span {axis.upper()}").alias("name"), F.col("span").alias("value_m"), F.lit(i).alias("seq")) for i, axis in ((1, "a"), (2, "b"))]
     level = lambda code: F.when(F.count_if(F.col("label") == code) > LEAST_LABELLED, F.median(F.when(F.col("label") == code, F.col("y"))))

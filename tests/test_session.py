@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -56,6 +57,7 @@ def test_odometry_alone_changes_nothing(session):
     assert same.agg(F.max(F.abs(F.col("px") - F.col("ox")))).first()[0] < 1e-6
 
 
+@pytest.mark.skipif("LODESTRATA_SLOW" not in os.environ, reason="takes minutes")
 def test_loops_reduce_drift(spark):
     s = recording(spark, drift=0.004)
     loops = fusion.loop_edges(s.scans)
