@@ -3,10 +3,11 @@
 The k-mers of a text are its five-word shingles, each labelled with how often it has occurred before, so repeats count.
 For each of several hash functions a sketch takes the three k-mers of least hash and keeps them in text order; two texts
 share such a key the likelier the smaller their edit distance, and reordered texts share few. Exact copies fall together
-by digest first. The texts of a key are compared with one representative, picked anew for each key; those that it doesn't
-match meet another representative in the next round, so no key ever makes all pairs. A pair is a link if its shingle sets
-have a Jaccard similarity of 0.8 or more and a banded alignment of its words needs edits for at most a fifth of them.
-Classes are the connected components of the links.
+by digest first. The texts of a key are compared with one representative, then with more of them from round to round, until
+all texts of the key are in one class or have met; texts that are in one class by other links needn't meet. Counts of
+shingles in bins rule out most pairs of unlike texts without their words. A pair is a link if its shingle sets have a Jaccard
+similarity of 0.8 or more and a banded alignment of its words needs edits for at most a fifth of them. Classes are the
+connected components of the links.
 
 Null text counts as empty. Texts of one to four words have one shingle of all words; texts without words are in a class
 only with exact copies of theirs. A class bears its smallest doc_id (null where all are null). Repeated rows are copies
@@ -26,8 +27,10 @@ from . import words as W
 from .common import checked, column_of, components, empty_where_null, keyed_text, stow, text_chunks
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Hash functions, k-mers kept by each, and rounds of representatives.
-FUNCTIONS, KEPT, ROUNDS = 12, 3, 3
+#: Hash functions, and k-mers kept by each.
+FUNCTIONS, KEPT = 12, 3
+#: Bins that a text's different shingles are counted in, growth of a key's heads from round to round, members of a key in a slice.
+BINS, MORE_HEADS, SLICE_ROWS = 256, 8, 4096
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(1, 1 << 63, KEPT + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -63,6 +66,12 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return W.mix((kept * _PLACE[:n]).sum(axis=1, dtype=np.uint64) + np.arange(FUNCTIONS, dtype=np.uint64) * _PLACE[KEPT])
 
 
+def bins(grams: np.ndarray) -> tuple[bytes, int]:
+    """Different shingles in each bin, at most 255, and how many there are."""
+    different = np.unique(grams)
+    return np.minimum(np.bincount((different >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes(), len(different)
+
+
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     texts = W.Texts.of(empty_where_null(column))
     starts, ends, at = texts.words()
@@ -70,16 +79,18 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, keys; one pass, no shuffle."""
+    """doc_id, digest, keys, bins, size; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 hashes, at = _hashed(column_of(part, "text"))
-                keys = [sketch(shingles(hashes[at[i] : at[i + 1]])).view(np.int64) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "digest"), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "keys"])
+                grams = [shingles(hashes[at[i] : at[i + 1]]) for i in range(len(part))]
+                keys, counts = [sketch(g).view(np.int64) for g in grams], [bins(g) for g in grams]
+                found = pa.array(keys, pa.list_(pa.int64())), pa.array([c for c, _ in counts], pa.binary()), pa.array([n for _, n in counts], pa.int64())
+                yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "digest"), *found], ["doc_id", "digest", "keys", "bins", "size"])
 
-    return digested(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return digested(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>, bins binary, size long")
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -164,27 +175,63 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
 
 
+def _possible(pairs: DataFrame) -> DataFrame:
+    """a, b: pairs without those whose bins alone show that too few shingles agree; exact, no link is lost."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left, right = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("left_bins", "right_bins"))
+            apart = np.abs(left - right).sum(axis=1, dtype=np.int64)  # at most the shingles that one text alone has
+            sizes = [np.asarray(column_of(batch, c), np.int64) for c in ("left_size", "right_size")]
+            both = (sizes[0] + sizes[1] - np.maximum(apart, np.abs(sizes[0] - sizes[1]))) / 2
+            good = pa.array(both >= SIMILARITY * (sizes[0] + sizes[1] - both) - 1e-6)
+            yield pa.RecordBatch.from_arrays([column_of(batch, "a").filter(good), column_of(batch, "b").filter(good)], ["a", "b"])
+
+    return pairs.select("a", "b", "left_bins", "right_bins", "left_size", "right_size").mapInArrow(run, "a binary, b binary")
+
+
 def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """a, b: digests of similar texts, enough of them to connect each class; None if no key is shared."""
+    """a, b: digests of similar texts, enough of them to connect each class; None if no key is shared.
+
+    Heads leave a key once they have met all its members of other classes; the members stay, matched or not, and go on
+    with more heads until a key's members are of one class or have all met.
+    """
     spread = nodes.select("digest", F.explode("keys").alias("key"))
-    shared = stow(spread.groupBy("key").count().where("count > 1").select("key"))
-    members = stow(spread.join(shared, "key").select("key", "digest"))
-    found = None
-    for _ in range(ROUNDS):
-        heads = stow(members.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "digest").alias("h"), F.col("digest").alias("head"))).alias("least"), F.count("*").alias("n")).where("n > 1").select("key", F.col("least")["head"].alias("head")))
-        if heads.isEmpty():
-            break
-        met = stow(members.join(heads, "key").where("digest <> head").select("key", "digest", F.least("digest", "head").alias("a"), F.greatest("digest", "head").alias("b")))
-        good = stow(verified(met.select("a", "b").distinct(), docs))
+    shared = stow(spread.groupBy("key").count().where("count > 1"))
+    members = stow(spread.join(shared, "key"))
+    if members.isEmpty():
+        return None
+    # texts in the fullest keys are heads first: the middle of a star is in more of them than its copies
+    weights = members.groupBy("digest").agg(F.sum("count").alias("weight"))
+    members = stow(members.select("key", "digest").join(weights.join(nodes.select("digest", "bins", "size"), "digest"), "digest").withColumn("label", F.col("digest")))
+    found, seen, wanted = None, None, 1
+    while True:
+        first = F.max(F.struct("weight", F.xxhash64("key", "digest").alias("h"), "digest"))["digest"]
+        keys = members.groupBy("key").agg(F.count("*").alias("n"), first.alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+        keys = stow(keys.select("key", "n", "first"))
+        if keys.isEmpty():
+            return found
+        chance = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 20)) * F.col("n") < F.lit(wanted << 20)
+        head = (F.col("digest") == F.col("first")) | (chance if wanted > 1 else F.lit(False))
+        held = stow(members.join(checked(keys), "key").withColumn("head", head).withColumn("slices", F.expr(f"1 + n div {SLICE_ROWS}")))
+        heads = held.where("head").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("bins").alias("left_bins"), F.col("size").alias("left_size"))
+        met = held.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices"))).join(heads, ["key", "slice"]).where("label <> other_label and (not head or other < digest)")
+        possible = _possible(met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"), "left_bins", F.col("bins").alias("right_bins"), "left_size", F.col("size").alias("right_size"))).distinct()
+        possible = stow(possible if seen is None else possible.join(seen, ["a", "b"], "left_anti"))
+        seen = possible if seen is None else seen.unionByName(possible)
+        good = stow(verified(possible, docs))
         found = good if found is None else found.unionByName(good)
-        members = stow(met.join(good, ["a", "b"], "left_anti").select("key", "digest"))
-    return found
+        rest = held.where("not head").select("key", "digest", "weight", "bins", "size", "label")
+        if not good.isEmpty():
+            labels = components(found).withColumnRenamed("label", "fresh")
+            rest = rest.join(labels, rest["digest"] == labels["node"], "left").withColumn("label", F.coalesce("fresh", "label")).drop("node", "fresh")
+        members, wanted = stow(rest), wanted * MORE_HEADS
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, digest, class_id, kept (true for one document of each class)."""
     rows = stow(sketches(docs))
-    nodes = rows.groupBy("digest").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    nodes = rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("keys", "bins", "size")), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     nodes = stow(nodes)
     found = links(docs, nodes)
     if found is None:

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, decontaminate, order_minhash, passages, suffixes
 from lodestrata.llm import words as W
@@ -153,6 +154,32 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_copies_of_one_text_that_are_unlike_each_other(spark):
+    rng = random.Random(11)
+    base = corpus.sentence(rng, 300).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 151):
+        w = list(base)
+        for j in rng.sample(range(2, 298, 6), 6):
+            w[j] = f"edit{k}x{j}"
+        rows.append((k, " ".join(w)))
+    found = order_minhash.near_duplicates(corpus.table(spark, rows)).collect()
+    assert len(found) == 151 and sum(r.class_id == 0 for r in found) >= 150  # a copy shares no key with the text in 1 of 10,000 cases
+
+
+def test_every_pair_of_a_key_is_met(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):  # unlike texts in one key, each with one copy
+        w = corpus.sentence(rng, 60)
+        rows += [(2 * k, w), (2 * k + 1, w + " more")]
+    docs = corpus.table(spark, rows)
+    nodes = order_minhash.sketches(docs).withColumn("keys", F.array(F.lit(1).cast("long")))
+    found = order_minhash.links(docs, nodes).collect()
+    digest = {hashlib.md5(s.encode()).digest(): i for i, s in rows}
+    assert {tuple(sorted((digest[bytes(r.a)], digest[bytes(r.b)]))) for r in found} == {(2 * k, 2 * k + 1) for k in range(40)}
+
+
 def test_reordered_texts_are_no_copies():
     rng = random.Random(3)
     a = corpus.sentence(rng, 300).split()
