@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds that no copy can lack, then Smith-Waterman alignment.
 
 Benchmark items are broadcast in blocks of bounded size, each block against all documents, so nothing that is broadcast
 grows with the corpus, and a larger benchmark means more passes. A first pass counts in how many documents each of the
-block's word n-grams stands; an item's seeds are its rare ones, measured against the item's own usual n-gram, so an item
-that leaked everywhere keeps its seeds. In a second pass each seed in a document opens a passage around it. The words
-that passage and item share bound the alignment score from above; passages that can reach the threshold are aligned.
+block's word n-grams stands. Of an item's n-grams so many are seeds that every alignment at the threshold holds one of
+them, however many documents hold copies; the counts only say which such set is the cheapest. In a second pass each seed in
+a document opens a passage around it. The words that passage and item share bound the alignment score from above; passages
+that can reach the threshold are aligned.
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case. Null and empty texts and items match
 nothing; items with fewer words than a seed are seeds as a whole. Repeated document rows are reported one by one, repeated
@@ -25,8 +26,6 @@ from . import words as W
 from .common import column_of, empty_where_null, filtered, keyed_text, text_chunks
 
 SEED_WORDS = 3
-#: An n-gram in at most so many documents is rare for any item; else within this factor of the item's lower quartile.
-RARE_DOCUMENTS, RARE_FACTOR = 50, 4
 #: Alignment scores, and the share of an item's perfect score from which a passage counts.
 MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Bytes of benchmark text in a broadcast block.
@@ -46,27 +45,50 @@ class Block:
         self.words = [hashes[at[i] : at[i + 1]] for i in range(len(ids))]
         self.order = {}
         self.counts = [Counter(w.tolist()) for w in self.words]
+        self.sorted = [np.unique(w) for w in self.words]
         self.set(range(len(ids)), None)
 
-    def grams(self, item: int) -> list[int]:
+    def grams(self, item: int, n: int) -> list[int]:
         w = self.words[item]
-        if not len(w):
-            return []
-        return W.grams(w, np.array([0, len(w)]), min(SEED_WORDS, len(w)))[0].tolist()
+        return W.grams(w, np.array([0, len(w)]), n)[0].tolist()
 
     def set(self, items, seen: dict[int, int] | None) -> None:
-        """Take as seeds all n-grams, or those that are rare by the documents that hold them."""
+        """Take as seeds all n-grams, or the cheapest set of them that every alignment at the threshold meets."""
         self.places: dict[int, list[tuple[int, int]]] = {}
         for i in items:
-            grams = self.grams(i)
-            if not grams:
-                continue
-            most = None if seen is None else max(RARE_DOCUMENTS, RARE_FACTOR * float(np.quantile([seen.get(g, 0) for g in grams], 0.25)))
-            for k, g in enumerate(grams):
-                if seen is None or seen.get(g, 0) <= most:
-                    self.places.setdefault(g, []).append((i, k))
+            n = len(self.words[i])
+            sizes = [n] if n < SEED_WORDS else range(1, SEED_WORDS + 1)
+            grams = {g: self.grams(i, g) for g in sizes if g}
+            if seen is None or n < SEED_WORDS:
+                picked = [(g, range(len(grams[g]))) for g in grams]
+            else:
+                picked = cheapest({g: [seen.get(x, 0) for x in grams[g]] for g in grams})
+            for g, places in picked:
+                for k in places:
+                    self.places.setdefault(grams[g][k], []).append((i, k))
         self.seeds = np.array(sorted(self.places), np.uint64)
-        self.sizes = sorted({min(SEED_WORDS, len(w)) for w in self.words if len(w)})
+        self.sizes = range(1, SEED_WORDS + 1)
+
+
+def cheapest(held: dict[int, list[int]]) -> list[tuple[int, list[int]]]:
+    """(n, places of n-grams) that together meet every alignment at the threshold, from the documents that hold each n-gram.
+
+    An alignment of m matches and e errors reaches half the perfect score of n words if 2 m - e >= n, so m >= n / 2. Its
+    matches lie in at most e + 1 runs, so at least m - (g - 1) (2 m - n + 1) of the item's g-grams are whole in it. If
+    fewer than k are, m is bounded from below, and few words of the item are without a match: any more words than those,
+    with all but k - 1 of the g-grams, are met.
+    """
+    n = len(held[1])
+    order = {g: np.argsort(c, kind="stable") for g, c in held.items()}
+    sums = {g: np.concatenate([[0], np.cumsum(np.array(c)[order[g]])]) for g, c in held.items()}
+    half = -(-n // 2)
+    best = (sums[1][n - half + 1], [(1, n - half + 1)])
+    for k in range(1, n):
+        for g, least in ((2, n - k), (3, -(-(2 * n - 1 - k) // 3))):
+            grams, words = len(held[g]) - k + 1, n - max(least, half) + 1
+            if grams > 0 and (cost := sums[g][grams] + sums[1][words]) < best[0]:
+                best = cost, [(g, grams), (1, words)]
+    return [(g, order[g][:number].tolist()) for g, number in best[1]]
 
 
 def word_hashes(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -74,8 +96,8 @@ def word_hashes(texts: W.Texts) -> tuple[np.ndarray, np.ndarray]:
     return W.span_hashes(texts.prefix_hashes(), starts, ends), at
 
 
-def _hits(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(document of the chunk, word place in it, seed) wherever a seed stands."""
+def _found_seeds(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length of seeds: documents of the chunk, word places in them, numbers of the seeds that stand there."""
     for n in block.sizes:
         grams, gram_at = W.grams(hashes, at, n)
         if not len(grams) or not len(block.seeds):
@@ -83,7 +105,13 @@ def _hits(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[in
         slot = np.minimum(np.searchsorted(block.seeds, grams), len(block.seeds) - 1)
         found = np.flatnonzero(block.seeds[slot] == grams)
         docs = np.searchsorted(gram_at, found, side="right") - 1
-        yield from zip(docs.tolist(), (found - gram_at[docs]).tolist(), grams[found].tolist(), strict=True)
+        yield docs, found - gram_at[docs], slot[found]
+
+
+def _hits(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(document of the chunk, word place in it, seed) wherever a seed stands."""
+    for docs, places, slots in _found_seeds(block, hashes, at):
+        yield from zip(docs.tolist(), places.tolist(), block.seeds[slots].tolist(), strict=True)
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
@@ -108,7 +136,7 @@ def _leaks(block: Block, words: np.ndarray, hits: list[tuple[int, int]]) -> Iter
             by_item.setdefault(item, []).append(place - k)
     for item, starts in by_item.items():
         n = len(block.words[item])
-        slack, best, starts = n // 2 + 4, (0.0, 0), sorted(starts)
+        slack, best, starts, own = n + 4, (0.0, 0), sorted(starts), block.sorted[item]  # no more than n words are put in
         groups = [[starts[0], starts[0]]]
         for s in starts[1:]:
             if s - groups[-1][1] <= slack and s - groups[-1][0] <= 4 * n:
@@ -117,6 +145,9 @@ def _leaks(block: Block, words: np.ndarray, hits: list[tuple[int, int]]) -> Iter
                 groups.append([s, s])
         for first, last in groups:
             low, high = max(0, first - slack), min(len(words), last + n + slack)
+            passage = words[low:high]
+            if np.count_nonzero(own[np.minimum(np.searchsorted(own, passage), len(own) - 1)] == passage) < THRESHOLD * n:
+                continue
             shared = sum((Counter(words[low:high].tolist()) & block.counts[item]).values())
             if shared >= THRESHOLD * n:
                 score, end = align(block.words[item], words[low:high])
@@ -130,12 +161,14 @@ def _document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
     held = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
+        found = np.zeros(len(held.value.seeds), np.int64)
         for batch in batches:
             for part in text_chunks(batch):
                 hashes, at = word_hashes(W.Texts.of(pa.compute.utf8_lower(empty_where_null(column_of(part, "text")))))
-                found.update(g for _, g in {(d, g) for d, _, g in _hits(held.value, hashes, at)})
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(list(found.values()), pa.int64())], ["gram", "n"])
+                for docs, _, slots in _found_seeds(held.value, hashes, at):
+                    found += np.bincount(np.unique(docs * len(found) + slots) % len(found), minlength=len(found))
+        there = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(held.value.seeds[there].view(np.int64)), pa.array(found[there])], ["gram", "n"])
 
     rows = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r.gram % (1 << 64): r.n for r in rows}

@@ -206,6 +206,19 @@ def test_benchmark_leaks(spark):
     assert decontaminate.benchmark_leaks(docs, spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_edited_and_partial_copies_in_hundreds_of_documents(spark):
+    rng = random.Random(15)
+    items = [corpus.sentence(rng, 20) for _ in range(4)]
+    w = [x.split() for x in items]
+    edited = " ".join("changed" if j in (6, 13) else x for j, x in enumerate(w[0]))
+    third = " ".join("changed" if j % 3 == 2 else x for j, x in enumerate(w[2]))  # no three words in a row
+    spread = " ".join(f"{x} put" for x in w[3])  # no two
+    rows = [(k, corpus.sentence(rng, 25) + " " + copy + " " + corpus.sentence(rng, 25)) for k, copy in enumerate([edited] * 200 + [" ".join(w[1][:11])] * 200 + [third] * 60 + [spread] * 60)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    found = decontaminate.benchmark_leaks(corpus.table(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, 0 if k < 200 else 1 if k < 400 else 2 if k < 460 else 3) for k in range(520)}
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=16))
 def test_alignment_against_the_recurrence(item, passage):
