@@ -221,7 +221,7 @@ def sector_mask(spark, sf_dir):
 f as (select k.day, b.bin, r from k cross join b left join h on h.day = k.day and h.bin = b.bin), m as (select day, bin, coalesce(r, avg(r) over (partition by day)) as r from f), c as (select day, bin, r - avg(r) over (partition by day) as r from m),
 n as (select day, bin, r / sqrt(sum(r * r) over (partition by day)) as r from c), prev as (select a.day, lag(a.day) over (order by a.day) as before from k a),
 x as (select p.day, s.bin as shift, sum(q.r * w.r) as score from prev p cross join b s join n q on q.day = p.before join n w on w.day = p.day and w.bin = (q.bin + s.bin) % 24 where p.before is not null group by 1, 2)
-select 1 as series, day::bigint as day, (case when shift > 12 then shift - 24 else shift end) * 15.0 as step_deg from x qualify row_number() over (partition by day order by round(score, 12) desc, shift) = 1""")
+select 1 as series, day::bigint as day, (case when shift > 12 then shift - 24 else shift end) * 15.0::double as step_deg from x qualify row_number() over (partition by day order by round(score, 12) desc, shift) = 1""")
 def yaw_delta_xcorr(spark, sf_dir):
     hours = events(spark, sf_dir).groupBy(F.lit(1).alias("series"), F.floor(F.col("t") / DAY).alias("day"), F.floor(F.col("t") % DAY / HOUR).cast("int").alias("bin")).agg(F.avg("value").alias("r"))
     every = hours.select("series", "day").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(23))))
@@ -369,7 +369,7 @@ def occupancy_state(spark, sf_dir):
 
 
 @query(FOLD + """, n as (select ((ceil((x1 - x0) / 0.05) + 1) * (ceil((y1 - y0) / 0.05) + 1) * (ceil((z1 - z0) / 0.05) + 1))::bigint as total from b), s as (select count(*) filter (l > 0.9::float) as o, count(*) filter (l < (-0.9)::float) as f from e)
-select u.state, u.n as n_voxels, round(u.n * (0.05 * 0.05 * 0.05), 6) as volume from (select unnest([{'state': 'occupied', 'n': o}, {'state': 'free', 'n': f}, {'state': 'unknown', 'n': total - o - f}]) as u from s, n)""")
+select u.state, u.n as n_voxels, round(u.n * (0.05 * 0.05 * 0.05)::double, 6) as volume from (select unnest([{'state': 'occupied', 'n': o}, {'state': 'free', 'n': f}, {'state': 'unknown', 'n': total - o - f}]) as u from s, n)""")
 def occupancy_volumes(spark, sf_dir):
     return mapping.volumes(_voxels(spark, sf_dir), mapping.box(_rays(spark, sf_dir))).withColumn("volume", F.round("volume", 6))
 
