@@ -14,7 +14,6 @@ item rows once. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,21 +30,26 @@ MATCH, MISMATCH, GAP, THRESHOLD = 2, -1, -1, 0.5
 #: Bytes of benchmark text in a broadcast block.
 BLOCK_BYTES = 8 << 20
 
+_END_BITS = 20
+_END = np.uint64((1 << _END_BITS) - 1)
 _LETTERS = np.zeros(256, bool)
 _LETTERS[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 
+def lowered(texts: pa.Array) -> W.Texts:
+    """Of items and documents alike: two libraries would lower some letters differently."""
+    return W.Texts.of(pa.compute.utf8_lower(empty_where_null(texts)))
+
+
 class Block:
     """Items of a block: word hashes, and for each seed hash the items and places where it stands."""
 
     def __init__(self, ids: list[int], texts: list[str]):
-        found = W.Texts.joined([t.lower().encode() for t in texts])
+        found = lowered(pa.array(texts, pa.string()))
         hashes, at = word_hashes(found)
         self.ids = ids
         self.words = [hashes[at[i] : at[i + 1]] for i in range(len(ids))]
-        self.order = {}
-        self.counts = [Counter(w.tolist()) for w in self.words]
-        self.sorted = [np.unique(w) for w in self.words]
+        self.sorted = [np.unique(w, return_counts=True) for w in self.words]
         self.set(range(len(ids)), None)
 
     def grams(self, item: int, n: int) -> list[int]:
@@ -67,8 +71,18 @@ class Block:
                 for k in places:
                     self.places.setdefault(grams[g][k], []).append((i, k))
         self.seeds = np.array(sorted(self.places), np.uint64)
+        self.ends = np.zeros(1 << _END_BITS, bool)  # which ends of hashes the seeds have
+        self.ends[(self.seeds & _END).astype(np.int64)] = True
         self.sizes = range(1, SEED_WORDS + 1)
 
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the grams that are seeds, and the numbers of these."""
+        likely = np.flatnonzero(self.ends[(grams & _END).astype(np.int64)])
+        held = grams[likely]
+        slot = np.minimum(np.searchsorted(self.seeds, held), len(self.seeds) - 1)
+        same = self.seeds[slot] == held
+        return likely[same], slot[same]
+
 
 def cheapest(held: dict[int, list[int]]) -> list[tuple[int, list[int]]]:
     """(n, places of n-grams) that together meet every alignment at the threshold, from the documents that hold each n-gram.
@@ -102,10 +116,9 @@ def _found_seeds(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[t
         grams, gram_at = W.grams(hashes, at, n)
         if not len(grams) or not len(block.seeds):
             continue
-        slot = np.minimum(np.searchsorted(block.seeds, grams), len(block.seeds) - 1)
-        found = np.flatnonzero(block.seeds[slot] == grams)
+        found, slots = block.find(grams)
         docs = np.searchsorted(gram_at, found, side="right") - 1
-        yield docs, found - gram_at[docs], slot[found]
+        yield docs, found - gram_at[docs], slots
 
 
 def _hits(block: Block, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -136,7 +149,7 @@ def _leaks(block: Block, words: np.ndarray, hits: list[tuple[int, int]]) -> Iter
             by_item.setdefault(item, []).append(place - k)
     for item, starts in by_item.items():
         n = len(block.words[item])
-        slack, best, starts, own = n + 4, (0.0, 0), sorted(starts), block.sorted[item]  # no more than n words are put in
+        slack, best, starts, (own, times) = n + 4, (0.0, 0), sorted(starts), block.sorted[item]  # no more than n words are put in
         groups = [[starts[0], starts[0]]]
         for s in starts[1:]:
             if s - groups[-1][1] <= slack and s - groups[-1][0] <= 4 * n:
@@ -146,10 +159,10 @@ def _leaks(block: Block, words: np.ndarray, hits: list[tuple[int, int]]) -> Iter
         for first, last in groups:
             low, high = max(0, first - slack), min(len(words), last + n + slack)
             passage = words[low:high]
-            if np.count_nonzero(own[np.minimum(np.searchsorted(own, passage), len(own) - 1)] == passage) < THRESHOLD * n:
-                continue
-            shared = sum((Counter(words[low:high].tolist()) & block.counts[item]).values())
-            if shared >= THRESHOLD * n:
+            slot = np.searchsorted(own, passage)
+            slot[slot == len(own)] = 0
+            slot = slot[own[slot] == passage]
+            if len(slot) >= THRESHOLD * n and np.minimum(np.bincount(slot, minlength=len(own)), times).sum() >= THRESHOLD * n:
                 score, end = align(block.words[item], words[low:high])
                 best = max(best, (score / (MATCH * n), low + end))
         if best[0] >= THRESHOLD:
@@ -164,7 +177,7 @@ def _document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
         found = np.zeros(len(held.value.seeds), np.int64)
         for batch in batches:
             for part in text_chunks(batch):
-                hashes, at = word_hashes(W.Texts.of(pa.compute.utf8_lower(empty_where_null(column_of(part, "text")))))
+                hashes, at = word_hashes(lowered(column_of(part, "text")))
                 for docs, _, slots in _found_seeds(held.value, hashes, at):
                     found += np.bincount(np.unique(docs * len(found) + slots) % len(found), minlength=len(found))
         there = np.flatnonzero(found)
@@ -176,7 +189,7 @@ def _document_counts(docs: DataFrame, block: Block) -> dict[int, int]:
 
 def _found(block: Block, part: pa.RecordBatch) -> Iterator[tuple[int, int, float, int, int]]:
     """(row of the chunk, item, score, end word, seeds)."""
-    hashes, at = word_hashes(W.Texts.of(pa.compute.utf8_lower(empty_where_null(column_of(part, "text")))))
+    hashes, at = word_hashes(lowered(column_of(part, "text")))
     by_doc: dict[int, list[tuple[int, int]]] = {}
     for d, place, seed in _hits(block, hashes, at):
         by_doc.setdefault(d, []).append((place, seed))
