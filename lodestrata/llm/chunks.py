@@ -1,12 +1,11 @@
 """Chunks of documents as units of exchange.
 
-Documents are taken in chunks of about half a megabyte, the same ones in every pass over the table. A chunk sends what it
-has to say to a bucket in one row of packed arrays, and gets its answers back by its number; texts travel compressed.
+Documents are taken in chunks of about half a megabyte, which are written once, compressed and numbered, and read again by
+every pass. A chunk sends what it has to say to a bucket in one row of packed arrays, and gets its answers back by its number.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +19,6 @@ from .common import column_of, empty_where_null, keyed_text, stow, text_chunks
 
 #: Bytes of text in a chunk; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 19
-#: Rows of an Arrow batch; chunks don't span batches.
-BATCH_ROWS = 500
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
 #: Stands for a null doc_id: larger than all others.
@@ -35,26 +32,11 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
-def steady(docs: DataFrame) -> DataFrame:
-    """docs as something that gives the same rows in the same order each time: plain scans of files do; the rest is stowed."""
-    plan = docs._jdf.queryExecution().optimizedPlan().toString()
-    nodes = {m[1] for m in map(re.compile(r"[\s:+|-]*(\w+)").match, plan.splitlines()) if m}
-    return docs if nodes <= {"Project", "Filter", "Relation", "RelationV2"} else stow(docs)
+def chunk_table(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
+    """chunk, ids, sizes, body: the chunks of documents, compressed and stowed, so that every pass sees the same ones.
 
-
-def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, row; a chunk bears the number of its first row. Batches to Python are kept small for memory's sake."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    return keyed_text(steady(docs)).withColumn("row", F.monotonically_increasing_id())
-
-
-def bucket_count(rows: DataFrame) -> int:
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    return max(LEAST_BUCKETS, size // BUCKET_BYTES)
-
-
-def chunk_rows(rows: DataFrame, number: str = "row", rest: list[str] | None = None) -> DataFrame:
-    """chunk, ids, sizes, body: the chunks of documents, compressed; rest: the named other columns, as Arrow bytes."""
+    rest: the named other columns, and whether text is null, as Arrow bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,12 +44,20 @@ def chunk_rows(rows: DataFrame, number: str = "row", rest: list[str] | None = No
                 texts = W.Texts.of(empty_where_null(column_of(part, "text")))
                 body = zstandard.ZstdCompressor(level=3).compress(texts.data.tobytes())
                 sink = pa.BufferOutputStream()
-                if rest:
-                    with pa.ipc.new_stream(sink, pa.schema([part.schema.field(c) for c in rest])) as out:
-                        out.write_batch(part.select(rest))
-                yield pa.RecordBatch.from_arrays([column_of(part, number)[:1], pa.array([column_of(part, "doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([np.diff(texts.at).tolist()], pa.list_(pa.int64())), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["chunk", "ids", "sizes", "body", "rest"])
+                if rest is not None:
+                    held = pa.RecordBatch.from_arrays([*(column_of(part, c) for c in rest), column_of(part, "text").is_null()], [str(k) for k in range(len(rest) + 1)])
+                    with pa.ipc.new_stream(sink, held.schema) as out:
+                        out.write_batch(held)
+                ids = column_of(part, "doc_id").cast(pa.int64()).to_pylist()
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([np.diff(texts.at).tolist()], pa.list_(pa.int64())), pa.array([body], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["ids", "sizes", "body", "rest"])
+
+    rows = (keyed_text(docs) if rest is None else docs).mapInArrow(run, "ids array<long>, sizes array<long>, body binary, rest binary")
+    return stow(rows.withColumn("chunk", F.monotonically_increasing_id()))
+
 
-    return rows.mapInArrow(run, "chunk long, ids array<long>, sizes array<long>, body binary, rest binary")
+def bucket_count(chunks: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    size = chunks.agg(F.coalesce(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)")), F.lit(0)).alias("n")).first().n
+    return max(LEAST_BUCKETS, size // bucket_bytes)
 
 
 def opened(ids: list, sizes: list, body: bytes) -> tuple[W.Texts, np.ndarray]:

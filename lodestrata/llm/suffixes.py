@@ -7,9 +7,10 @@ content alone, so equal windows have equal anchors. Three exchanges settle all w
 1. Each chunk of documents sends its distinct (anchor, block) hashes, a block being the bytes of an anchor's windows, with
    the smallest doc_id; what is common costs a chunk one entry however often it stands there. Blocks known from a smaller
    document are settled.
-2. Where an anchor has several blocks, the first holder of each block sends its bytes. Its windows are merge-sorted by
-   hash beside those of the other blocks, equal neighbours are compared byte by byte, and windows that a smaller document
-   has too are settled.
+2. Where an anchor has several blocks, the first holder of each block sends its bytes. There the suffixes from the anchor
+   are merge-sorted; a comparison finds the common extension by binary search on prefix hashes, then looks at one byte.
+   The orders to both sides of the anchor, with the extensions that neighbours have in common, tell which windows are equal;
+   these are compared byte by byte, and windows that a smaller document has too are settled.
 3. Settled spans go back to their chunk, which cuts them out.
 
 Null text counts as empty. Documents shorter than the string lose nothing. Rows with equal doc_ids aren't smaller than one
@@ -29,21 +30,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .chunks import CHUNK_BYTES, bucket_count, bucket_of, chunk_rows, each_row, ids_of, marked, numbered, opened, slices
-from .common import column_of, empty_where_null, stow, text_chunks
+from .chunks import BUCKET_BYTES, bucket_count, bucket_of, chunk_table, each_row, marked, opened, slices
+from .common import stow
 
 LENGTH, GRAM = 50, 16
-#: Buckets of sent bytes for each bucket of entries: a byte sent stands for a window of many numbers.
+#: Buckets of sent bytes for each bucket of entries, from some size on: a byte sent stands for a window of many numbers.
 FINER = 8
 _LOW = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
 NOTHING, SETTLED, SEND = 0, 1, 2
 
 
-def _anchors(texts: W.Texts, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """key, first and last window start of each anchor."""
+def _anchors(texts: W.Texts, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """key, first and last window start, and place of each anchor."""
     n, span = len(texts.data), length - gram + 1
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    found: list[tuple[np.ndarray, ...]] = []
     counts = np.maximum(np.diff(texts.at) - length + 1, 0)
     bounds = np.concatenate([[0], np.cumsum(counts)])
     starts = np.arange(bounds[-1]) + np.repeat(texts.at[:-1] - bounds[:-1], counts)
@@ -63,9 +64,9 @@ def _anchors(texts: W.Texts, prefix: np.ndarray, length: int, gram: int) -> tupl
             least = np.minimum(least[: width - span], least[span - width :])
         place = (least[s - low] & _LOW).astype(np.int64)
         first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (s[1:] != s[:-1] + 1)]))
-        found.append((grams[place[first]], s[first], s[np.append(first[1:], len(s)) - 1]))
+        found.append((grams[place[first]], s[first], s[np.append(first[1:], len(s)) - 1], place[first] + low))
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
@@ -75,7 +76,7 @@ class Chunk:
     def __init__(self, texts: W.Texts, ids: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         self.texts, self.ids, self.length = texts, ids, length
         prefix = texts.prefix_hashes()
-        key, self.first, self.last = _anchors(texts, prefix, length, gram)
+        key, self.first, self.last, self.place = _anchors(texts, prefix, length, gram)
         block = W.span_hashes(prefix, self.first, self.last + length) >> np.uint64(16)
         self.row = np.searchsorted(texts.at, self.first, side="right") - 1
         self.doc = ids[self.row] if len(ids) else np.zeros(0, np.int64)
@@ -103,18 +104,17 @@ def _unpacked(n: int, base: int, data: bytes) -> tuple[np.ndarray, np.ndarray, n
     return np.frombuffer(data, "<u4", n), block, doc
 
 
-def _entries(rows: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _entries(chunks: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
     """bucket, chunk, n, base, data."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_chunks(batch, CHUNK_BYTES):
-                c = Chunk(W.Texts.of(empty_where_null(column_of(part, "text"))), ids_of(column_of(part, "doc_id")), length, gram)
-                chunk, base = column_of(part, "row")[0].as_py(), int(c.least.min()) if len(c.least) else 0
-                out = [(b, chunk, j - i, base, _packed(c.key[i:j], c.block[i:j], c.least[i:j], base)) for b, i, j in slices(c.buckets(buckets))]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "n", "base", "data"])
+        for r in each_row(batches):
+            c = Chunk(*opened(r["ids"], r["sizes"], r["body"]), length, gram)
+            base = int(c.least.min()) if len(c.least) else 0
+            out = [(b, r["chunk"], j - i, base, _packed(c.key[i:j], c.block[i:j], c.least[i:j], base)) for b, i, j in slices(c.buckets(buckets))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "chunk", "n", "base", "data"])
 
-    return rows.mapInArrow(run, "bucket long, chunk long, n long, base long, data binary")
+    return chunks.mapInArrow(run, "bucket long, chunk long, n long, base long, data binary")
 
 
 def _settle(table: pa.Table) -> pa.Table:
@@ -136,10 +136,10 @@ def _settle(table: pa.Table) -> pa.Table:
 
 
 _SPAN = np.dtype([("row", "<u4"), ("start", "<i8"), ("end", "<i8")])
-_SENT = np.dtype([("doc", "<i8"), ("row", "<u4"), ("start", "<i8"), ("size", "<u2")])
+_SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i8"), ("size", "<u2"), ("anchor", "<u2")])
 
 
-def _answers(coded: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+def _answers(coded: DataFrame, finer: int, length: int, gram: int) -> DataFrame:
     """Rows with bucket null: chunk and its spans settled by block; others: bucket, chunk, heads and bytes of the blocks that it sends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,57 +158,172 @@ def _answers(coded: DataFrame, buckets: int, length: int, gram: int) -> DataFram
             sent = sent[np.argsort(c.key[c.entry[sent]], kind="stable")]
             heads = np.empty(len(sent), _SENT)
             heads["doc"], heads["row"], heads["start"] = c.doc[sent], c.row[sent], c.first[sent] - texts.at[c.row[sent]]
-            heads["size"] = c.last[sent] + length - c.first[sent]
-            for b, i, j in slices(bucket_of(c.key[c.entry[sent]], buckets * FINER)):
+            heads["size"], heads["key"], heads["anchor"] = c.last[sent] + length - c.first[sent], c.key[c.entry[sent]], c.place[sent] - c.first[sent]
+            for b, i, j in slices(bucket_of(c.key[c.entry[sent]], finer)):
                 out.append((b, r["chunk"], heads[i:j].tobytes(), b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))))
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "heads", "data"])
 
     return coded.mapInArrow(run, "bucket long, chunk long, heads binary, data binary")
 
 
-def equal_windows(texts: W.Texts, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Extensions:
+    """Suffixes of a buffer from their starts up to a limit, or the reversed prefixes before them, compared by hash and binary search."""
+
+    def __init__(self, texts: W.Texts, prefix: np.ndarray, start: np.ndarray, limit: np.ndarray, back: bool = False):
+        self.data, self.prefix, self.down = texts.data, prefix, W._power("down", len(prefix))
+        self.start, self.limit, self.back = start, limit, back
+
+    def same(self, i: np.ndarray, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the first n bytes of i and j have one prefix hash."""
+        a, b = (self.start[i] - n, self.start[j] - n) if self.back else (self.start[i], self.start[j])
+        return (self.prefix[a + n] - self.prefix[a]) * self.down[a] == (self.prefix[b + n] - self.prefix[b]) * self.down[b]
+
+    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Length of the common extension of i and j."""
+        low, high = np.zeros(len(i), np.int64), np.minimum(self.limit[i], self.limit[j])
+        open_ = np.flatnonzero(low < high)
+        while len(open_):
+            middle = (low[open_] + high[open_] + 1) // 2
+            same = self.same(i[open_], j[open_], middle)
+            low[open_[same]], high[open_[~same]] = middle[same], middle[~same] - 1
+            open_ = open_[low[open_] < high[open_]]
+        return low
+
+    def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether i comes before j: at the first byte after their common extension, or as the shorter one."""
+        n = self.common(i, j)
+        inside = n < np.minimum(self.limit[i], self.limit[j])
+        at = np.where(inside, n, 0)
+        a, b = (self.start[i] - 1 - at, self.start[j] - 1 - at) if self.back else (self.start[i] + at, self.start[j] + at)
+        last = len(self.data) - 1
+        if last < 0:
+            return np.zeros(len(i), bool)
+        return np.where(inside, self.data[np.clip(a, 0, last)] < self.data[np.clip(b, 0, last)], self.limit[i] < self.limit[j])
+
+    def heads(self) -> np.ndarray:
+        """The first eight bytes of each as one number; beyond the limit they count as 0."""
+        found = np.zeros(len(self.start), np.uint64)
+        for k in range(8 if len(self.data) else 0):
+            at = self.start - 1 - k if self.back else self.start + k
+            found = found << np.uint64(8) | np.where(k < self.limit, self.data[np.clip(at, 0, len(self.data) - 1)], 0).astype(np.uint64)
+        return found
+
+    def merge_sorted(self, group: np.ndarray) -> np.ndarray:
+        """Order by group, and by suffix within a group; equal ones keep their order.
+
+        Runs of suffixes that agree in their first bytes are merged by rank.
+        """
+        if not len(group):
+            return np.zeros(0, np.int64)
+        heads = self.heads()
+        order = np.lexsort((heads, group))
+        held, word = group[order], heads[order]
+        new = np.concatenate([[True], (held[1:] != held[:-1]) | (word[1:] != word[:-1])])
+        begin = np.flatnonzero(new)[np.cumsum(new) - 1]
+        size = np.bincount(np.cumsum(new) - 1)[np.cumsum(new) - 1]
+        width = 1
+        active = np.flatnonzero(size > 1)
+        while len(active):
+            place = active - begin[active]
+            run = place // width
+            other = begin[active] + (run ^ 1) * width
+            end = np.minimum(other + width, begin[active] + size[active])
+            low, high, mine, right = np.minimum(other, end), end.copy(), order[active], run % 2 == 1
+            first = low.copy()
+            open_ = np.flatnonzero(low < high)
+            while len(open_):
+                middle = (low[open_] + high[open_]) // 2
+                theirs, own, r = order[middle], mine[open_], right[open_]
+                less = self.less(np.where(r, own, theirs), np.where(r, theirs, own))
+                before = less ^ r  # theirs before mine; of equal ones the left run's
+                low[open_[before]], high[open_[~before]] = middle[before] + 1, middle[~before]
+                open_ = open_[low[open_] < high[open_]]
+            order[begin[active] + (run - run % 2) * width + place - run * width + low - first] = mine
+            width *= 2
+            active = active[size[active] > width]
+        return order
+
+    def neighbours(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted order, and how long the extension is that each has in common with the one before; -1 at a group's first."""
+        order = self.merge_sorted(group)
+        common = np.full(len(order), -1)
+        beside = np.flatnonzero(group[order[1:]] == group[order[:-1]]) + 1
+        common[beside] = self.common(order[beside - 1], order[beside])
+        return order, common
+
+
+def longest(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Of each, the longest extension in common with any other of its group: one beside it in the sorted order has it."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(np.maximum(common, np.append(common[1:], -1)), 0)
+    return out
+
+
+def parted(order: np.ndarray, common: np.ndarray, least: int) -> np.ndarray:
+    """Numbers that are equal where at least so many bytes are: one for each stretch of the sorted order."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum((common < least) | (common < 0))
+    return out
+
+
+def equal_windows(texts: W.Texts, doc: np.ndarray, key: np.ndarray, anchor: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of the blocks (one document each) that also stand in a block of a smaller document: block, first and last start.
 
-    The windows are merge-sorted by the hash of their bytes; equal neighbours are then compared byte by byte.
+    The suffixes from the blocks' anchors, and the reversed prefixes before them, are merge-sorted beside those of the same
+    key. Windows at one distance before the anchor are equal where the prefixes agree over that distance and the suffixes
+    over the rest, that is, in one stretch of either order. Equal ones are compared byte by byte.
     """
-    counts = np.maximum(np.diff(texts.at) - length + 1, 0)
-    bounds = np.concatenate([[0], np.cumsum(counts)])
-    of = W.owner(bounds)
-    starts = np.arange(bounds[-1]) - bounds[of] + texts.at[of]
-    hashes = W.span_hashes(texts.prefix_hashes(), starts, starts + length)
-    order = np.lexsort((doc[of], hashes))
-    h = hashes[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    head = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(h) else order
-    known = doc[of[order]] > doc[of[head]]
-    offsets, held = np.arange(length), np.zeros(len(starts), bool)
-    pairs = np.flatnonzero(known)
-    clash = []
-    for i in range(0, len(pairs), 50_000):
-        part = pairs[i : i + 50_000]
-        same = (texts.data[starts[order[part]][:, None] + offsets] == texts.data[starts[head[part]][:, None] + offsets]).all(1)
-        held[order[part[same]]] = True
-        clash += h[part[~same]].tolist()
-    for value in set(clash):  # different bytes with one hash: settle them by the bytes themselves
+    prefix, size = texts.prefix_hashes(), np.diff(texts.at)
+    middle = texts.at[:-1] + anchor
+    group = np.unique(key, return_inverse=True)[1]
+    ahead = Extensions(texts, prefix, middle + gram, np.minimum(size - anchor, length) - gram).neighbours(group)  # a key is a hash of the first bytes
+    behind = Extensions(texts, prefix, middle, anchor, back=True).neighbours(group)
+    low, high = np.maximum(anchor - longest(*behind), 0), np.minimum(anchor + gram + longest(*ahead), size) - length  # first and last window start
+    found = []
+    for before in range(length - gram + 1):
+        block = np.flatnonzero((low <= anchor - before) & (anchor - before <= high))
+        if not len(block):
+            continue
+        right, left = parted(*ahead, length - before - gram)[block], parted(*behind, before)[block]
+        order = np.lexsort((doc[block], left, right))
+        new = np.concatenate([[True], (right[order[1:]] != right[order[:-1]]) | (left[order[1:]] != left[order[:-1]])])
+        head = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        later = np.flatnonzero(~new)
+        found.append((block[order[later]], block[head[later]], np.full(len(later), before)))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+    block, head, before = (np.concatenate(x) for x in zip(*found, strict=True))
+    at, head_at = anchor[block] - before, anchor[head] - before
+    start, head_start = texts.at[block] + at, texts.at[head] + head_at
+    offsets, held, clash = np.arange(length), np.zeros(len(block), bool), np.zeros(0, np.int64)
+    for i in range(0, len(block), 50_000):
+        part = slice(i, i + 50_000)
+        same = (texts.data[start[part][:, None] + offsets] == texts.data[head_start[part][:, None] + offsets]).all(1)
+        held[part] = same & (doc[block[part]] > doc[head[part]])
+        clash = np.append(clash, head_start[part][~same])
+    for place in set(clash.tolist()):  # different bytes with one hash: settle them by the bytes themselves
+        members = np.flatnonzero(head_start == place)
+        bytes_of = [texts.data[p : p + length].tobytes() for p in [place, *start[members].tolist()]]
         least: dict[bytes, int] = {}
-        members = order[h == value]
-        for w in members.tolist():
-            least.setdefault(texts.data[starts[w] : starts[w] + length].tobytes(), int(doc[of[w]]))
-        for w in members.tolist():
-            held[w] = doc[of[w]] > least[texts.data[starts[w] : starts[w] + length].tobytes()]
-    w = np.flatnonzero(held)
-    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1] + 1) | (of[w[1:]] != of[w[:-1]])])) if len(w) else np.zeros(0, int)
-    last = np.append(first[1:], len(w)) - 1 if len(w) else first
-    return of[w[first]], starts[w[first]] - texts.at[of[w[first]]], starts[w[last]] - texts.at[of[w[first]]]
-
-
-def _compare(length: int):
+        docs = [int(doc[head[members[0]]]), *doc[block[members]].tolist()]
+        for w, d in sorted(zip(bytes_of, docs, strict=True), key=lambda x: x[1]):
+            least.setdefault(w, d)
+        held[members] = [d > least[w] for w, d in zip(bytes_of[1:], docs[1:], strict=True)]
+    order = np.flatnonzero(held)
+    order = order[np.lexsort((at[order], block[order]))]
+    block, at = block[order], at[order]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1] + 1) | (block[1:] != block[:-1])])) if len(block) else np.zeros(0, int)
+    last = np.append(first[1:], len(block)) - 1 if len(block) else first
+    return block[first], at[first], at[last]
+
+
+def _compare(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         heads = [np.frombuffer(x, _SENT) for x in rows["heads"]]
         head = np.concatenate(heads)
         texts = W.Texts(np.frombuffer(b"".join(rows["data"]), np.uint8), np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)]))
-        block, low, high = equal_windows(texts, head["doc"], length)
+        block, low, high = equal_windows(texts, head["doc"], head["key"], head["anchor"].astype(np.int64), length, gram)
         spans = np.empty(len(block), _SPAN)
         spans["row"], spans["start"], spans["end"] = head["row"][block], head["start"][block] + low, head["start"][block] + high + length
         chunk = np.repeat(np.arange(len(heads)), [len(x) for x in heads])[block]
@@ -237,13 +352,12 @@ def _cut(joined: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
-    rows = numbered(docs)
-    buckets = bucket_count(rows)
-    codes = _entries(rows, buckets, length, gram).groupBy("bucket").applyInArrow(_settle, "chunk long, bucket long, codes binary")
+    texts = chunk_table(docs).drop("rest")
+    buckets, finer = bucket_count(texts), bucket_count(texts, BUCKET_BYTES // FINER)
+    codes = _entries(texts, buckets, length, gram).groupBy("bucket").applyInArrow(_settle, "chunk long, bucket long, codes binary")
     answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
-    texts = chunk_rows(rows)
-    found = stow(_answers(texts.join(answers, "chunk"), buckets, length, gram))
+    found = stow(_answers(texts.join(answers, "chunk"), finer, length, gram))
     by_block = found.where("bucket is null").select("chunk", "heads")
-    by_window = found.where("bucket is not null").groupBy("bucket").applyInArrow(_compare(length), "chunk long, heads binary")
+    by_window = found.where("bucket is not null").groupBy("bucket").applyInArrow(_compare(length, gram), "chunk long, heads binary")
     spans = by_block.unionByName(by_window).groupBy("chunk").agg(F.collect_list("heads").alias("spans"))
     return _cut(texts.join(spans, "chunk", "left"))

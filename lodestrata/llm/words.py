@@ -104,6 +104,13 @@ def grams(words: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.nda
     return mix(out), bounds
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n values from each start."""
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power("up", len(values)), out=sums[1:])
+    return mix((sums[starts + n] - sums[starts]) * _power("down", len(sums))[starts])
+
+
 def owner(bounds: np.ndarray) -> np.ndarray:
     """For each element, the document whose range it lies in."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
