@@ -3,9 +3,10 @@
 The k-mers of a text are its five-word shingles, each labelled with how often it has occurred before, so repeats count.
 For each of several hash functions a sketch takes the three k-mers of least hash and keeps them in text order; two texts
 share such a key the likelier the smaller their edit distance, and reordered texts share few. Exact copies fall together
-by digest first. The texts of a key are compared with one representative, then with more of them from round to round, until
-all texts of the key are in one class or have met; texts that are in one class by other links needn't meet. Counts of
-shingles in bins rule out most pairs of unlike texts without their words. A pair is a link if its shingle sets have a Jaccard
+by digest first. The texts of a key are compared with one representative; where they aren't of one class then, they meet by
+the rarest of their shingles instead, which no pair at the similarity can miss and which parts texts that share a template
+alone. There each key has more representatives from round to round, until its texts are in one class or have met. Parities
+of the numbers of shingles of several kinds rule out most pairs of unlike texts without their words. A pair is a link if its shingle sets have a Jaccard
 similarity of 0.8 or more and a banded alignment of its words needs edits for at most a fifth of them. Classes are the
 connected components of the links.
 
@@ -29,8 +30,11 @@ from .common import checked, column_of, components, empty_where_null, keyed_text
 SHINGLE, SIMILARITY = 5, 0.8
 #: Hash functions, and k-mers kept by each.
 FUNCTIONS, KEPT = 12, 3
-#: Bins that a text's different shingles are counted in, growth of a key's heads from round to round, members of a key in a slice.
-BINS, MORE_HEADS, SLICE_ROWS = 256, 8, 4096
+#: Kinds of shingles whose parities are kept, growth of a key's heads from round to round, members of a key in a slice.
+BITS, MORE_HEADS, SLICE_ROWS = 256, 8, 4096
+ODD = [f"odd{k}" for k in range(BITS // 64)]
+#: Agreeing shingles that two texts of n and m must have at least, as a share of n + m; ratio of the bounds of a size class.
+_SHARE, SIZE_CLASS = SIMILARITY / (1 + SIMILARITY), 1.05
 _ODD = np.random.default_rng(5).integers(1, 1 << 63, FUNCTIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = np.random.default_rng(6).integers(1, 1 << 63, KEPT + 1, dtype=np.uint64) | np.uint64(1)
 
@@ -66,10 +70,10 @@ def sketch(grams: np.ndarray) -> np.ndarray:
     return W.mix((kept * _PLACE[:n]).sum(axis=1, dtype=np.uint64) + np.arange(FUNCTIONS, dtype=np.uint64) * _PLACE[KEPT])
 
 
-def bins(grams: np.ndarray) -> tuple[bytes, int]:
-    """Different shingles in each bin, at most 255, and how many there are."""
-    different = np.unique(grams)
-    return np.minimum(np.bincount((different >> np.uint64(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes(), len(different)
+def parities(grams: np.ndarray) -> np.ndarray:
+    """Whether the different shingles of each of BITS kinds are odd in number, as bits of 64-bit words."""
+    odd = np.bincount((grams >> np.uint64(56)).astype(np.int64) % BITS, minlength=BITS).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
 
 
 def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -79,18 +83,20 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, keys, bins, size; one pass, no shuffle."""
+    """doc_id, digest, keys, size and parities; one pass, no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_chunks(batch):
                 hashes, at = _hashed(column_of(part, "text"))
                 grams = [shingles(hashes[at[i] : at[i + 1]]) for i in range(len(part))]
-                keys, counts = [sketch(g).view(np.int64) for g in grams], [bins(g) for g in grams]
-                found = pa.array(keys, pa.list_(pa.int64())), pa.array([c for c, _ in counts], pa.binary()), pa.array([n for _, n in counts], pa.int64())
-                yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "digest"), *found], ["doc_id", "digest", "keys", "bins", "size"])
+                keys = pa.array([sketch(g).view(np.int64) for g in grams], pa.list_(pa.int64()))
+                sets = [np.unique(g) for g in grams]
+                odd = np.array([parities(g) for g in sets], np.int64).reshape(-1, len(ODD))
+                found = keys, pa.array([len(g) for g in sets], pa.int64()), *(pa.array(odd[:, k]) for k in range(len(ODD)))
+                yield pa.RecordBatch.from_arrays([column_of(part, "doc_id"), column_of(part, "digest"), *found], ["doc_id", "digest", "keys", "size", *ODD])
 
-    return digested(docs).mapInArrow(run, "doc_id long, digest binary, keys array<long>, bins binary, size long")
+    return digested(docs).mapInArrow(run, f"doc_id long, digest binary, keys array<long>, size long, {', '.join(f'{c} long' for c in ODD)}")
 
 
 def digested(docs: DataFrame) -> DataFrame:
@@ -157,88 +163,156 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return edit_distance(a, b, limit) <= limit
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that are links."""
-    wanted = stow(pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct())
-    texts = digested(docs).join(checked(wanted), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
-    texts = stow(texts)
-    rows = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("left")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("right")), "b")
+def with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """digest, text of the wanted digests."""
+    return digested(docs).join(checked(wanted), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+
+
+def beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs(a, b) with the columns of rows(digest, ...) of both, as left_... and right_...; a digest of many pairs is dealt over slices."""
+    for side, name in (("a", "left"), ("b", "right")):
+        slices = pairs.groupBy(F.col(side).alias("digest")).agg(F.expr(f"count(*) div {SLICE_ROWS}").alias("last"))
+        dealt = rows.join(slices, "digest").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        dealt = dealt.select(F.col("digest").alias(side), "slice", "last", *(F.col(c).alias(f"{name}_{c}") for c in rows.columns if c != "digest"))
+        other = "b" if side == "a" else "a"
+        many = slices.where("last > 0").withColumnRenamed("digest", side)
+        pairs = pairs.join(checked(many), side, "left").withColumn("slice", F.pmod(F.xxhash64(other), F.coalesce("last", F.lit(0)) + 1)).drop("last").join(dealt.drop("last"), [side, "slice"]).drop("slice")
+    return pairs
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that are links; texts: digest, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 64):
                 part = batch.slice(start, 64)
-                (left, left_at), (right, right_at) = _hashed(column_of(part, "left")), _hashed(column_of(part, "right"))
+                (left, left_at), (right, right_at) = _hashed(column_of(part, "left_text")), _hashed(column_of(part, "right_text"))
                 good = pa.array([similar(left[left_at[i] : left_at[i + 1]], right[right_at[i] : right_at[i + 1]]) for i in range(len(part))])
                 yield pa.RecordBatch.from_arrays([column_of(part, "a").filter(good), column_of(part, "b").filter(good)], ["a", "b"])
 
-    return rows.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+    return beside(pairs, texts).select("a", "b", "left_text", "right_text").mapInArrow(run, "a binary, b binary")
+
 
+def rare_shingle_keys(texts: DataFrame) -> DataFrame:
+    """key, digest, size, place, side: two texts whose shingle sets have the similarity share a key; exact, by pigeonhole.
 
-def _possible(pairs: DataFrame) -> DataFrame:
-    """a, b: pairs without those whose bins alone show that too few shingles agree; exact, no link is lost."""
+    With shingles in one order, the rarest first, two similar texts of n and m shingles share at least (n + m) * 0.8 / 1.8,
+    so the first that they share has at most n less that many before it in the one text, and likewise in the other. Keys
+    are these shingles for each pair of size classes; place counts the shingles before it, side tells the classes apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (np.frombuffer(b"".join(column_of(batch, c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("left_bins", "right_bins"))
-            apart = np.abs(left - right).sum(axis=1, dtype=np.int64)  # at most the shingles that one text alone has
-            sizes = [np.asarray(column_of(batch, c), np.int64) for c in ("left_size", "right_size")]
-            both = (sizes[0] + sizes[1] - np.maximum(apart, np.abs(sizes[0] - sizes[1]))) / 2
-            good = pa.array(both >= SIMILARITY * (sizes[0] + sizes[1] - both) - 1e-6)
-            yield pa.RecordBatch.from_arrays([column_of(batch, "a").filter(good), column_of(batch, "b").filter(good)], ["a", "b"])
-
-    return pairs.select("a", "b", "left_bins", "right_bins", "left_size", "right_size").mapInArrow(run, "a binary, b binary")
-
-
-def links(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
-    """a, b: digests of similar texts, enough of them to connect each class; None if no key is shared.
-
-    Heads leave a key once they have met all its members of other classes; the members stay, matched or not, and go on
-    with more heads until a key's members are of one class or have all met.
+            for part in text_chunks(batch):
+                hashes, at = _hashed(column_of(part, "text"))
+                grams = [np.unique(shingles(hashes[at[i] : at[i + 1]])) for i in range(len(part))]
+                digest = column_of(part, "digest").take(pa.array(np.repeat(np.arange(len(part)), [len(g) for g in grams])))
+                yield pa.RecordBatch.from_arrays([digest, pa.array(np.concatenate([np.zeros(0, np.uint64), *grams]).view(np.int64))], ["digest", "gram"])
+
+    held = stow(texts.mapInArrow(run, "digest binary, gram long"))
+    sizes = held.groupBy("digest").agg(F.count("*").alias("size"))
+    several = held.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    shared = held.join(several, "gram").groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("grams"))
+    placed = shared.join(sizes, "digest").select("digest", "size", (F.col("size") - F.size("grams")).alias("alone"), F.posexplode("grams").alias("k", "g"))
+    placed = placed.select("digest", "size", F.col("g.gram").alias("gram"), (F.col("alone") + F.col("k")).alias("place")).where(F.col("size") - F.col("place") >= SIMILARITY * F.col("size") - 1e-6)
+    own = F.floor(F.log(F.col("size")) / np.log(SIZE_CLASS))
+    low, high = F.floor(F.log(SIMILARITY * F.col("size")) / np.log(SIZE_CLASS) - 1e-9), F.floor(F.log(F.col("size") / SIMILARITY) / np.log(SIZE_CLASS) + 1e-9)
+    dealt = placed.withColumn("own", own).withColumn("theirs", F.explode(F.sequence(low, high)))
+    least = F.greatest(F.pow(F.lit(SIZE_CLASS), F.col("theirs")) - 1e-6 * F.col("size"), SIMILARITY * F.col("size"))  # shingles of the other text
+    dealt = dealt.where(F.col("size") - F.col("place") >= _SHARE * (F.col("size") + least) - 1e-6)
+    key = F.xxhash64("gram", F.least("own", "theirs"), F.greatest("own", "theirs"))
+    return dealt.select(key.alias("key"), "digest", "size", "place", F.signum(F.col("own") - F.col("theirs")).cast("int").alias("side"))
+
+
+class _Meetings:
+    """Classes so far, as node and label (texts without links are in no row), and pairs that have met."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, members: DataFrame):
+        # texts in the fullest keys are heads first: the middle of a star is in more of them than its copies
+        weights = members.groupBy("digest").agg(F.sum("count").alias("weight"))
+        self.held = stow(weights.join(nodes.select("digest", *ODD), "digest"))
+        self.texts = stow(with_text(docs, self.held.select("digest")))
+        self.labels: DataFrame | None = None
+        self.seen: DataFrame | None = None
+
+    def labelled(self, members: DataFrame) -> DataFrame:
+        """members with the class of each text so far."""
+        if self.labels is None:
+            return members.withColumn("label", F.col("digest"))
+        known = self.labels.withColumnRenamed("node", "digest").withColumnRenamed("label", "known")
+        return members.join(known, "digest", "left").withColumn("label", F.coalesce("known", "digest")).drop("known")
+
+    def run(self, members: DataFrame, wanted: int = 1, rounds: int | None = None) -> DataFrame:
+        """Lets the members(key, digest, size, place, side) of each key meet; gives those of keys that aren't of one class after the rounds."""
+        members = stow(self.labelled(members.join(self.held, "digest")))
+        while True:
+            labels = members.groupBy("key", "label").agg(F.count("*").alias("n"), F.max(F.struct("weight", F.xxhash64("key", "digest").alias("h"), "digest")).alias("first"))
+            keys = labels.groupBy("key").agg(F.sum("n").alias("n"), F.count("*").alias("classes"), F.max(F.struct("n", "label")).alias("most"), F.max("first")["digest"].alias("first")).where("classes > 1")
+            keys = stow(keys.select("key", "n", (F.col("n") - F.col("most.n")).alias("others"), F.col("most.label").alias("common"), "first"))
+            if keys.isEmpty() or rounds == 0:
+                return members.join(checked(keys), "key", "left_semi")
+            chance = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 20)) * F.col("others") < F.lit(wanted << 20)
+            head = (F.col("digest") == F.col("first")) | ((F.col("label") != F.col("common")) & chance if wanted > 1 else F.lit(False))
+            rows = stow(members.join(checked(keys), "key").withColumn("head", head).withColumn("slices", F.expr(f"1 + n div {SLICE_ROWS}")))
+            theirs = [F.col(c).alias(f"other_{c}") for c in ("digest", "label", "size", "place", "side", *ODD)]
+            heads = rows.where("head").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), *theirs)
+            met = rows.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices"))).join(heads, ["key", "slice"]).where("label <> other_label and (not head or other_digest < digest) and (side = 0 or side <> other_side)")
+            met = met.where(F.least(F.col("size") - F.col("place"), F.col("other_size") - F.col("other_place")) >= _SHARE * (F.col("size") + F.col("other_size")) - 1e-6)
+            unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"other_{c}"))) for c in ODD), F.lit(0))  # at most the shingles that one text alone has
+            met = met.where(unlike <= (1 - 2 * _SHARE) * (F.col("size") + F.col("other_size")) + 1e-6)
+            pairs = met.select(F.least("digest", "other_digest").alias("a"), F.greatest("digest", "other_digest").alias("b")).distinct()
+            self.meet(pairs if self.seen is None else pairs.join(self.seen, ["a", "b"], "left_anti"))
+            members, wanted, rounds = stow(self.labelled(rows.where("not head").select("key", "digest", "size", "place", "side", "weight", *ODD))), wanted * MORE_HEADS, rounds and rounds - 1
+
+    def meet(self, pairs: DataFrame) -> None:
+        pairs = stow(pairs)
+        self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
+        good = stow(verified(pairs, self.texts))
+        if good.isEmpty():
+            return
+        if self.labels is None:
+            self.labels = components(good)
+            return
+        known = self.labels
+        for side in ("a", "b"):  # links join classes
+            good = good.join(known.select(F.col("node").alias(side), F.col("label").alias("of")), side, "left").withColumn(side, F.coalesce("of", side)).drop("of")
+        joined = components(stow(good.where("a <> b"))).select(F.col("node").alias("label"), F.col("label").alias("fresh"))
+        moved = known.join(joined, "label", "left").select("node", F.coalesce("fresh", "label").alias("label"))
+        self.labels = stow(moved.unionByName(joined.select(F.col("label").alias("node"), F.col("fresh").alias("label")).join(known, "node", "left_anti")))
+
+
+def classes(docs: DataFrame, nodes: DataFrame) -> DataFrame | None:
+    """node, label: digest of each text that has a similar one, and a mark of its class; None if there are none.
+
+    In each round some members of a key are heads, which meet all its members of other classes and leave. The first head is
+    the text in the fullest keys; after it those outside a key's largest class are heads first, so a few strangers don't
+    hold up a large class. Keys that aren't of one class after their first head, such as those of a template in unlike
+    texts, have their texts met by the keys of rare shingles instead, which part unlike texts without pairing them.
     """
-    spread = nodes.select("digest", F.explode("keys").alias("key"))
+    spread = nodes.select("digest", "size", F.explode("keys").alias("key"))
     shared = stow(spread.groupBy("key").count().where("count > 1"))
     members = stow(spread.join(shared, "key"))
     if members.isEmpty():
         return None
-    # texts in the fullest keys are heads first: the middle of a star is in more of them than its copies
-    weights = members.groupBy("digest").agg(F.sum("count").alias("weight"))
-    members = stow(members.select("key", "digest").join(weights.join(nodes.select("digest", "bins", "size"), "digest"), "digest").withColumn("label", F.col("digest")))
-    found, seen, wanted = None, None, 1
-    while True:
-        first = F.max(F.struct("weight", F.xxhash64("key", "digest").alias("h"), "digest"))["digest"]
-        keys = members.groupBy("key").agg(F.count("*").alias("n"), first.alias("first"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        keys = stow(keys.select("key", "n", "first"))
-        if keys.isEmpty():
-            return found
-        chance = F.pmod(F.xxhash64("digest", "key"), F.lit(1 << 20)) * F.col("n") < F.lit(wanted << 20)
-        head = (F.col("digest") == F.col("first")) | (chance if wanted > 1 else F.lit(False))
-        held = stow(members.join(checked(keys), "key").withColumn("head", head).withColumn("slices", F.expr(f"1 + n div {SLICE_ROWS}")))
-        heads = held.where("head").select("key", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("digest").alias("other"), F.col("label").alias("other_label"), F.col("bins").alias("left_bins"), F.col("size").alias("left_size"))
-        met = held.withColumn("slice", F.pmod(F.xxhash64("digest"), F.col("slices"))).join(heads, ["key", "slice"]).where("label <> other_label and (not head or other < digest)")
-        possible = _possible(met.select(F.least("digest", "other").alias("a"), F.greatest("digest", "other").alias("b"), "left_bins", F.col("bins").alias("right_bins"), "left_size", F.col("size").alias("right_size"))).distinct()
-        possible = stow(possible if seen is None else possible.join(seen, ["a", "b"], "left_anti"))
-        seen = possible if seen is None else seen.unionByName(possible)
-        good = stow(verified(possible, docs))
-        found = good if found is None else found.unionByName(good)
-        rest = held.where("not head").select("key", "digest", "weight", "bins", "size", "label")
-        if not good.isEmpty():
-            labels = components(found).withColumnRenamed("label", "fresh")
-            rest = rest.join(labels, rest["digest"] == labels["node"], "left").withColumn("label", F.coalesce("fresh", "label")).drop("node", "fresh")
-        members, wanted = stow(rest), wanted * MORE_HEADS
+    meetings = _Meetings(docs, nodes, members)
+    rest = meetings.run(members.select("key", "digest", "size", F.lit(0).alias("place"), F.lit(0).alias("side")), rounds=1)
+    rest = stow(rest.select("digest").distinct())
+    if not rest.isEmpty():
+        meetings.run(rare_shingle_keys(meetings.texts.join(checked(rest), "digest", "left_semi")), MORE_HEADS)
+    return meetings.labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, digest, class_id, kept (true for one document of each class)."""
     rows = stow(sketches(docs))
-    nodes = rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("keys", "bins", "size")), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    nodes = rows.groupBy("digest").agg(*(F.first(c).alias(c) for c in ("keys", "size", *ODD)), F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
     nodes = stow(nodes)
-    found = links(docs, nodes)
-    if found is None:
+    labels = classes(docs, nodes)
+    if labels is None:
         classed = nodes.select("digest", F.col("doc_id").alias("class_id"))
     else:
-        labels = components(found).withColumnRenamed("node", "digest")
-        labelled_nodes = nodes.select("digest", "doc_id").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+        labelled_nodes = nodes.select("digest", "doc_id").join(labels.withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("label", "digest"))
         least = labelled_nodes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
         classed = labelled_nodes.join(least, "label").select("digest", "class_id")
     moved = stow(classed.join(nodes.select("digest", "doc_id", "n"), "digest").where("n > 1 or class_id is distinct from doc_id").select("digest", "class_id"))
@@ -251,10 +325,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     found = stow(near_duplicates(docs))
     gone = found.where("not kept").select("doc_id", "digest").distinct()
     repeated = found.where("kept").groupBy("doc_id", "digest").count().where("count > 1")
-    names = {c: f"{c}_of_document" for c in ("digest", "gone") if c in docs.columns}
-    held = docs.withColumnsRenamed(names).withColumn("digest", F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))))
-    gone = checked(gone.select(F.col("doc_id").alias("gone"), F.col("digest").alias("gone_digest")))
-    rest = held.join(gone, held["doc_id"].cast("long").eqNullSafe(F.col("gone")) & (held["digest"] == F.col("gone_digest")), "left_anti")
+    taken = {c.lower() for c in docs.columns}
+    own, theirs, number = (next(n for k in range(len(taken) + 1) if (n := f"{name}{k}") not in taken) for name in ("digest_", "gone_digest_", "gone_"))
+    held = docs.withColumn(own, F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))))
+    gone = checked(gone.select(F.col("doc_id").alias(number), F.col("digest").alias(theirs)))
+    rest = held.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(number)) & (F.col(own) == F.col(theirs)), "left_anti")
     if not repeated.isEmpty():
-        rest = rest.dropDuplicates(["doc_id", "digest"])
-    return rest.drop("digest").withColumnsRenamed({v: k for k, v in names.items()})
+        rest = rest.dropDuplicates(["doc_id", own])
+    return rest.drop(own)

@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, word string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, digest string, gone_digest string"
 
 
 def sentence(rng, n):
@@ -25,7 +25,7 @@ def documents(seed=0, n=40):
 
 def table(spark, rows, schema=SCHEMA):
     width = schema.count(",") + 1
-    return spark.createDataFrame([(*r, *["x", "y", 1, "r", "d", "w"][: width - 2]) for r in rows], schema).repartition(3)
+    return spark.createDataFrame([(*r, *["x", "y", 1, "r", "d", "g"][: width - 2]) for r in rows], schema).repartition(3)
 
 
 def empty(spark, schema=SCHEMA):

@@ -48,12 +48,26 @@ def test_exact_strings(spark):
 
 
 def test_different_bytes_with_one_hash_are_told_apart(monkeypatch):
-    monkeypatch.setattr(W, "span_hashes", lambda prefix, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(suffixes.Extensions, "same", lambda self, i, j, n: np.ones(len(i), bool))
     texts = W.Texts.joined([b"abcdef", b"abcxyz", b"zzabcz"])
-    block, low, high = suffixes.equal_windows(texts, np.array([1, 2, 3]), 3)
+    block, low, high = suffixes.equal_windows(texts, np.array([1, 2, 3]), np.zeros(3, np.uint64), np.array([0, 0, 2]), 3, 1)
     assert list(zip(block.tolist(), low.tolist(), high.tolist())) == [(1, 0, 0), (2, 2, 2)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.text("ab", max_size=12)), max_size=40), st.integers(1, 12), st.booleans())
+def test_merge_sort_of_suffixes(rows, limit, back):
+    texts = W.Texts.joined([t.encode() for _, t in rows])
+    start = texts.at[1:] if back else texts.at[:-1]
+    held = suffixes.Extensions(texts, texts.prefix_hashes(), start, np.minimum(np.diff(texts.at), limit), back)
+    group = np.array([g for g, _ in rows], np.int64)
+    word = [(t[::-1] if back else t)[:limit] for _, t in rows]
+    assert held.merge_sorted(group).tolist() == sorted(range(len(rows)), key=lambda k: (rows[k][0], word[k], k))
+    common = lambda a, b: next((n for n in range(min(len(a), len(b))) if a[n] != b[n]), min(len(a), len(b)))
+    want = [max([common(word[i], word[j]) for j in range(len(rows)) if j != i and rows[i][0] == rows[j][0]], default=0) for i in range(len(rows))]
+    assert suffixes.longest(*held.neighbours(group)).tolist() == want
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.binary(max_size=40), max_size=6))
 def test_word_hashes_agree_with_words(texts):
@@ -102,6 +116,60 @@ def test_passages(spark):
     assert passages.repeated_passages(corpus.empty(spark)).count() == 0 and passages.without_repeats(corpus.empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("step", [8, 12, 20, 40])
+def test_exact_repeats_behind_an_earlier_edited_copy(spark, step):
+    rng = random.Random(21)
+    rows, wanted = [], set()
+    for k in range(100):
+        passage = corpus.sentence(rng, 60).split()
+        edited = [f"e{k}x{j}" if j % step == step // 2 else x for j, x in enumerate(passage)]
+        rows += [(k, corpus.sentence(rng, 40) + " " + " ".join(edited) + " " + corpus.sentence(rng, 40))]
+        rows += [(1000 * n + k, corpus.sentence(rng, 40) + " " + " ".join(passage) + " " + corpus.sentence(rng, 40)) for n in (1, 2)]
+        wanted.add(2000 + k)
+    found = {}
+    for r in passages.repeated_passages(corpus.table(spark, rows)).collect():
+        found.setdefault(r.doc_id, set()).update(range(r.start, r.start + r.n_words))
+    assert {i for i in wanted if len(found.get(i, set()) & set(range(40, 100))) >= 50} == wanted
+
+
+def test_passages_near_each_other_against_brute_force(spark):
+    rng = random.Random(22)
+    rows, near = [], []
+    for k in range(120):
+        passage = corpus.sentence(rng, 80).split()
+        edited = list(passage)
+        for j in rng.sample(range(80), rng.randint(0, 2)):
+            edited[j] = f"e{k}x{j}"
+        for n, words in enumerate((passage, edited)):
+            rows.append((1000 * n + k, corpus.sentence(rng, 40) + " " + " ".join(words) + " " + corpus.sentence(rng, 40)))
+        if jaccard(" ".join(passage), " ".join(edited)) >= 0.8:
+            near.append(1000 + k)
+    found = {r.doc_id for r in passages.repeated_passages(corpus.table(spark, rows)).collect()}
+    assert len(set(near) & found) >= 0.98 * len(near) and all(i >= 1000 for i in found)
+
+
+def test_chunks_stay_the_same_when_plans_change(spark):
+    docs = corpus.table(spark, corpus.documents(n=120))
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts, found, left = suffixes.remove_repeats(docs), passages.repeated_passages(docs), passages.without_repeats(docs)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == held
+    want = [sorted(map(str, df.drop("kept").collect())) for df in (texts, found, left)]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+        texts, found, left = (df.select("*") for df in (texts, found, left))
+        assert [sorted(map(str, df.drop("kept").collect())) for df in (texts, found, left)] == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_null_texts_stay_null(spark):
+    docs = corpus.table(spark, corpus.documents())
+    left = {(r.doc_id, r.n_chars): r.text for r in passages.without_repeats(docs).collect()}
+    assert left[(40, 1)] is None and left[(41, 1)] == ""
+
+
 def test_a_passage_in_many_documents_makes_one_pair_each(spark):
     rng = random.Random(7)
     passage = corpus.sentence(rng, 80)
@@ -167,17 +235,64 @@ def test_copies_of_one_text_that_are_unlike_each_other(spark):
     assert len(found) == 151 and sum(r.class_id == 0 for r in found) >= 150  # a copy shares no key with the text in 1 of 10,000 cases
 
 
-def test_every_pair_of_a_key_is_met(spark):
+def by_class(rows):
+    held = {}
+    for r in rows:
+        held.setdefault(r.class_id, set()).add(r.doc_id)
+    return {frozenset(x) for x in held.values() if len(x) > 1}
+
+
+def test_every_pair_of_a_key_is_met(spark, monkeypatch):
     rng = random.Random(12)
     rows = []
     for k in range(40):  # unlike texts in one key, each with one copy
         w = corpus.sentence(rng, 60)
         rows += [(2 * k, w), (2 * k + 1, w + " more")]
     docs = corpus.table(spark, rows)
-    nodes = order_minhash.sketches(docs).withColumn("keys", F.array(F.lit(1).cast("long")))
-    found = order_minhash.links(docs, nodes).collect()
-    digest = {hashlib.md5(s.encode()).digest(): i for i, s in rows}
-    assert {tuple(sorted((digest[bytes(r.a)], digest[bytes(r.b)]))) for r in found} == {(2 * k, 2 * k + 1) for k in range(40)}
+    held = order_minhash.sketches
+    monkeypatch.setattr(order_minhash, "sketches", lambda d: held(d).withColumn("keys", F.array(F.lit(1).cast("long"))))
+    assert by_class(order_minhash.near_duplicates(docs).collect()) == {frozenset((2 * k, 2 * k + 1)) for k in range(40)}
+
+
+def jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.split(), b.split()))
+    return len(x & y) / len(x | y)
+
+
+def test_pairs_within_a_template_against_brute_force(spark):
+    rng = random.Random(14)
+    template, rows = corpus.sentence(rng, 400).split(), []
+    for k in range(60):  # all share the template, each has one near copy
+        own = corpus.sentence(rng, 75).split()
+        words = template + own
+        for j in range(0, 400, 50):
+            words[j + rng.randrange(40)] = f"t{k}x{j}"
+        copy = list(words)
+        for j in rng.sample(range(475), 4):
+            copy[j] = f"c{k}x{j}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    linked = {frozenset((a[0], b[0])) for n, a in enumerate(rows) for b in rows[n + 1 :] if jaccard(a[1], b[1]) >= 0.8}
+    assert linked == {frozenset((2 * k, 2 * k + 1)) for k in range(60)}
+    assert by_class(order_minhash.near_duplicates(corpus.table(spark, rows)).collect()) == linked
+
+
+def test_rare_shingle_keys_miss_no_similar_pair(spark):
+    rng = random.Random(16)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("abcdefgh") + rng.choice("xy") for _ in range(rng.randint(5, 200))]
+        for _ in range(6):
+            w = list(base[: rng.randint(len(base) * 7 // 8, len(base))])
+            for _ in range(rng.randint(0, 2)):
+                w[rng.randrange(len(w))] = f"e{rng.randrange(9)}"
+            texts.append(" ".join(w))
+    digest = {t: hashlib.md5(t.encode()).digest() for t in texts}
+    held = {}
+    for r in order_minhash.rare_shingle_keys(spark.createDataFrame([(d, t) for t, d in digest.items()], "digest binary, text string")).collect():
+        held.setdefault(r.key, {}).setdefault(bytes(r.digest), set()).add(r.side)
+    together = {frozenset((a, b)) for m in held.values() for a in m for b in m if a != b and any(x == 0 or x != y for x in m[a] for y in m[b])}
+    wanted = {frozenset((digest[a], digest[b])) for a in digest for b in digest if a < b and jaccard(a, b) >= 0.8}
+    assert len(wanted) > 40 and wanted <= together
 
 
 def test_reordered_texts_are_no_copies():
