@@ -6,12 +6,13 @@ every pass. A chunk sends what it has to say to a bucket in one row of packed ar
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -21,6 +22,8 @@ from .common import column_of, empty_where_null, keyed_text, stow, text_chunks
 CHUNK_BYTES = 1 << 19
 #: Bytes of text for each bucket, and the least number of buckets.
 BUCKET_BYTES, LEAST_BUCKETS = 16 << 20, 256
+#: Bytes of chunks in an Arrow batch.
+BATCH_BYTES = 4 << 20
 #: Stands for a null doc_id: larger than all others.
 LAST = np.iinfo(np.int64).max
 
@@ -32,6 +35,18 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield batch.slice(k, 1).to_pylist()[0]
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While tables of chunks are read and written at once, a Python worker gets few of them together; results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
 def chunk_table(docs: DataFrame, rest: list[str] | None = None) -> DataFrame:
     """chunk, ids, sizes, body: the chunks of documents, compressed and stowed, so that every pass sees the same ones.
 

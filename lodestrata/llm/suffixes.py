@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .chunks import BUCKET_BYTES, bucket_count, bucket_of, chunk_table, each_row, marked, opened, slices
+from .chunks import BUCKET_BYTES, bucket_count, bucket_of, chunk_table, each_row, marked, opened, slices, small_batches
 from .common import stow
 
 LENGTH, GRAM = 50, 16
@@ -180,7 +180,9 @@ class Extensions:
 
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common extension of i and j."""
-        low, high = np.zeros(len(i), np.int64), np.minimum(self.limit[i], self.limit[j])
+        high = np.minimum(self.limit[i], self.limit[j])
+        whole = self.same(i, j, high)  # many are equal: one look is enough for those
+        low, high = np.where(whole, high, 0), np.where(whole, high, high - 1)
         open_ = np.flatnonzero(low < high)
         while len(open_):
             middle = (low[open_] + high[open_] + 1) // 2
@@ -334,20 +336,18 @@ def _compare(length: int, gram: int):
     return run
 
 
-def _cut(joined: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
-            texts, _ = opened(r["ids"], r["sizes"], r["body"])
-            spans = np.frombuffer(b"".join(r["spans"] or []), _SPAN)
-            base = texts.at[spans["row"]]
-            covered = marked(len(texts.data), base + spans["start"], base + spans["end"])
-            _, _, at = texts.tokens(covered)
-            kept, bounds = texts.data[~covered], texts.at - np.concatenate([[0], np.cumsum(covered)])[texts.at]
-            shas = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            texts_kept = [kept[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(texts.at)), pa.array(W.sums(covered, texts.at)), pa.array(np.diff(at).astype(np.int64)), pa.array(shas), pa.array(texts_kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+def _cut(table: pa.Table) -> pa.Table:
+    """Of one chunk."""
+    (r,) = table.to_pylist()
+    texts, _ = opened(r["ids"], r["sizes"], r["body"])
+    spans = np.frombuffer(b"".join(r["spans"] or []), _SPAN)
+    base = texts.at[spans["row"]]
+    covered = marked(len(texts.data), base + spans["start"], base + spans["end"])
+    _, _, at = texts.tokens(covered)
+    kept, bounds = texts.data[~covered], texts.at - np.concatenate([[0], np.cumsum(covered)])[texts.at]
+    left = [kept[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    shas = [hashlib.sha256(x).hexdigest() for x in left]
+    return pa.table([pa.array(r["ids"], pa.int64()), pa.array(np.diff(texts.at)), pa.array(W.sums(covered, texts.at)), pa.array(np.diff(at).astype(np.int64)), pa.array(shas, pa.string()), pa.array(left, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -356,8 +356,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     buckets, finer = bucket_count(texts), bucket_count(texts, BUCKET_BYTES // FINER)
     codes = _entries(texts, buckets, length, gram).groupBy("bucket").applyInArrow(_settle, "chunk long, bucket long, codes binary")
     answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
-    found = stow(_answers(texts.join(answers, "chunk"), finer, length, gram))
+    with small_batches(docs.sparkSession):
+        found = stow(_answers(texts.join(answers, "chunk"), finer, length, gram))
     by_block = found.where("bucket is null").select("chunk", "heads")
     by_window = found.where("bucket is not null").groupBy("bucket").applyInArrow(_compare(length, gram), "chunk long, heads binary")
     spans = by_block.unionByName(by_window).groupBy("chunk").agg(F.collect_list("heads").alias("spans"))
-    return _cut(texts.join(spans, "chunk", "left"))
+    return texts.join(spans, "chunk", "left").groupBy("chunk").applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
