@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,18 +26,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a local folder only where that is unset and Spark is local, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.gettempdir()}/lodestrata-shared-{os.getpid()}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    """A session option for the time of a block."""
+    held = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if held is None else spark.conf.set(name, held)
+
+
 def stow(df: DataFrame) -> DataFrame:
-    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses nothing of it."""
+    """Write to the shared folder and read again: cuts the lineage, and a lost executor loses nothing of it.
+
+    The shuffle files of the write are of no more use then, and go at once.
+    """
     path = f"{shared_folder(df.sparkSession)}/stowed/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
