@@ -36,6 +36,8 @@ from .common import stow
 LENGTH, GRAM = 50, 16
 #: Buckets of sent bytes for each bucket of entries, from some size on: a byte sent stands for a window of many numbers.
 FINER = 8
+#: Bytes of blocks that are compared at once; those of one key stay together.
+PIECE_BYTES = 1 << 20
 _LOW = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
 NOTHING, SETTLED, SEND = 0, 1, 2
@@ -319,16 +321,34 @@ def equal_windows(texts: W.Texts, doc: np.ndarray, key: np.ndarray, anchor: np.n
     return block[first], at[first], at[last]
 
 
+def pieces(key: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Blocks in pieces of about PIECE_BYTES that hold all blocks of their keys."""
+    order = np.argsort(key, kind="stable")
+    k, ends = key[order], np.cumsum(size[order], dtype=np.int64)
+    edges = np.append(np.flatnonzero(k[1:] != k[:-1]) + 1, len(k))  # ends of keys
+    first = 0
+    while first < len(k):
+        limit = np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, side="right")
+        last = edges[max(np.searchsorted(edges, first, side="right"), np.searchsorted(edges, limit, side="right") - 1)]
+        yield order[first:last]
+        first = int(last)
+
+
 def _compare(length: int, gram: int):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pydict()
         heads = [np.frombuffer(x, _SENT) for x in rows["heads"]]
         head = np.concatenate(heads)
-        texts = W.Texts(np.frombuffer(b"".join(rows["data"]), np.uint8), np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)]))
-        block, low, high = equal_windows(texts, head["doc"], head["key"], head["anchor"].astype(np.int64), length, gram)
-        spans = np.empty(len(block), _SPAN)
-        spans["row"], spans["start"], spans["end"] = head["row"][block], head["start"][block] + low, head["start"][block] + high + length
-        chunk = np.repeat(np.arange(len(heads)), [len(x) for x in heads])[block]
+        data, at = np.frombuffer(b"".join(rows["data"]), np.uint8), np.concatenate([[0], np.cumsum(head["size"], dtype=np.int64)])
+        found, chunks = [], np.repeat(np.arange(len(heads)), [len(x) for x in heads])
+        for part in pieces(head["key"], head["size"]):
+            texts = W.Texts(np.concatenate([data[at[k] : at[k + 1]] for k in part.tolist()]), np.concatenate([[0], np.cumsum(head["size"][part], dtype=np.int64)]))
+            block, low, high = equal_windows(texts, head["doc"][part], head["key"][part], head["anchor"][part].astype(np.int64), length, gram)
+            spans = np.empty(len(block), _SPAN)
+            block = part[block]
+            spans["row"], spans["start"], spans["end"] = head["row"][block], head["start"][block] + low, head["start"][block] + high + length
+            found.append((chunks[block], spans))
+        chunk, spans = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(chunk, kind="stable")
         out = [(rows["chunk"][k], spans[order[i:j]].tobytes()) for k, i, j in slices(chunk[order])]
         return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "heads": pa.array([o[1] for o in out], pa.binary())})

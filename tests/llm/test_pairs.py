@@ -54,6 +54,16 @@ def test_different_bytes_with_one_hash_are_told_apart(monkeypatch):
     assert list(zip(block.tolist(), low.tolist(), high.tolist())) == [(1, 0, 0), (2, 2, 2)]
 
 
+@pytest.mark.parametrize("limit", [1, 5, 40, 10_000])
+def test_pieces_keep_keys_together(monkeypatch, limit):
+    monkeypatch.setattr(suffixes, "PIECE_BYTES", limit)
+    rng = np.random.default_rng(3)
+    key, size = rng.integers(0, 30, 200), rng.integers(1, 9, 200)
+    got = [p.tolist() for p in suffixes.pieces(key, size)]
+    assert sorted(sum(got, [])) == list(range(200)) and sum(len(set(key[p])) for p in got) == len(set(key.tolist()))
+    assert all(size[p].sum() <= limit or len(set(key[p])) == 1 for p in got)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 2), st.text("ab", max_size=12)), max_size=40), st.integers(1, 12), st.booleans())
 def test_merge_sort_of_suffixes(rows, limit, back):
