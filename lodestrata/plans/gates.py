@@ -39,11 +39,11 @@ def lossless(lidar: DataFrame) -> DataFrame:
 
 
 def clock_agreement(clock: DataFrame, lags: DataFrame) -> DataFrame:
-    """One row over all sessions: spreads of skew, latency floor and lag, and whether each is within its limit."""
+    """One row over all sessions: spreads of skew, latency floor and lag, and whether each is within its limit; one session alone has no spread and fails."""
     per = clock.groupBy("session_id").agg(F.first("pooled").alias("skew"), F.min("intercept").alias("floor_us"))
-    a = per.agg(((F.max("skew") - F.min("skew")) * SKEW_WINDOW_S * 1e6).alias("skew_error_us"), (F.max("floor_us") - F.min("floor_us")).alias("latency_spread_us"))
+    a = per.agg(F.count("*").alias("n_sessions"), ((F.max("skew") - F.min("skew")) * SKEW_WINDOW_S * 1e6).alias("skew_error_us"), (F.max("floor_us") - F.min("floor_us")).alias("latency_spread_us"))
     b = lags.agg(F.count("*").alias("n_lags"), (F.max("lag_us") - F.min("lag_us")).alias("lag_spread_us"))
-    return a.crossJoin(b).withColumn("passed", (F.col("skew_error_us") <= SKEW_BUDGET_US) & (F.col("n_lags") >= 3) & (F.col("lag_spread_us") <= LAG_SPREAD_US))
+    return a.crossJoin(b).withColumn("passed", (F.col("n_sessions") >= 2) & (F.col("skew_error_us") <= SKEW_BUDGET_US) & (F.col("latency_spread_us") <= LATENCY_SPREAD_US) & (F.col("n_lags") >= 3) & (F.col("lag_spread_us") <= LAG_SPREAD_US))
 
 
 def lag_confidence(lags: DataFrame, facts: DataFrame) -> DataFrame:

@@ -12,9 +12,9 @@ MAX_STREAMS = ["poses", "lidar", "frames", "depth", "mesh"]
 
 
 def import_sessions(spark: SparkSession, root: str, out: str) -> None:
-    """All binary sessions below root into one Parquet table for each stream, partitioned by session."""
+    """All binary sessions below root into one Parquet table for each stream, partitioned by session; a session imported again is replaced."""
     for stream in MAX_STREAMS:
-        read_stream(spark, root, stream).write.mode("append").partitionBy("session_id").parquet(f"{out}/{stream}")
+        read_stream(spark, root, stream).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_id").parquet(f"{out}/{stream}")
 
 
 def stream_table(spark: SparkSession, out: str, stream: str) -> DataFrame:

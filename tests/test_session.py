@@ -178,6 +178,9 @@ def test_gates(spark, session):
     lags = spark.createDataFrame([(f"s{k}", 1000.0 * k, 0.9) for k in range(3)], "session_id string, lag_us double, correlation double")
     clock = spark.createDataFrame([(f"s{k}", -380e-6, 5000.0 + k) for k in range(3)], "session_id string, pooled double, intercept double")
     assert gates.clock_agreement(clock, lags).first().passed
+    late = clock.withColumn("intercept", F.when(F.col("session_id") == "s1", F.col("intercept") + 2500).otherwise(F.col("intercept")))
+    assert not gates.clock_agreement(late, lags).first().passed
+    assert not gates.clock_agreement(clock.where("session_id = 's0'"), lags).first().passed
     facts = spark.createDataFrame([("s0", 100, 20.0, 0.1), ("s1", 300, 20.0, 0.1)], "session_id string, n_revs long, motion double, tilt_ratio double")
     assert {r.session_id: r.why_not for r in gates.lag_confidence(lags, facts).collect()} == {"s0": "few revolutions", "s1": None}
     bench = spark.createDataFrame([(k * 200, k % 500 == 0, (k % 500) * 0.72, 1000.0, 15) for k in range(5000)], "t_us long, start boolean, degrees double, mm double, quality int")
