@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's documents. No SQL expresses the stages; tests compare them with brute force.
+stage's documents. No SQL expresses the stages; tests run them on planted cases and compare their operators with brute force.
 """
 
 from __future__ import annotations
