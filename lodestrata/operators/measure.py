@@ -47,18 +47,21 @@ def wall_span(points: DataFrame, keys: list[str], value: str, width: float = WAL
     return found.groupBy(*keys).agg((F.max("centre") - F.min("centre")).alias("span"))
 
 
-def door_sizes(points: DataFrame, voxel: float = DOOR_VOXEL, least: int = DOOR_LEAST) -> DataFrame:
-    """door (its least voxel), n_points, width, height: groups of 26-connected voxels; points has x, y, z in wall directions."""
-    key = ["ix", "iy", "iz"]
-    held = points.select("x", "y", "z", *(F.floor(F.col(a) / voxel).alias(f"i{a}") for a in "xyz"))
+def door_sizes(points: DataFrame, voxel: float = DOOR_VOXEL, least: int = DOOR_LEAST, keys: tuple[str, ...] = (), across: tuple[str, str] = ("x", "z")) -> DataFrame:
+    """keys, door (its keys and least voxel), n_points, width, height: groups of 26-connected voxels of x, y, z.
+
+    A door is as wide as its larger span along the two columns across, which may differ from those that place the voxels.
+    """
+    key = [*keys, "ix", "iy", "iz"]
+    held = points.select(*keys, "y", *(F.col(c).alias(f"_{k}") for k, c in enumerate(across)), *(F.floor(F.col(a) / voxel).alias(f"i{a}") for a in "xyz"))
     cells = held.select(*key).distinct()
     ahead = [o for o in product((-1, 0, 1), repeat=3) if o > (0, 0, 0)]
     offsets = F.explode(F.array(*(F.struct(*(F.lit(c).alias(f"d{a}") for a, c in zip("xyz", o, strict=True))) for o in ahead)))
-    there = cells.withColumn("o", offsets).select(F.struct(*key).alias("a"), *((F.col(f"i{a}") + F.col("o")[f"d{a}"]).alias(f"i{a}") for a in "xyz"))
+    there = cells.withColumn("o", offsets).select(F.struct(*key).alias("a"), *keys, *((F.col(f"i{a}") + F.col("o")[f"d{a}"]).alias(f"i{a}") for a in "xyz"))
     labels = components(there.join(cells, key).select("a", F.struct(*key).alias("b")))
     named = held.withColumn("node", F.struct(*key)).join(labels, "node", "left").withColumn("door", F.coalesce("label", "node"))
     span = lambda a: F.max(a) - F.min(a)
-    sizes = named.groupBy("door").agg(F.count("*").alias("n_points"), F.greatest(span("x"), span("z")).alias("width"), span("y").alias("height"))
+    sizes = named.groupBy(*keys, "door").agg(F.count("*").alias("n_points"), F.greatest(span("_0"), span("_1")).alias("width"), span("y").alias("height"))
     return sizes.where(F.col("n_points") >= least)
 
 
@@ -66,7 +69,7 @@ def measure_room(points: DataFrame) -> DataFrame:
     """source, name, value_m, seq from points(source, x, y, z, label): yaw, wall spans A and B, floor to ceiling, doors.
 
     The room's direction is found on the wall band; heights are between the floor's and the ceiling's median where both are
-    labelled, else between the 1st and the 99th percentile.
+    labelled, else between the 1st and the 99th percentile. Doors follow from seq 4, by position.
     """
     keys, points = ["source"], stow(points)  # read several times
     bands = height_share(points, keys, "y", WALL_LOW, WALL_HIGH)
@@ -80,16 +83,18 @@ def measure_room(points: DataFrame) -> DataFrame:
     height = heights.select("source", F.lit("floor to ceiling").alias("name"), F.coalesce(F.col("high") - F.col("low"), F.col("q")[1] - F.col("q")[0]).alias("value_m"), F.lit(3).alias("seq"))
     direction = yaw.select("source", F.lit("yaw").alias("name"), F.col("yaw_deg").alias("value_m"), F.lit(0).alias("seq"))
     out = direction
-    for part in (*spans, height):
+    for part in (*spans, height, measure_doors(points, yaw)):
         out = out.unionByName(part)
     return out
 
 
 def measure_doors(points: DataFrame, yaw: DataFrame) -> DataFrame:
-    """source, name, value_m, seq: width and height of each door of one source, by position."""
+    """source, name, value_m, seq: width and height of each door, by position; a source with few door points has none."""
+    marked = points.where(F.col("label") == DOOR)
+    enough = marked.groupBy("source").count().where(F.col("count") > LEAST_LABELLED).select("source")
     a, b = turned(F.col("x"), F.col("z"), -F.radians("yaw_deg"))
-    straight = points.where(F.col("label") == DOOR).join(F.broadcast(yaw), "source").select(a.alias("x"), "y", b.alias("z"))
-    doors = door_sizes(straight).where(F.col("width").between(DOOR_MIN, DOOR_MAX)).withColumn("k", F.row_number().over(Window.orderBy("door")))
-    rows = F.explode(F.array(F.struct(F.lit("door width").alias("name"), F.col("width").alias("value_m")), F.struct(F.lit("door height").alias("name"), F.col("height").alias("value_m"))))
-    return doors.select(F.col("k").alias("seq"), rows.alias("r")).select("r.*", (F.col("seq") + 3).alias("seq"))
-
+    straight = marked.join(F.broadcast(enough), "source", "left_semi").join(F.broadcast(yaw), "source").select("source", "x", "y", "z", a.alias("a"), b.alias("b"))
+    doors = door_sizes(straight, keys=("source",), across=("a", "b")).where(F.col("width").between(DOOR_MIN, DOOR_MAX))
+    placed = doors.withColumn("seq", (F.row_number().over(Window.partitionBy("source").orderBy("door")) + 3).cast("int"))
+    sizes = F.explode(F.array(*(F.struct(F.lit(f"door {n}").alias("name"), F.col(n).alias("value_m")) for n in ("width", "height"))))
+    return placed.select("source", "seq", sizes.alias("r")).select("source", "r.name", "r.value_m", "seq")

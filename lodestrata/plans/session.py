@@ -44,9 +44,9 @@ class Sessions:
 
     @cached_property
     def samples(self) -> DataFrame:
-        """Range samples without whoever carries the sensor."""
+        """Range samples without whoever carries the sensor; written once, as the map, the scans and the corrected map read them."""
         rows = fusion.revolution_samples(self.stream("lidar"), self.yaw_sign).withColumn("_deg", F.degrees("angle"))
-        return fusion.full_revolutions(signal.without_near_sectors(rows, ["session_id"], "_deg", "range_m").drop("_deg"))
+        return stow(fusion.full_revolutions(signal.without_near_sectors(rows, ["session_id"], "_deg", "range_m").drop("_deg")))
 
     def lidar_points(self, path: DataFrame | None = None) -> DataFrame:
         return fusion.lidar_points(self.samples, path if path is not None else self.path, self.rvec, self.tvec, self.lag_us + self.residual_dt_us)
