@@ -1,69 +1,81 @@
 """Mounting of the range sensor: the transform and time offset under which all sessions' maps are sharpest.
 
-The cost of one candidate is a count of occupied cells seen from above. A search runs in one task for each start and session
-group on strided samples with their poses already joined; no candidate ever starts a Spark job.
+The cost of one candidate is a count of occupied cells seen from above. The driver holds only the corners of the search, seven
+numbers each. Every round sends the few candidates of all starts to the strided samples, whose poses are joined already, in one
+pass: cells are made distinct before they are counted, and only one number for each candidate comes back.
 """
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import rodrigues
+from ..functions.geometry import rodrigues, rotate
 from ..functions.scalars import on_stride
+from ..sources.tables import stow
 
 VOXEL, LOW, HIGH, LEAST, FAR_T, FAR_DT, REJECT = 0.02, -1.2, 0.6, 1000, 0.40, 0.10, 1e12
 MOUNTING = (-1.2092, 1.2092, 1.2092, 0.0, 0.10, 0.0, 0.0)
 
 
-def cost(v: np.ndarray, sessions: list[tuple[np.ndarray, ...]]) -> float:
-    """v: rotation vector, translation, seconds; a session: (polar points n x 2, positions n x 3, rotations n x 9, velocities n x 3)."""
-    if np.linalg.norm(v[3:6]) > FAR_T or abs(v[6]) > FAR_DT:
-        return REJECT
-    m, total = np.array(rodrigues(tuple(v[:3]))), 0.0
-    for flat, position, rotation, velocity in sessions:
-        body = flat @ m[:, :2].T + v[3:6]
-        world = np.einsum("nij,nj->ni", rotation.reshape(-1, 3, 3), body) + position - velocity * v[6]
-        h = world[:, 1] - np.median(world[:, 1])
-        held = world[(h > LOW) & (h < HIGH)]
-        if len(held) < LEAST:
-            return REJECT
-        total += len(np.unique(np.floor(held[:, [0, 2]] / VOXEL).astype(np.int64) @ np.array([1 << 32, 1])))
-    return total
+def costs(samples: DataFrame, vectors: np.ndarray, n_sessions: int) -> list[float]:
+    """Cost of each vector (rotation vector, translation, seconds); those out of bounds, or with a session of few points, are rejected."""
+    allowed = [k for k, v in enumerate(vectors) if np.linalg.norm(v[3:6]) <= FAR_T and abs(v[6]) <= FAR_DT]
+    rows = [(k, *(float(x) for row in rodrigues(tuple(vectors[k][:3])) for x in row[:2]), *map(float, vectors[k][3:])) for k in allowed]
+    found = [REJECT] * len(vectors)
+    if not rows:
+        return found
+    turn = [f"m{i}{j}" for i in range(3) for j in range(2)]
+    table = samples.sparkSession.createDataFrame(rows, "k int, " + ", ".join(f"{n} double" for n in [*turn, "t0", "t1", "t2", "dt"]))
+    each = samples.crossJoin(F.broadcast(table))  # a handful of candidates
+    body = tuple(F.col(f"m{i}0") * F.col("a") + F.col(f"m{i}1") * F.col("b") + F.col(f"t{i}") for i in range(3))
+    world = rotate(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw")), body)
+    placed = each.select("k", "session_id", *((w + F.col(f"p{a}") - F.col(f"v{a}") * F.col("dt")).alias(a) for w, a in zip(world, "xyz", strict=True)))
+    middle = placed.groupBy("k", "session_id").agg(F.median("y").alias("middle"))
+    h = F.col("y") - F.col("middle")
+    held = placed.join(F.broadcast(middle), ["k", "session_id"]).where((h > LOW) & (h < HIGH))  # a number for each candidate and session
+    cells = held.groupBy("k", "session_id", *(F.floor(F.col(a) / VOXEL).alias(a) for a in "xz")).agg(F.count("*").alias("n"))
+    sessions = cells.groupBy("k", "session_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
+    for r in sessions.groupBy("k").agg(F.sum("cells").alias("cells"), F.count_if(F.col("n") >= LEAST).alias("full")).collect():
+        if r.full == n_sessions:
+            found[r.k] = float(r.cells)
+    return found
+
 
+def simplex(start: np.ndarray, rounds: int = 3000, xtol: float = 1e-4, ftol: float = 1.0) -> Generator[np.ndarray, list[float], tuple[np.ndarray, float, float]]:
+    """Downhill simplex with steps that suit the dimension: yields the points it wants costs of; returns the best, its cost, the first cost.
 
-def simplex(f, start: np.ndarray, rounds: int = 3000, xtol: float = 1e-4, ftol: float = 1.0) -> tuple[np.ndarray, float]:
-    """Downhill simplex with steps that suit the dimension."""
+    A round asks for all points it may need at once, as a pass over the samples costs more than a few further candidates.
+    """
     n = len(start)
     grow, shrink_in, shrink = 1 + 2 / n, 0.75 - 1 / (2 * n), 1 - 1 / n
     points = np.vstack([start, *(start + np.eye(n)[k] * (0.05 * start[k] if start[k] else 0.01) for k in range(n))])
-    values = np.array([f(p) for p in points])
+    values = np.array((yield points))
+    first = float(values[0])
     for _ in range(rounds):
         order = values.argsort(kind="stable")
         points, values = points[order], values[order]
         if np.abs(points[1:] - points[0]).max() <= xtol and values[-1] - values[0] <= ftol:
             break
-        middle = points[:-1].mean(0)
-        p = 2 * middle - points[-1]
-        v = f(p)
-        if v < values[0]:
-            q = middle + grow * (p - middle)
-            w = f(q)
-            points[-1], values[-1] = (q, w) if w < v else (p, v)
-        elif v < values[-2]:
-            points[-1], values[-1] = p, v
+        middle, worst = points[:-1].mean(0), points[-1].copy()
+        ways = np.array([middle + f * (middle - worst) for f in (1.0, grow, shrink_in, -shrink_in)])
+        mirrored, far, outside, inside = yield ways
+        if mirrored < values[0]:
+            points[-1], values[-1] = (ways[1], far) if far < mirrored else (ways[0], mirrored)
+        elif mirrored < values[-2]:
+            points[-1], values[-1] = ways[0], mirrored
         else:
-            q = middle + shrink_in * ((p if v < values[-1] else points[-1]) - middle)
-            w = f(q)
-            if w < min(v, values[-1]):
-                points[-1], values[-1] = q, w
+            way, value = (ways[2], outside) if mirrored < values[-1] else (ways[3], inside)
+            if value < min(mirrored, values[-1]):
+                points[-1], values[-1] = way, value
             else:
                 points[1:] = points[0] + shrink * (points[1:] - points[0])
-                values[1:] = [f(x) for x in points[1:]]
+                values[1:] = yield points[1:]
     best = int(values.argmin())
-    return points[best], float(values[best])
+    return points[best], float(values[best]), first
 
 
 def posed_samples(points: DataFrame, stride: int = 3) -> DataFrame:
@@ -76,19 +88,22 @@ def posed_samples(points: DataFrame, stride: int = 3) -> DataFrame:
 
 
 def calibrations(samples: DataFrame, starts: list[tuple[float, ...]] = [MOUNTING], rounds: int = 3000) -> DataFrame:  # noqa: B006
-    """start, cost_before, cost_after, and the seven parameters found from each start, starts in parallel."""
+    """start, cost_before, cost_after, and the seven parameters found from each start; starts share their passes."""
     names = ["rx", "ry", "rz", "tx", "ty", "tz", "dt_s"]
-    table = samples.sparkSession.createDataFrame([(k, list(map(float, s))) for k, s in enumerate(starts)], "start int, v array<double>")
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        sessions = []
-        for _, s in group.groupby("session_id"):
-            x, y, z, w = s[["qx", "qy", "qz", "qw"]].to_numpy().T
-            turn = np.stack([1 - 2 * (y * y + z * z), 2 * (x * y - z * w), 2 * (x * z + y * w), 2 * (x * y + z * w), 1 - 2 * (x * x + z * z), 2 * (y * z - x * w), 2 * (x * z - y * w), 2 * (y * z + x * w), 1 - 2 * (x * x + y * y)], 1)
-            sessions.append((s[["a", "b"]].to_numpy(), s[["px", "py", "pz"]].to_numpy(), turn, s[["vx", "vy", "vz"]].to_numpy()))
-        first = np.array(group["v"].iloc[0], float)
-        found, after = simplex(lambda v: cost(v, sessions), first, rounds)
-        return pd.DataFrame([[group["start"].iloc[0], cost(first, sessions), after, *found]], columns=["start", "cost_before", "cost_after", *names])
-
     schema = "start int, cost_before double, cost_after double, " + ", ".join(f"{n} double" for n in names)
-    return samples.crossJoin(F.broadcast(table)).groupBy("start").applyInPandas(run, schema)
+    held = stow(samples.select("session_id", "a", "b", *(f"p{a}" for a in "xyz"), "qx", "qy", "qz", "qw", *(f"v{a}" for a in "xyz")))
+    n_sessions = held.select("session_id").distinct().count()
+    searches = {k: simplex(np.array(s, float), rounds) for k, s in enumerate(starts)}
+    wanted, done = {k: next(s) for k, s in searches.items()}, []
+    while wanted:
+        asked = list(wanted)
+        found = iter(costs(held, np.vstack([wanted[k] for k in asked]), n_sessions))
+        for k in asked:
+            answers = [next(found) for _ in range(len(wanted[k]))]
+            try:
+                wanted[k] = searches[k].send(answers)
+            except StopIteration as end:
+                best, after, before = end.value
+                done.append((k, before, after, *map(float, best)))
+                del wanted[k]
+    return samples.sparkSession.createDataFrame(sorted(done), schema)

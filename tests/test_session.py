@@ -205,8 +205,32 @@ def test_calibration_sharpens_the_map(spark, session):
     body = G.rotate(G.conjugate(tuple(F.col(c) for c in ("qx", "qy", "qz", "qw"))), tuple(F.col(a) - F.col(f"p{a}") for a in "xyz"))
     flat = m.select("session_id", "rev", "t_us", body[0].alias("a"), (-body[2]).alias("b"), "px", "py", "pz", "qx", "qy", "qz", "qw")
     start = (room.RVEC[0], 0.0, 0.03, 0.03, 0.0, 0.02, 0.0)
-    r = calibrate.calibrations(calibrate.posed_samples(flat, 6), [start], 60).first()
+    samples = calibrate.posed_samples(flat, 6)
+    r = calibrate.calibrations(samples, [start], 12).first()
     assert r.cost_after < r.cost_before
+    s = samples.toPandas()
+    body = s[["a", "b"]].to_numpy() @ np.array(G.rodrigues(start[:3]))[:, :2].T + start[3:6]
+    x, y, z, w = s[["qx", "qy", "qz", "qw"]].to_numpy().T
+    axis = np.column_stack([x, y, z])
+    t = 2 * np.cross(axis, body)
+    world = body + w[:, None] * t + np.cross(axis, t) + s[["px", "py", "pz"]].to_numpy()
+    h = world[:, 1] - np.median(world[:, 1])
+    kept = world[(h > calibrate.LOW) & (h < calibrate.HIGH)]
+    plain = len(np.unique(np.floor(kept[:, [0, 2]] / calibrate.VOXEL), axis=0))
+    assert abs(r.cost_before - plain) <= 2  # a point on a cell's edge may round the other way
+    assert calibrate.costs(samples, np.array([[0, 0, 0, 1.0, 0, 0, 0], [0, 0, 0, 0, 0, 0, 0.2]]), 1) == [calibrate.REJECT] * 2
+    assert calibrate.costs(samples, np.array([start]), 2) == [calibrate.REJECT]  # one of two sessions has no points
+
+
+def test_simplex_finds_the_bottom():
+    bottom = np.arange(1.0, 8.0) / 10
+    search = calibrate.simplex(np.zeros(7), ftol=1e-8)
+    wanted = next(search)
+    with pytest.raises(StopIteration) as end:
+        while True:
+            wanted = search.send([float(((p - bottom) ** 2).sum()) for p in wanted])
+    best, after, before = end.value.value
+    assert np.abs(best - bottom).max() < 1e-3 and after < 1e-6 and before == pytest.approx(1.4)
 
 
 def test_gates(spark, session):
