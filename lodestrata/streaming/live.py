@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import socket
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,71 +16,73 @@ from ..sources import schemas
 from ..sources.records import LIMIT, VERSION, WIRE_HEAD, hello_payload, messages
 
 
+#: A message bears the time at which its last byte came, not that of its batch.
+WIRE = schemas.MESSAGES + ", t_arrival_us long"
+
+
 class WireReader(SimpleDataSourceStreamReader):
     """Messages of one live connection. Each read returns what has come; an offset counts messages.
 
-    Rows of a batch are kept until it is committed, so a batch that is run again sees the same rows. Nothing is dropped.
+    Rows of a batch are kept until it is committed, so a batch that is run again sees the same rows. Nothing is dropped. Rows
+    live with the connection: a new driver can't have those of an unfinished batch, and says so instead of leaving them out.
     """
 
     def __init__(self, options: dict):
         self.host, self.port, self.quiet = options.get("host", "127.0.0.1"), int(options["port"]), float(options.get("quiet_s", 5))
-        self.most = int(options.get("max_messages", 4096))
+        self.most, self.wait = int(options.get("max_messages", 4096)), float(options.get("wait_s", 0.2))
         self.link: socket.socket | None = None
-        self.buffer, self.held = b"", {}
+        self.buffer, self.ready, self.held = b"", [], {}
 
     def initialOffset(self) -> dict:
         return {"message": 0}
 
-    def _whole(self) -> list[tuple[int, bytes]]:
+    def _arrived(self) -> list[tuple[int, bytes, int]]:
         if self.link is None:
             self.link = socket.create_connection((self.host, self.port), self.quiet)
-            self.link.settimeout(0.2)
+            self.link.settimeout(self.wait)
+        until = time.monotonic() + self.wait
         try:
-            while len(self.buffer) < LIMIT and (part := self.link.recv(1 << 16)):
+            while len(self.ready) < self.most and time.monotonic() < until and (part := self.link.recv(1 << 16)):
+                now = time.time_ns() // 1000
                 self.buffer += part
+                whole = [(kind, payload, now) for kind, payload in messages(self.buffer)]
+                self.buffer = self.buffer[sum(WIRE_HEAD.size + len(payload) for _, payload, _ in whole) :]
+                self.ready += whole
         except TimeoutError:
             pass
-        found, at = [], 0
-        for kind, payload in messages(self.buffer):
-            found.append((kind, payload))
-            at += WIRE_HEAD.size + len(payload)
-            if len(found) == self.most:
-                break
-        self.buffer = self.buffer[at:]
+        found, self.ready = self.ready[: self.most], self.ready[self.most :]
         return found
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         first = start["message"]
-        rows = [(first + k, kind, payload) for k, (kind, payload) in enumerate(self._whole())]
+        rows = [(first + k, *message) for k, message in enumerate(self._arrived())]
         self.held |= {r[0]: r for r in rows}
         return iter(rows), {"message": first + len(rows)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return iter([self.held[k] for k in range(start["message"], end["message"])])
+        asked = range(start["message"], end["message"])
+        if gone := [k for k in asked if k not in self.held]:
+            raise RuntimeError(f"{len(gone)} messages of an unfinished batch went with the connection; start from a fresh checkpoint")
+        return iter([self.held[k] for k in asked])
 
     def commit(self, end: dict) -> None:
         self.held = {k: r for k, r in self.held.items() if k >= end["message"]}
 
 
 class WireSource(DataSource):
-    """spark.readStream.format("wire").option("port", ...).load(): seq, type, payload."""
+    """spark.readStream.format("wire").option("port", ...).load(): seq, type, payload, t_arrival_us."""
 
     @classmethod
     def name(cls) -> str:
         return "wire"
 
     def schema(self) -> str:
-        return schemas.MESSAGES
+        return WIRE
 
     def simpleStreamReader(self, schema) -> WireReader:
         return WireReader(self.options)
 
 
-def stamped(raw: DataFrame) -> DataFrame:
-    """Every message gets its arrival, whatever its type."""
-    return raw.withColumn("t_arrival_us", F.unix_micros(F.current_timestamp()))
-
-
 def greeting(payload: bytes) -> dict:
     found = hello_payload(payload)
     if found["version"] != VERSION:

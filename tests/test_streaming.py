@@ -66,7 +66,7 @@ def test_live_wire(spark, folder):
 
     threading.Thread(target=serve, daemon=True).start()
     spark.dataSource.register(live.WireSource)
-    stream = live.stamped(spark.readStream.format("wire").option("port", server.getsockname()[1]).load())
+    stream = spark.readStream.format("wire").option("port", server.getsockname()[1]).option("wait_s", 2).load()
     q = stream.writeStream.format("memory").queryName("wired").option("checkpointLocation", f"{folder}/ck").start()
     for _ in range(100):
         if q.exception() is not None or spark.table("wired").count() >= 4:
@@ -75,6 +75,9 @@ def test_live_wire(spark, folder):
     q.stop()
     rows = spark.table("wired").orderBy("seq").collect()
     assert [r.type for r in rows] == [records.HELLO, records.POSE_TYPE, records.POSE_TYPE, records.POSE_TYPE]
-    assert all(r.t_arrival_us > 0 for r in rows) and live.greeting(bytes(rows[0].payload))["name"] == "p"
+    gap = rows[-1].t_arrival_us - rows[0].t_arrival_us  # both halves may lie in one batch
+    assert 50_000 < gap < 5_000_000 and live.greeting(bytes(rows[0].payload))["name"] == "p"
+    with pytest.raises(RuntimeError, match="fresh checkpoint"):
+        live.WireReader({"port": 1}).readBetweenOffsets({"message": 0}, {"message": 2})
     with pytest.raises(ValueError, match="version"):
         live.greeting(records.pack_hello(3, "", "", 0))
