@@ -7,10 +7,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat
+from . import chat, infill, vectors
 from .chat import collapse
 from .common import table, workers_import
 from .decontaminate import benchmark_leaks
+from .infill import fill_in_middle, restored_sha256
 from .lattice import document_scores
 from .order_minhash import near_duplicates
 from .packing import pack
@@ -19,6 +20,7 @@ from .quality import quality_verdicts
 from .suffixes import remove_repeats
 from .tokens import token_counts
 from .toxicity import toxicity_scores
+from .vectors import vector_codes
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +72,16 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op4_compact_windows, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing)}
-ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    found = fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored_sha256("output", "form").alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op4_compact_windows, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing, op11_vector_codes, op12_fill_in_middle)}
+ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL, "op11_vector_codes": vectors.SQL, "op12_fill_in_middle": infill.SQL}
