@@ -17,6 +17,7 @@ from .order_minhash import near_duplicates
 from .packing import pack
 from .passages import repeated_passages
 from .quality import quality_verdicts
+from .simhash import hexadecimal, simhash_components
 from .suffixes import remove_repeats
 from .tokens import token_counts
 from .toxicity import toxicity_scores
@@ -83,5 +84,10 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", restored_sha256("output", "form").alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op4_compact_windows, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing, op11_vector_codes, op12_fill_in_middle)}
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    workers_import(spark)
+    return simhash_components(table(spark, sf_dir, "documents")).select("doc_id", hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_rules, op2_toxicity, op3_lattice_scores, op4_compact_windows, op5_benchmark_leaks, op6_suffix_dedup, op8_chat_collapse, op7_token_counts, op9_order_minhash, op10_best_fit_packing, op11_vector_codes, op12_fill_in_middle, op13_simhash)}
 ORACLES: dict[str, str] = {"op8_chat_collapse": chat.SQL, "op11_vector_codes": vectors.SQL, "op12_fill_in_middle": infill.SQL}
