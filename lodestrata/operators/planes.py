@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .robust import mad
+
 TRIES, NEAR, LEAN, SEED, LEAST = 200, 0.03, 0.35, 0, 200
 
 
@@ -61,6 +63,5 @@ def wall_thickness(points: DataFrame, tries: int = TRIES, near: float = NEAR, le
     a, b, c, d = best
     off = a * F.col("x") + b * F.col("y") + c * F.col("z") - d
     held = points.where(F.abs(off) < near).select(off.alias("off"))
-    middle = held.agg(F.median("off")).first()[0]
-    sigma = held.agg(1.4826 * F.median(F.abs(F.col("off") - F.lit(middle)))).first()[0]
+    sigma = mad(held, [], "off").first().sigma
     return float(sigma), int(most)

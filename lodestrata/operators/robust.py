@@ -5,17 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def quantiles(rows: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
-    """keys and exact quantiles with linear interpolation; equal values are counted before they are sorted."""
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).count()
-    return counted.groupBy(*keys).agg(*(F.percentile(value, p, F.col("count")).alias(n) for n, p in points.items()))
+from ..sources.tables import checked
+from .ranks import matched, quantiles
 
 
 def mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """keys, middle, sigma: 1.4826 times the median distance from the median."""
     middle = quantiles(rows, keys, value, {"middle": 0.5})
-    off = (rows.join(middle, keys) if keys else rows.crossJoin(F.broadcast(middle))).withColumn("_off", F.abs(F.col(value) - F.col("middle")))
+    off = matched(rows, middle, keys).withColumn("_off", F.abs(F.col(value) - F.col("middle")))
     spread = quantiles(off, [*keys, "middle"], "_off", {"_mad": 0.5})
     return spread.select(*keys, "middle", (1.4826 * F.col("_mad")).alias("sigma"))
 
@@ -86,4 +83,4 @@ def height_share(points: DataFrame, keys: list[str], y: str, low: float, high: f
     """Points strictly within a band around their group's median height."""
     middle = quantiles(points, keys, y, {"_middle": 0.5})
     h = F.col(y) - F.col("_middle")
-    return points.join(F.broadcast(middle), keys).where((h > low) & (h < high)).drop("_middle")
+    return matched(points, middle, keys).where((h > low) & (h < high)).drop("_middle")

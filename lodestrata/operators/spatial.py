@@ -7,6 +7,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import matched, quantiles
+
 
 def cells(axes: list[str], size: float, names: list[str] | None = None) -> list[Column]:
     """Integer cell of each axis."""
@@ -20,9 +22,9 @@ def occupied(points: DataFrame, axes: list[str], size: float) -> DataFrame:
 
 def height_band(points: DataFrame, y: str, low: float, high: float) -> DataFrame:
     """Points strictly within a band around the median height."""
-    middle = points.agg(F.median(y).alias("_middle"))
+    middle = quantiles(points, [], y, {"_middle": 0.5})
     h = F.col(y) - F.col("_middle")
-    return points.crossJoin(F.broadcast(middle)).where((h > low) & (h < high)).drop("_middle")
+    return matched(points, middle, []).where((h > low) & (h < high)).drop("_middle")
 
 
 def topdown_cells(points: DataFrame, x: str, y: str, z: str, size: float, low: float, high: float) -> DataFrame:

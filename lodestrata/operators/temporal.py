@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import evenly_spread
+from ..sources.tables import stow
+from .ranks import matched, placed, quantiles
 
 
 def with_gap(rows: DataFrame, keys: list[str], t: str, *ties: str, name: str = "gap") -> DataFrame:
@@ -21,14 +23,16 @@ def with_gap(rows: DataFrame, keys: list[str], t: str, *ties: str, name: str = "
 def gap_stats(rows: DataFrame, keys: list[str], t: str, *ties: str) -> DataFrame:
     """keys, n_rows, median_gap, worst_gap, hz: rate by the median gap."""
     gaps = with_gap(rows, keys, t, *ties)
-    return gaps.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.median("gap").alias("median_gap"), F.max("gap").alias("worst_gap"), (1e6 / F.median("gap")).alias("hz"))
+    middle = quantiles(gaps, keys, "gap", {"median_gap": 0.5})
+    whole = gaps.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.max("gap").alias("worst_gap"))
+    return matched(whole, middle, keys, "left").select(*keys, "n_rows", "median_gap", "worst_gap", (1e6 / F.col("median_gap")).alias("hz"))
 
 
 def bursts(rows: DataFrame, keys: list[str], t: str, *ties: str, near: float = 0.1, share: float = 0.05) -> DataFrame:
     """keys, near_zero (share of gaps under near times the median), bunched."""
     gaps = with_gap(rows, keys, t, *ties).where("gap is not null")
-    middle = gaps.groupBy(*keys).agg(F.median("gap").alias("middle"))
-    part = gaps.join(middle, keys).groupBy(*keys).agg(F.avg((F.col("gap") < near * F.col("middle")).cast("double")).alias("near_zero"))
+    middle = quantiles(gaps, keys, "gap", {"middle": 0.5})
+    part = matched(gaps, middle, keys).groupBy(*keys).agg(F.avg((F.col("gap") < near * F.col("middle")).cast("double")).alias("near_zero"))
     return part.withColumn("bunched", F.col("near_zero") > share)
 
 
@@ -61,9 +65,8 @@ def segments(rows: DataFrame, keys: list[str], t: str, value: str, jump: float,
 
 def spread_sample(rows: DataFrame, keys: list[str], order: list[str], most: int) -> DataFrame:
     """At most `most` rows of each series, evenly spread over its order."""
-    w = Window.partitionBy(*keys)
-    placed = rows.withColumn("_n", F.count("*").over(w)).withColumn("_k", F.row_number().over(w.orderBy(*order)) - 1)
-    return placed.where(evenly_spread(F.col("_k"), F.col("_n"), most)).drop("_n", "_k")
+    found = placed(rows, keys, order, "_k", "_n")
+    return found.where(evenly_spread(F.col("_k") - 1, F.col("_n"), most)).drop("_n", "_k")
 
 
 def theil_sen(rows: DataFrame, keys: list[str], x: str, y: str, most: int = 800) -> DataFrame:
@@ -87,7 +90,7 @@ def clock_segments(rows: DataFrame, keys: list[str], device: str, arrival: str,
     shorter one its median delay. All segments then use the pooled slope with their own intercepts.
     """
     delays = rows.select(*keys, F.col(device).alias("t"), (F.col(arrival) - F.col(device)).alias("delay"), seq)
-    cut = segments(envelope(delays, keys, "t", "delay", seq, width), keys, "t", "delay", jump)
+    cut = stow(segments(envelope(delays, keys, "t", "delay", seq, width), keys, "t", "delay", jump))
     own = [*keys, "segment"]
     bounds = cut.groupBy(*own).agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("n"), F.median("delay").alias("middle"))
     local = cut.join(bounds.select(*own, "start_us"), own).withColumn("x", (F.col("t") - F.col("start_us")).cast("double")).withColumn("y", F.col("delay").cast("double"))
@@ -161,11 +164,9 @@ def plausible_periods(rows: DataFrame, keys: list[str], t: str, low: int, high:
     return with_gap(rows, keys, t, name="period").where((F.col("period") > low) & (F.col("period") < high))
 
 
-def global_positions(rows: DataFrame, t: str, order: list[str], bucket: int, name: str = "position") -> DataFrame:
-    """Adds the place (from 1) in the whole table's order, which begins with t; only counts of buckets meet in one task."""
-    cut = rows.withColumn("_b", F.floor(F.col(t) / bucket))
-    before = cut.groupBy("_b").count().withColumn("_first", F.coalesce(F.sum("count").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    return cut.withColumn("_k", F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(before, "_b").withColumn(name, F.col("_first") + F.col("_k")).drop("_b", "_k", "_first")
+def global_positions(rows: DataFrame, order: list[str], name: str = "position") -> DataFrame:
+    """Adds the place (from 1) in the whole table's order."""
+    return placed(rows, [], order, name)
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:

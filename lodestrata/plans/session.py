@@ -87,7 +87,7 @@ class Sessions:
     def occupancy(self, session: str) -> DataFrame:
         """ix, iy, iz, logodds, state of one session's voxels from its corrected range samples."""
         points = self.lidar_points(self.corrected_path).where(F.col("session_id") == session)
-        placed = temporal.global_positions(points, "t_us", ["t_us", "rev", "x", "y", "z"], 10_000_000)
+        placed = temporal.global_positions(points, ["t_us", "rev", "x", "y", "z"])
         rays = placed.select((F.col("position") - 1).alias("seq"), *(F.col(f"p{a}").alias(f"o{a}") for a in "xyz"), *(F.col(a).alias(f"h{a}") for a in "xyz"))
         return mapping.classified(mapping.fold(mapping.evidence(stow(rays))))
 

@@ -49,7 +49,7 @@ select t, stream, idx, row_number() over (order by t, stream, idx) as position f
 def stream_merge_order(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(micros(F.col("o_orderdate")).alias("t"), F.lit(0).alias("stream"), F.col("o_orderkey").alias("idx"))
     rows = orders.unionByName(events(spark, sf_dir).select("t", F.lit(1).alias("stream"), F.col("event_id").alias("idx")))
-    return temporal.global_positions(rows, "t", ["t", "stream", "idx"], 30 * DAY)
+    return temporal.global_positions(rows, ["t", "stream", "idx"])
 
 
 @query(f"""with {EVENTS}, g as (select *, t - lag(t) over (partition by user_id order by t, event_id) as gap from e)
