@@ -5,6 +5,7 @@ Each stream is a file of records; a record cut short at the end is left out. Lay
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
@@ -20,7 +21,7 @@ POSE = np.dtype([("t_device_us", "<u8"), ("p", "<f4", 3), ("q", "<f4", 4), ("k",
 STORED_POSE = np.dtype([("t_arrival_us", "<u8"), ("pose", POSE)])
 SAMPLE = np.dtype([("angle_q6", "<u2"), ("dist_q2", "<u2"), ("quality", "u1")])
 LIDAR_HEAD, FRAME_HEAD, SIZED_HEAD = struct.Struct("<QIH"), struct.Struct("<QQHHI"), struct.Struct("<QI")
-DEPTH_HEAD, MESH_HEAD, WIRE_HEAD = struct.Struct("<QHH4f"), struct.Struct("<Q16s16fII"), struct.Struct("<IB")
+DEPTH_HEAD, MESH_HEAD, WIRE_HEAD, WIRE_FRAME_HEAD = struct.Struct("<QHH4f"), struct.Struct("<Q16s16fII"), struct.Struct("<IB"), struct.Struct("<QHHI")
 HELLO, POSE_TYPE, FRAME_TYPE, DEPTH_TYPE, MESH_TYPE = 0x01, 0x02, 0x03, 0x04, 0x05
 LIMIT, VERSION = 16 << 20, 1
 FILES = {"poses": "poses.bin", "lidar": "lidar.bin", "frames": "frames.bin", "depth": "depth.bin", "mesh": "mesh.bin"}
@@ -172,28 +173,78 @@ def messages(data: bytes) -> Iterator[tuple[int, bytes]]:
         yield kind, payload
 
 
-def decode_poses(raw: DataFrame) -> DataFrame:
-    """seq and pose columns of messages(seq, type, payload); other types pass by, payloads of another size are dropped."""
+def frame_payload(x: bytes) -> dict:
+    device, w, h, n = WIRE_FRAME_HEAD.unpack_from(x)
+    if len(x) < WIRE_FRAME_HEAD.size + n:
+        raise ValueError(f"frame of {n} bytes in a payload of {len(x)}")
+    return {"t_device_us": device, "width": w, "height": h, "jpeg": x[WIRE_FRAME_HEAD.size : WIRE_FRAME_HEAD.size + n]}
+
+
+def pose_payload(x: bytes) -> dict:
+    if len(x) != POSE.itemsize:
+        raise ValueError(f"pose of {len(x)} bytes instead of {POSE.itemsize}")
+    return _pose(np.frombuffer(x, POSE)[0])
+
+
+def pack_frame(x: dict) -> bytes:
+    return WIRE_FRAME_HEAD.pack(x["t_device_us"], x["width"], x["height"], len(x["jpeg"])) + x["jpeg"]
+
+
+#: By stream: type of its wire messages, and what decodes a payload.
+PAYLOADS = {"poses": (POSE_TYPE, pose_payload), "frames": (FRAME_TYPE, frame_payload), "depth": (DEPTH_TYPE, depth_payload), "mesh": (MESH_TYPE, mesh_payload)}
+
+
+def stream_fields(stream: str, *without: str) -> list[str]:
+    """Names and types of a stream's columns, without some of them."""
+    return [f for f in (x.strip() for x in re.split(r",(?![^<]*>)", schemas.STREAMS[stream])) if f.split()[0] not in without]
+
+
+def decoded_messages(raw: DataFrame, stream: str, keep: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
+    """keep, seq and the stream's device columns, from messages(seq, type, payload); other types pass by.
+
+    A payload that can't be decoded is an error, or is left out if not strict.
+    """
+    kind, reader = PAYLOADS[stream]
+    fields = stream_fields(stream, "session_id", "seq", "t_arrival_us")
+    held = [f"{c} {raw.schema[c].dataType.simpleString()}" for c in (*keep, "seq")]
+    names = [f.split()[0] for f in (*held, *fields)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            found = np.frombuffer(b"".join(map(bytes, part["payload"])), POSE)
-            yield pd.DataFrame([{"seq": s} | _pose(x) for s, x in zip(part["seq"], found, strict=True)], columns=["seq", *_pose(np.zeros(1, POSE)[0])])
+            rows = []
+            for *own, payload in part[[*keep, "seq", "payload"]].itertuples(index=False):
+                try:
+                    found = reader(bytes(payload))
+                except (ValueError, struct.error) as e:
+                    if strict:
+                        raise ValueError(f"could not decode message {own[-1]} of type {kind:#04x}: {e}") from e
+                    continue
+                rows.append((*own, *(found[n] for n in names[len(own) :])))
+            yield pd.DataFrame(rows, columns=names)
 
-    names = [c.strip() for c in schemas.POSES.split(",")][3:]
-    return raw.where((F.col("type") == POSE_TYPE) & (F.octet_length("payload") == POSE.itemsize)).mapInPandas(run, ", ".join(["seq long", *names]))
+    return raw.where(F.col("type") == kind).select(*keep, "seq", "payload").mapInPandas(run, ", ".join([*held, *fields]))
 
 
-def lidar_packets(data: bytes) -> Iterator[tuple[bool, float, float, int]]:
-    """(start of a revolution, degrees, millimetres, quality) from the sensor's five-byte packets; slides a byte where the marks are wrong."""
+def decode_poses(raw: DataFrame) -> DataFrame:
+    """seq and pose columns of messages(seq, type, payload); other types pass by, payloads of another size are dropped."""
+    return decoded_messages(raw, "poses", strict=False)
+
+
+def packets(data: bytes) -> Iterator[tuple[int, bool, float, float, int]]:
+    """(end, start of a revolution, degrees, millimetres, quality) of the sensor's five-byte packets; slides a byte where the marks are wrong."""
     at = 0
     while at + 5 <= len(data):
         a, b, c, d, e = data[at : at + 5]
         if (a & 1) == (a >> 1 & 1) or not b & 1:
             at += 1
             continue
-        yield bool(a & 1), (b >> 1 | c << 7) / 64, (d | e << 8) / 4, a >> 2
         at += 5
+        yield at, bool(a & 1), (b >> 1 | c << 7) / 64, (d | e << 8) / 4, a >> 2
+
+
+def lidar_packets(data: bytes) -> Iterator[tuple[bool, float, float, int]]:
+    """(start of a revolution, degrees, millimetres, quality) of the sensor's packets."""
+    return (p[1:] for p in packets(data))
 
 
 def revolutions(samples: DataFrame) -> DataFrame:

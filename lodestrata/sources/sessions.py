@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .records import read_stream
+from .records import read_stream, stream_fields
 
 MAX_STREAMS = ["poses", "lidar", "frames", "depth", "mesh"]
 
@@ -19,7 +21,24 @@ def import_sessions(spark: SparkSession, root: str, out: str) -> None:
 
 def stream_table(spark: SparkSession, out: str, stream: str) -> DataFrame:
     """A stream's table; only the columns asked for are read, so poses never touch images."""
-    return spark.read.schema(schemas.STREAMS[stream]).parquet(f"{out}/{stream}")
+    return spark.read.schema(schemas.STREAMS[stream]).parquet(f"{out}/{stream}").select(*(f.split()[0] for f in stream_fields(stream)))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file where Spark writes tables, put in its place as a whole."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place, part = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.part")
+    files = place.getFileSystem(conf)
+    out = files.create(part, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    files.delete(place, False)
+    if not files.rename(part, place):
+        raise OSError(f"{path} couldn't be put in its place")
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> None:
+    write_text(spark, path, json.dumps(value, indent=2) + "\n")
 
 
 def manifests(spark: SparkSession, root: str) -> DataFrame:

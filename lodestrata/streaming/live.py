@@ -2,71 +2,203 @@
 
 from __future__ import annotations
 
+import json
 import socket
+import threading
 import time
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import schemas
-from ..sources.records import LIMIT, VERSION, WIRE_HEAD, hello_payload, messages
+from ..sources.records import LIMIT, VERSION, WIRE_HEAD, hello_payload, messages, packets
 
-
-#: A message bears the time at which its last byte came, not that of its batch.
+#: A row bears the time at which its last byte came, not that of its batch.
 WIRE = schemas.MESSAGES + ", t_arrival_us long"
+RANGES = "seq long, rev_id long, samples array<struct<angle_q6:int,dist_q2:int,quality:short>>, t_arrival_us long"
+
+
+class Log:
+    """Rows of a live connection in a shared folder, one file for each read, from before they are offered until their batch is committed."""
+
+    def __init__(self, folder: str):
+        self.files, self.folder = pa.fs.FileSystem.from_uri(folder)
+        self.files.create_dir(self.folder, recursive=True)
+
+    def _held(self) -> list[tuple[int, int, str]]:
+        found = self.files.get_file_info(pa.fs.FileSelector(self.folder))
+        return sorted((*map(int, f.base_name.removesuffix(".arrow").split("-")), f.path) for f in found if f.base_name.endswith(".arrow"))
+
+    def put(self, first: int, rows: list[tuple], types: pa.Schema) -> None:
+        path = f"{self.folder}/{first:020d}-{first + len(rows):020d}.arrow"
+        with self.files.open_output_stream(f"{path}.part") as sink, pa.ipc.new_stream(sink, types) as out:
+            out.write_batch(pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), types, strict=True)], schema=types))
+        self.files.move(f"{path}.part", path)
+
+    def rows(self, start: int, end: int | None = None) -> list[tuple]:
+        out = []
+        for first, last, path in self._held():
+            if last <= start or end is not None and first >= end:
+                continue
+            with self.files.open_input_stream(path) as source:
+                held = pa.ipc.open_stream(source).read_all()
+            out += [r for r in zip(*(c.to_pylist() for c in held.columns), strict=True) if r[0] >= start and (end is None or r[0] < end)]
+        return out
+
+    def drop(self, end: int) -> None:
+        for _, last, path in self._held():
+            if last <= end:
+                self.files.delete_file(path)
+
+
+class LinkReader(SimpleDataSourceStreamReader):
+    """Rows of one live connection. A thread takes bytes as they come and stamps rows; each read returns what has come.
 
+    An offset counts rows, and those dropped so far, which a listener finds in the query's progress. Without most_waiting
+    nothing is dropped: the thread stops taking bytes while max_rows are waiting, and the sender waits. With it, the queue
+    keeps so many rows and drops the newest or the oldest beyond.
 
-class WireReader(SimpleDataSourceStreamReader):
-    """Messages of one live connection. Each read returns what has come; an offset counts messages.
+    With a log folder (a URI that all executors share) rows are written there before they are offered, so a batch that a lost
+    driver left unfinished is read again from the log, and rows that it never offered follow. Bytes that no read had taken go
+    with the connection, as no sender of this protocol keeps them. Without a log all rows live with the connection, and a new
+    driver says that those of an unfinished batch are gone instead of leaving them out.
 
-    Rows of a batch are kept until it is committed, so a batch that is run again sees the same rows. Nothing is dropped. Rows
-    live with the connection: a new driver can't have those of an unfinished batch, and says so instead of leaving them out.
+    A connection that brings nothing for first_s at the start, or for quiet_s later, and one that the sender closes end the
+    query with an error, once the rows that came before are read.
     """
 
+    FIRST_S, QUIET_S, DROPS = 5.0, 5.0, "newest"
+    TYPES = pa.schema([])
+
     def __init__(self, options: dict):
-        self.host, self.port, self.quiet = options.get("host", "127.0.0.1"), int(options["port"]), float(options.get("quiet_s", 5))
-        self.most, self.wait = int(options.get("max_messages", 4096)), float(options.get("wait_s", 0.2))
-        self.link: socket.socket | None = None
-        self.buffer, self.ready, self.held = b"", [], {}
+        self.host, self.port = options.get("host", "127.0.0.1"), int(options["port"])
+        self.quiet = float(options.get("quiet_s", self.QUIET_S))
+        self.first = float(options.get("first_s", options.get("quiet_s", self.FIRST_S)))
+        self.most, self.wait = int(options.get("max_rows", 4096)), float(options.get("wait_s", 0.2))
+        self.waiting = int(options["most_waiting"]) if "most_waiting" in options else None
+        self.drops = options.get("drops", self.DROPS)
+        self.log = Log(options["log"]) if "log" in options else None
+        self.held: dict[int, tuple] = {}
+        self.dropped, self.error, self.thread = 0, None, None
+
+    def cut(self, data: bytes) -> tuple[list[tuple], bytes]:
+        """Whole rows (without number and time), and the bytes left."""
+        raise NotImplementedError
 
     def initialOffset(self) -> dict:
-        return {"message": 0}
+        return {"message": 0, "dropped": 0}
+
+    def _connect(self) -> None:
+        self.ready, self.turn = deque(), threading.Condition()
+        link = socket.create_connection((self.host, self.port), self.first)
+        link.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)
+        self.thread = threading.Thread(target=self._listen, args=(link,), daemon=True)
+        self.thread.start()
 
-    def _arrived(self) -> list[tuple[int, bytes, int]]:
-        if self.link is None:
-            self.link = socket.create_connection((self.host, self.port), self.quiet)
-            self.link.settimeout(self.wait)
-        until = time.monotonic() + self.wait
+    def _listen(self, link: socket.socket) -> None:
+        data, limit = b"", self.first
         try:
-            while len(self.ready) < self.most and time.monotonic() < until and (part := self.link.recv(1 << 16)):
-                now = time.time_ns() // 1000
-                self.buffer += part
-                whole = [(kind, payload, now) for kind, payload in messages(self.buffer)]
-                self.buffer = self.buffer[sum(WIRE_HEAD.size + len(payload) for _, payload, _ in whole) :]
-                self.ready += whole
+            with link:
+                while True:
+                    link.settimeout(limit)
+                    part = link.recv(1 << 16)
+                    if not part:
+                        raise ConnectionError("the sender closed the connection")
+                    now, limit = time.time_ns() // 1000, self.quiet
+                    rows, data = self.cut(data + part)
+                    self._offer([(*r, now) for r in rows])
         except TimeoutError:
-            pass
-        found, self.ready = self.ready[: self.most], self.ready[self.most :]
+            self.error = TimeoutError(f"the stream went quiet: nothing came for {limit:g} s")
+        except Exception as e:
+            self.error = e
+        with self.turn:
+            self.turn.notify_all()
+
+    def _offer(self, rows: list[tuple]) -> None:
+        with self.turn:
+            for row in rows:
+                if self.waiting is None:
+                    self.turn.wait_for(lambda: len(self.ready) < self.most)
+                elif len(self.ready) >= self.waiting:
+                    self.dropped += 1
+                    if self.drops == "newest":
+                        continue
+                    self.ready.popleft()
+                self.ready.append(row)
+                self.turn.notify_all()
+
+    def _arrived(self) -> list[tuple]:
+        if self.thread is None:
+            self._connect()
+        with self.turn:
+            self.turn.wait_for(lambda: self.ready or self.error, self.wait)
+            if not self.ready and self.error:
+                raise self.error
+            found = [self.ready.popleft() for _ in range(min(self.most, len(self.ready)))]
+            self.turn.notify_all()
         return found
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
         first = start["message"]
-        rows = [(first + k, *message) for k, message in enumerate(self._arrived())]
-        self.held |= {r[0]: r for r in rows}
-        return iter(rows), {"message": first + len(rows)}
+        rows = self.log.rows(first) if self.log and self.thread is None else []  # logged, but in no batch when the driver went
+        if not rows:
+            rows = [(first + k, *row) for k, row in enumerate(self._arrived())]
+            if self.log and rows:
+                self.log.put(first, rows, self.TYPES)
+        if not self.log:
+            self.held |= {r[0]: r for r in rows}
+        return iter(rows), {"message": first + len(rows), "dropped": self.dropped if rows else start.get("dropped", 0)}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
         asked = range(start["message"], end["message"])
-        if gone := [k for k in asked if k not in self.held]:
+        held = {r[0]: r for r in self.log.rows(asked.start, asked.stop)} if self.log else self.held
+        if gone := [k for k in asked if k not in held]:
             raise RuntimeError(f"{len(gone)} messages of an unfinished batch went with the connection; start from a fresh checkpoint")
-        return iter([self.held[k] for k in asked])
+        return iter([held[k] for k in asked])
 
     def commit(self, end: dict) -> None:
         self.held = {k: r for k, r in self.held.items() if k >= end["message"]}
+        if self.log:
+            self.log.drop(end["message"])
+
+
+class WireReader(LinkReader):
+    """Messages of a phone: type and payload."""
+
+    TYPES = pa.schema([("seq", pa.int64()), ("type", pa.int32()), ("payload", pa.binary()), ("t_arrival_us", pa.int64())])
+
+    def cut(self, data: bytes) -> tuple[list[tuple], bytes]:
+        rows = list(messages(data))
+        return rows, data[sum(WIRE_HEAD.size + len(payload) for _, payload in rows) :]
+
+
+class RangeReader(LinkReader):
+    """Revolutions of a range sensor whose serial bytes a bridge sends on. It takes time to spin up, and may drop the oldest."""
+
+    FIRST_S, QUIET_S, DROPS = 8.0, 2.0, "oldest"
+    _SAMPLES = pa.list_(pa.struct([("angle_q6", pa.int32()), ("dist_q2", pa.int32()), ("quality", pa.int16())]))
+    TYPES = pa.schema([("seq", pa.int64()), ("rev_id", pa.int64()), ("samples", _SAMPLES), ("t_arrival_us", pa.int64())])
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.revolution: list[dict] = []
+        self.turns = 0
+
+    def cut(self, data: bytes) -> tuple[list[tuple], bytes]:
+        rows, at = [], 0
+        for at, start, degrees, mm, quality in packets(data):
+            if start and self.revolution:
+                rows.append((self.turns, self.revolution))
+                self.revolution, self.turns = [], self.turns + 1
+            self.revolution.append({"angle_q6": round(degrees * 64), "dist_q2": round(mm * 4), "quality": quality})
+        return rows, data[at:]
 
 
 class WireSource(DataSource):
@@ -83,6 +215,54 @@ class WireSource(DataSource):
         return WireReader(self.options)
 
 
+class RangeSource(DataSource):
+    """spark.readStream.format("ranges").option("port", ...).load(): seq, rev_id, samples, t_arrival_us."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "ranges"
+
+    def schema(self) -> str:
+        return RANGES
+
+    def simpleStreamReader(self, schema) -> RangeReader:
+        return RangeReader(self.options)
+
+
+def dropped_rows(progress: dict | str) -> int:
+    """Rows that a query's live sources have dropped so far, from its progress."""
+    found = json.loads(progress) if isinstance(progress, str) else progress
+    ends = [json.loads(x["endOffset"]) if isinstance(x.get("endOffset"), str) else x.get("endOffset") for x in found["sources"]]
+    return sum(e.get("dropped", 0) for e in ends if isinstance(e, dict))
+
+
+def quiet_keys(rows: DataFrame, key: str, t: str, first_ms: int, quiet_ms: int) -> DataFrame:
+    """key, t, waited_ms: a row for each key that brings nothing for quiet_ms (or first_ms after its first row), by the clock of the tasks.
+
+    t is the time of its last row. A key that comes back is watched again from the start.
+    """
+
+    def run(key_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            last, waited = state.get
+            state.remove()
+            yield pd.DataFrame([(key_[0], last, waited)], columns=["key", "t", "waited_ms"])
+            return
+        last, waited = state.get if state.exists else (None, 0)
+        rows_ = 0
+        for part in parts:
+            rows_ += len(part)
+            if len(part):
+                top = int(part[t].max())
+                last = top if last is None else max(last, top)
+        waited = quiet_ms if state.exists or rows_ > 1 else first_ms
+        state.update((last, waited))
+        state.setTimeoutDuration(waited)
+
+    kind = rows.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandasWithState(run, f"key {kind}, t long, waited_ms long", "last long, waited long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
 def greeting(payload: bytes) -> dict:
     found = hello_payload(payload)
     if found["version"] != VERSION:
