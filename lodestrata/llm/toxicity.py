@@ -5,7 +5,8 @@ digit or sign substitutions replaced by the letter they stand for. The lexicon h
 each weighted by its log odds between toxic and other labelled documents of a bounded sample; two-word phrases that
 contain a lexicon word but stand in harmless documents become exceptions, which cancel the hits inside them. A
 document's score is a logistic function of its weight sum, its weight per hundred words and its number of kinds, fitted
-on the same sample.
+on the same sample. All candidates of the sample are compared: the sample alone bounds what comes to the driver, patterns in
+MIN_DOCUMENTS toxic documents of it.
 
 Null and empty texts have no hits and get the score of such documents. With no labelled rows of both kinds the lexicon
 is empty and every score is the share of toxic labels (0 without labels). Repeated rows are scored one by one; labels
@@ -30,8 +31,6 @@ from .quality import labelled_sample
 
 #: Labelled documents that the lexicon and the score are fitted on, at most about so many.
 SAMPLE_ROWS = 12_000
-#: Candidates that are compared, those in most toxic documents first; entries of the lexicon are fewer.
-CANDIDATES = 50_000
 MIN_DOCUMENTS, MIN_WEIGHT, STEMS = 5, 2.5, range(4, 9)
 MODULUS, HELD_OUT = 4, 2
 CUT = 0.3
@@ -81,11 +80,14 @@ class Lexicon:
 
     def automaton(self) -> ahocorasick.Automaton:
         if self._automaton is None:
+            entries: dict[str, list[tuple[bool, float, str | None]]] = {}  # a whole word and a beginning may have the same letters
+            for p, w in sorted(self.weights.items()):
+                entries.setdefault(p.rstrip(" "), []).append((p[-1] == " ", w, p))
+            for p in sorted(self.exceptions):
+                entries.setdefault(p, []).append((True, 0.0, None))
             self._automaton = ahocorasick.Automaton()
-            for p, w in self.weights.items():
-                self._automaton.add_word(p.rstrip(" "), (len(p.rstrip(" ")), p[-1] == " ", w, p))
-            for p in self.exceptions:
-                self._automaton.add_word(p, (len(p), True, 0.0, None))
+            for letters, found in entries.items():
+                self._automaton.add_word(letters, (len(letters), found))
             self._automaton.make_automaton()
         return self._automaton
 
@@ -97,16 +99,18 @@ class Lexicon:
         shown = folded(seen)
         best: dict[int, tuple[int, int, float, str]] = {}
         freed: list[tuple[int, int]] = []
-        for last, (n, whole, weight, pattern) in self.automaton().iter(shown):
+        for last, (n, entries) in self.automaton().iter(shown):
             start, end = last - n + 1, last + 1
             if start and (seen[start - 1].isalpha() or shown[start - 1].isalpha() and not _SIGNS.match(seen[start - 1])):
                 continue
-            if whole and end < len(seen) and seen[end].isalpha():
-                continue
-            if pattern is None:
-                freed.append((start, end))
-            elif start not in best or weight > best[start][2]:
-                best[start] = (start, end, weight, pattern)
+            goes_on = end < len(seen) and seen[end].isalpha()
+            for whole, weight, pattern in entries:
+                if whole and goes_on:
+                    continue
+                if pattern is None:
+                    freed.append((start, end))
+                elif start not in best or weight > best[start][2]:
+                    best[start] = (start, end, weight, pattern)
         return [h for h in best.values() if not any(a <= h[0] and h[1] <= b for a, b in freed)]
 
     def features(self, text: str) -> tuple[float, float, float]:
@@ -133,7 +137,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[s
                 carried[body[:n]] = max(carried.get(body[:n], 0), counts[p][0])
     stems = {p for p in kept if p[-1] != " " and carried.get(p, 0) < 0.9 * counts[p][0]}
     out = {p for p in kept if p[-1] == " "} | stems
-    return {p: weights[p] for p in out if not any(p[:n] in stems and weights[p[:n]] >= weights[p] - 1 for n in STEMS if n < len(p.rstrip(" ")))}
+    return {p: weights[p] for p in sorted(out) if not any(p[:n] in stems and weights[p[:n]] >= weights[p] - 1 for n in STEMS if n < len(p.rstrip(" ")))}
 
 
 def logistic(features: np.ndarray, labels: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -183,7 +187,7 @@ def _phrases(texts: DataFrame, lexicon: Lexicon) -> dict[tuple[str, bool], int]:
         yield pd.DataFrame([(p, t, n) for (p, t), n in found.items()], columns=["phrase", "toxic", "n"]).astype({"phrase": object, "toxic": bool, "n": "int64"})
 
     rows = texts.mapInPandas(run, "phrase string, toxic boolean, n long").groupBy("phrase").agg(F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(~F.col("toxic"), F.col("n")).otherwise(0)).alias("clean"))
-    return {r.phrase for r in rows.where("clean >= 3 and clean > 4 * toxic").orderBy(F.desc("clean"), "phrase").limit(CANDIDATES).collect()}
+    return {r.phrase for r in rows.where("clean >= 3 and clean > 4 * toxic").collect()}
 
 
 def _features(texts: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -209,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, modulus: int = MODULUS, held_out: in
     lexicon = Lexicon()
     if not toxic or not clean:
         return lexicon if not toxic else Lexicon(coefficients=np.array([20.0, 0, 0, 0]))
-    in_toxic = {r.pattern: r.n for r in _counted(texts.where("label = 1"), None).where(F.col("n") >= min(MIN_DOCUMENTS, toxic)).orderBy(F.desc("n"), "pattern").limit(CANDIDATES).collect()}
+    in_toxic = {r.pattern: r.n for r in _counted(texts.where("label = 1"), None).where(F.col("n") >= MIN_DOCUMENTS).collect()}
     in_clean = {r.pattern: r.n for r in _counted(texts.where("label = 0"), set(in_toxic)).collect()}
     lexicon.weights = choose({p: (n, in_clean.get(p, 0)) for p, n in in_toxic.items()}, toxic, clean)
     lexicon.exceptions = _phrases(texts, lexicon)

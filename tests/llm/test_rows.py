@@ -1,13 +1,18 @@
 """Operators that look at one document at a time."""
 
 import math
+import os
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodestrata.llm import lattice, packing, quality, tokens, toxicity
@@ -133,6 +138,42 @@ def test_exception_phrases_cancel_hits():
     assert x.hits("") == [] and toxicity.Lexicon().hits("trash") == []
 
 
+def test_entries_with_the_same_letters(spark):
+    text = "a trash here, trashy there"
+    for weights in ({"trash": 4.5, "trash ": 3.0}, {"trash ": 3.0, "trash": 4.5}):
+        assert sorted(h[2:] for h in toxicity.Lexicon(weights).hits(text)) == [(4.5, "trash"), (4.5, "trash")]
+    assert [h[2:] for h in toxicity.Lexicon({"trash": 2.5, "trash ": 3.0}).hits(text)] == [(3.0, "trash "), (2.5, "trash")]
+    assert toxicity.Lexicon({"trash can": 3.0, "trash can ": 4.0}, {"trash can"}).hits("a trash can") == []
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from("ab c4@"), max_size=40), st.dictionaries(st.text(st.sampled_from("abc"), min_size=1, max_size=3).flatmap(lambda w: st.sampled_from([w, w + " "])), st.integers(1, 9), max_size=6), st.sets(st.sampled_from(["a b", "b ca", "ab c"])))
+def test_hits_against_a_plain_search(text, weights, exceptions):
+    seen = text.lower()
+    shown = seen.replace("4", "a").replace("@", "a")
+    begins = lambda i: i == 0 or not (seen[i - 1].isalpha() or shown[i - 1].isalpha() and seen[i - 1] not in "4@")
+    found = {}
+    for i in range(len(text)):
+        for p, w in weights.items():
+            body = p.rstrip(" ")
+            end = i + len(body)
+            if shown.startswith(body, i) and begins(i) and not (p[-1] == " " and end < len(seen) and seen[end].isalpha()):
+                found[i] = max(found.get(i, 0), w)
+    freed = [(i, i + len(p)) for p in exceptions for i in range(len(text)) if shown.startswith(p, i) and begins(i) and not (i + len(p) < len(seen) and seen[i + len(p)].isalpha())]
+    hits = toxicity.Lexicon({k: float(v) for k, v in weights.items()}, exceptions).hits(text)
+    ends = {h[0]: h[1] for h in hits}
+    want = {i: w for i, w in found.items() if i not in ends or not any(a <= i and ends[i] <= b for a, b in freed)}
+    got = {h[0]: h[2] for h in hits}
+    assert all(got[i] == found[i] for i in got)
+    assert all(any(a <= i and b > i for a, b in freed) for i in want if i not in got)
+
+
+def test_the_same_lexicon_whatever_the_hash_seed():
+    code = "from lodestrata.llm import toxicity as t; print(list(t.choose({p: (9, 0) for p in ('abcde', 'abcd ', 'abcdef', 'zzzzz', 'zzzzz ', 'qrst', 'qrstu ')}, 20, 20)))"
+    seen = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONHASHSEED": str(k)}).stdout.splitlines()[-1] for k in range(4)}
+    assert len(seen) == 1
+
+
 def test_lattice_sums_all_segmentations():
     path = public_tokenizers.path("piece_bpe_32k.model")
     x = lattice.Lattice(path, {}, 3)
