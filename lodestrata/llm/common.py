@@ -12,7 +12,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.graph import components
+from ..operators.graph import components, least_labels
 from ..sources.tables import checked, stow, table, workers_import
 
 #: Bytes of text that the array code works on at once; a longer single text is a chunk of its own.
@@ -70,4 +70,4 @@ def empty_where_null(texts: pa.Array) -> pa.Array:
     return pa.compute.fill_null(texts, "")
 
 
-__all__ = ["checked", "column_of", "components", "empty_where_null", "filtered", "give_back", "keyed_text", "remainder_of_id", "stow", "table", "text_chunks", "workers_import"]
+__all__ = ["checked", "column_of", "components", "empty_where_null", "filtered", "give_back", "keyed_text", "least_labels", "remainder_of_id", "stow", "table", "text_chunks", "workers_import"]

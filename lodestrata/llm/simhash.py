@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, column_of, components, empty_where_null, keyed_text, stow, text_chunks
+from .common import checked, column_of, components, empty_where_null, keyed_text, least_labels, stow, text_chunks
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
 #: Blocks that a fingerprint is split into; pairs at DISTANCE agree on BLOCKS - DISTANCE of them.
@@ -103,19 +103,6 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return keyed_text(docs).mapInArrow(run, "doc_id long, fp long")
 
 
-def least_labels(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """The smallest number of each component of the links a, b, given labels so far."""
-    while True:
-        x, y = label[a], label[b]
-        apart = np.flatnonzero(x != y)
-        if not len(apart):
-            return label
-        low, high = np.minimum(x[apart], y[apart]), np.maximum(x[apart], y[apart])
-        np.minimum.at(label, high, low)
-        while (label[label] != label).any():
-            label = label[label]
-
-
 class Forest:
     """Links between fingerprints, of which only what joins components is kept."""
 
