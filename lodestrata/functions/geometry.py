@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Vec = tuple[Column, ...]
@@ -53,7 +53,7 @@ def conjugate(q: Vec) -> Vec:
 
 
 def slerp(a: Vec, b: Vec, u: Column) -> Vec:
-    """Shorter way round; nearly equal rotations are blended linearly; the result is of unit length."""
+    """Shorter way round; nearly equal rotations are blended linearly; the result is of unit length. For plain columns: each use of a step holds all of it."""
     d = dot(a, b)
     sign = F.when(d < 0, -1.0).otherwise(1.0)
     angle = F.acos(F.least(F.abs(d), F.lit(1.0)))
@@ -63,6 +63,24 @@ def slerp(a: Vec, b: Vec, u: Column) -> Vec:
     return unit_quaternion(tuple(x * wa + y * wb for x, y in zip(a, b, strict=True)))
 
 
+def with_slerp(rows: DataFrame, a: Vec, b: Vec, u: Column, names: tuple[str, ...]) -> DataFrame:
+    """Adds the rotation between a and b at u, under four names: the shorter way round, of unit length.
+
+    Nearly equal rotations are blended linearly. Each step is a column of its own: steps are used several times, and in one
+    expression each use would hold all that it is made of.
+    """
+    steps = rows.withColumns({f"_a{k}": c for k, c in enumerate(a)} | {f"_b{k}": c for k, c in enumerate(b)} | {"_u": u})
+    a, b = (tuple(F.col(f"_{side}{k}") for k in range(4)) for side in "ab")
+    steps = steps.withColumn("_dot", dot(a, b)).withColumn("_angle", F.acos(F.least(F.abs("_dot"), F.lit(1.0))))
+    steps = steps.withColumn("_near", F.col("_angle") < 1e-6).withColumn("_sine", F.sin("_angle"))
+    part = lambda share: F.when(F.col("_near"), share).otherwise(F.sin(share * F.col("_angle")) / F.col("_sine"))
+    steps = steps.withColumns({"_wa": part(1 - F.col("_u")), "_wb": part(F.col("_u")) * F.when(F.col("_dot") < 0, -1.0).otherwise(1.0)})
+    steps = steps.withColumns({f"_q{k}": a[k] * F.col("_wa") + b[k] * F.col("_wb") for k in range(4)})
+    q = tuple(F.col(f"_q{k}") for k in range(4))
+    steps = steps.withColumn("_norm", norm(q))
+    return steps.select(*rows.columns, *((c / F.col("_norm")).alias(n) for c, n in zip(q, names, strict=True)))
+
+
 def rotate(q: Vec, v: Vec) -> Vec:
     """v turned by the unit quaternion q."""
     axis = q[:3]

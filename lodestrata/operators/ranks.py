@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import checked, stow
 
 #: Distinct values of a group that one task may sort, and ranges that a pass of the search cuts the others into.
-SORTED_AT_ONCE, CUTS = 100_000, 64
+SORTED_AT_ONCE, CUTS = 500_000, 64
 #: Bits of a row's place within its range.
 _WITHIN = 33
 

@@ -465,7 +465,8 @@ m as (select *, case when th < 1e-6 then 0.7 else sin(0.7 * th) / sin(th) end as
 select vec_id, round(p / sqrt(p*p+q*q+r*r+s*s), 6) as qx, round(q / sqrt(p*p+q*q+r*r+s*s), 6) as qy, round(r / sqrt(p*p+q*q+r*r+s*s), 6) as qz, round(s / sqrt(p*p+q*q+r*r+s*s), 6) as qw from r""")
 def slerp(spark, sf_dir):
     e, a, b = _quaternions(spark, sf_dir)
-    return e.select("vec_id", *(F.round(c, 6).alias(n) for n, c in zip(("qx", "qy", "qz", "qw"), G.slerp(a, b, F.lit(0.3)), strict=True)))
+    names = ("qx", "qy", "qz", "qw")
+    return G.with_slerp(e, a, b, F.lit(0.3), names).select("vec_id", *(F.round(n, 6).alias(n) for n in names))
 
 
 @query(QUATERNIONS + """ select vec_id, round(atan2(-(2*(x*z+y*w)), -(1-2*(x*x+y*y))), 6) as heading, round((1-2*(y*y+z*z))*1.0 + 2*(x*y-z*w)*2.0 + 2*(x*z+y*w)*3.0, 6) as rx, round(2*(x*y+z*w)*1.0 + (1-2*(x*x+z*z))*2.0 + 2*(y*z-x*w)*3.0, 6) as ry, round(2*(x*z-y*w)*1.0 + 2*(y*z+x*w)*2.0 + (1-2*(x*x+y*y))*3.0, 6) as rz from n""")
