@@ -8,13 +8,15 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import schemas
+from . import ranges, schemas
+from .tables import stow
 
 #: Record layouts, wire message types and limits.
 POSE = np.dtype([("t_device_us", "<u8"), ("p", "<f4", 3), ("q", "<f4", 4), ("k", "<f4", 4), ("tracking_state", "u1")])
@@ -93,17 +95,79 @@ def mesh(data: bytes) -> Iterator[dict]:
 READERS = {"poses": poses, "lidar": lidar, "frames": frames, "depth": depth, "mesh": mesh}
 
 
-def read_stream(spark: SparkSession, root: str, stream: str) -> DataFrame:
-    """Rows of one stream of all sessions below root; empty where no session has it. A task reads a session's file."""
-    schema, reader = schemas.STREAMS[stream], READERS[stream]
+def _pose_frame(data: bytes) -> pd.DataFrame:
+    x = np.frombuffer(data, STORED_POSE)
+    p = x["pose"]
+    named = {f"{c}": p[f][:, k] for f, cs in (("p", ("px", "py", "pz")), ("q", ("qx", "qy", "qz", "qw")), ("k", ("fx", "fy", "cx", "cy"))) for k, c in enumerate(cs)}
+    return pd.DataFrame({"t_arrival_us": x["t_arrival_us"].astype(np.int64), "t_device_us": p["t_device_us"].astype(np.int64), **named, "tracking_state": p["tracking_state"].astype(np.int16)})
+
+
+def lidar_size(head: bytes) -> int:
+    return LIDAR_HEAD.size + LIDAR_HEAD.unpack(head)[2] * SAMPLE.itemsize
+
+
+def frame_size(head: bytes) -> int:
+    return FRAME_HEAD.size + FRAME_HEAD.unpack(head)[4]
+
+
+def sized_size(head: bytes) -> int:
+    return SIZED_HEAD.size + SIZED_HEAD.unpack(head)[1]
+
+
+#: By stream of records of unlike sizes: bytes of a head, and the size of a record from it.
+HEADS = {"lidar": (LIDAR_HEAD.size, lidar_size), "frames": (FRAME_HEAD.size, frame_size), "depth": (SIZED_HEAD.size, sized_size), "mesh": (SIZED_HEAD.size, sized_size)}
+
+
+def _frames(stream: str, data: bytes) -> Iterator[pd.DataFrame]:
+    """Rows of whole records, some hundred at a time."""
+    if stream == "poses":
+        for k in range(0, len(data) // STORED_POSE.itemsize, 50_000):
+            yield _pose_frame(data[k * STORED_POSE.itemsize : min(k + 50_000, len(data) // STORED_POSE.itemsize) * STORED_POSE.itemsize])
+        return
+    rows = READERS[stream](data)
+    while part := list(islice(rows, 200)):
+        yield pd.DataFrame(part)
+
+
+def read_stream(spark: SparkSession, root: str, stream: str, range_bytes: int = ranges.RANGE_BYTES) -> DataFrame:
+    """Rows of one stream of all sessions below root; empty where no session has it. A task reads a range of a session's file.
+
+    In a store that only Spark reads a task reads a whole file.
+    """
+    schema = schemas.STREAMS[stream]
+    found = ranges.files(spark, root, FILES[stream])
+    one = found.first()
+    if one is None:
+        return spark.createDataFrame([], schema)
+    if not ranges.in_reach(one.path):
+        return _read_whole(spark, root, stream, schema)
+    if stream == "poses":
+        held = ranges.fixed_ranges(found, STORED_POSE.itemsize, range_bytes)
+    else:
+        held = ranges.record_ranges(found, *HEADS[stream], range_bytes)
+    names = [f.split()[0] for f in stream_fields(stream)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for session, path, start, end, first, _ in part.itertuples(index=False):
+                for rows in _frames(stream, ranges.range_bytes(path, start, end)):
+                    yield rows.assign(session_id=session, seq=first + np.arange(len(rows)))[names]
+                    first += len(rows)
+
+    return ranges.spread(stow(held)).mapInPandas(run, schema)
+
+
+def _read_whole(spark: SparkSession, root: str, stream: str, schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", FILES[stream]).option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "content")
+    names = [f.split()[0] for f in stream_fields(stream)]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for session, data in zip(part["session_id"], part["content"], strict=True):
-                rows = [{"session_id": session, "seq": k} | x for k, x in enumerate(reader(bytes(data)))]
-                for i in range(0, len(rows), 500):
-                    yield pd.DataFrame(rows[i : i + 500])
+                first = 0
+                for rows in _frames(stream, bytes(data)):
+                    yield rows.assign(session_id=session, seq=first + np.arange(len(rows)))[names]
+                    first += len(rows)
 
     return files.mapInPandas(run, schema)
 
