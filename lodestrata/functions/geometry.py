@@ -117,6 +117,17 @@ def rodrigues(r: tuple[float, float, float]) -> list[list[float]]:
     return [[(c if i == j else 0.0) + s * k[i][j] + (1 - c) * axis[i] * axis[j] for j in range(3)] for i in range(3)]
 
 
+def rigid_matrix(rvec: tuple[float, ...], tvec: tuple[float, ...]) -> list[list[float]]:
+    """4 x 4 matrix of a rotation vector and a translation."""
+    return [[*row, float(t)] for row, t in zip(rodrigues(rvec), tvec, strict=True)] + [[0.0, 0.0, 0.0, 1.0]]
+
+
+def rigid_text(rvec: tuple[float, ...], tvec: tuple[float, ...], dt_s: float = 0.0) -> str:
+    """A transform in degrees, centimetres and milliseconds."""
+    part = lambda values, width, places: " ".join(f"{v:+{width}.{places}f}" for v in values)
+    return f"rot [{part((math.degrees(r) for r in rvec), 7, 2)}] deg   trans [{part((100 * t for t in tvec), 6, 1)}] cm   dt {1000 * dt_s:+6.1f} ms"
+
+
 def turned(x: Column, z: Column, angle: Column) -> tuple[Column, Column]:
     """Plane rotation of (x, z) by [[c, -s], [s, c]]."""
     c, s = F.cos(angle), F.sin(angle)

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import checked
-from .ranks import matched, quantiles
+from ..sources.tables import stow
+from .ranks import matched, placed, quantiles
+
+#: Rows, or hashes, that are hashed together.
+DIGEST_BLOCK = 4096
 
 
 def mad(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -74,9 +77,20 @@ def agreement(measurements: DataFrame, a: str, b: str, without: str = "yaw") ->
 
 
 def ordered_digest(rows: DataFrame, keys: list[str], order: list[str], text: str) -> DataFrame:
-    """keys, digest: depends on each row and on their order; rows are hashed first, so a group gathers 64 characters each."""
-    row = F.struct(*order, F.sha2(F.col(text).cast("binary"), 256).alias("h"))
-    return rows.groupBy(*keys).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["h"]), ""), 256).alias("digest"))
+    """keys, digest: depends on each row and on their order.
+
+    A hash tree: rows are hashed, the hashes of each DIGEST_BLOCK rows in order are hashed together, and so on with these until
+    a group has one; so no task holds more of a group than a block.
+    """
+    hashed = rows.select(*keys, *order, F.sha2(F.col(text).cast("binary"), 256).alias("_h"))
+    held = placed(hashed, keys, [*order, "_h"], "_k", "_n").select(*keys, (F.col("_k") - 1).alias("_k"), "_n", "_h")
+    most = held.agg(F.max("_n")).first()[0] or 1
+    while True:
+        hashes = F.transform(F.array_sort(F.collect_list(F.struct("_k", "_h"))), lambda r: r["_h"])
+        held = held.groupBy(*keys, F.floor(F.col("_k") / DIGEST_BLOCK).alias("_k")).agg(F.sha2(F.array_join(hashes, "").cast("binary"), 256).alias("_h"))
+        if most <= DIGEST_BLOCK:
+            return held.select(*keys, F.col("_h").alias("digest"))
+        held, most = stow(held), -(-most // DIGEST_BLOCK)
 
 
 def height_share(points: DataFrame, keys: list[str], y: str, low: float, high: float) -> DataFrame:

@@ -84,7 +84,7 @@ def theil_sen(rows: DataFrame, keys: list[str], x: str, y: str, most: int = 800)
 
 
 def clock_segments(rows: DataFrame, keys: list[str], device: str, arrival: str, seq: str, width: int = 500_000, jump: float = 8_000.0, least: int = 12) -> DataFrame:
-    """keys, segment, start_us, end_us, n_points, intercept, slope (of the segment), pooled (median over the fitted ones).
+    """keys, segment, start_us, end_us, n_points, intercept, slope (of the segment) and its uncertainty, first_delay, last_delay, pooled (median over the fitted ones).
 
     The envelope of arrival delay is cut at resync jumps; a segment of at least `least` points gets a robust line, a
     shorter one its median delay. All segments then use the pooled slope with their own intercepts.
@@ -92,12 +92,13 @@ def clock_segments(rows: DataFrame, keys: list[str], device: str, arrival: str,
     delays = rows.select(*keys, F.col(device).alias("t"), (F.col(arrival) - F.col(device)).alias("delay"), seq)
     cut = stow(segments(envelope(delays, keys, "t", "delay", seq, width), keys, "t", "delay", jump))
     own = [*keys, "segment"]
-    bounds = cut.groupBy(*own).agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("n"), F.median("delay").alias("middle"))
+    ends = [F.min_by("delay", "t").alias("first_delay"), F.max_by("delay", "t").alias("last_delay")]
+    bounds = cut.groupBy(*own).agg(F.min("t").alias("start_us"), F.max("t").alias("end_us"), F.count("*").alias("n"), F.median("delay").alias("middle"), *ends)
     local = cut.join(bounds.select(*own, "start_us"), own).withColumn("x", (F.col("t") - F.col("start_us")).cast("double")).withColumn("y", F.col("delay").cast("double"))
-    lines = theil_sen(local, own, "x", "y").select(*own, "slope", "intercept")
+    lines = theil_sen(local, own, "x", "y").select(*own, "slope", "intercept", "uncertainty")
     fitted = bounds.join(lines, own, "left")
     good = F.col("n") >= least
-    fitted = fitted.select(*own, "start_us", "end_us", F.col("n").alias("n_points"), F.when(good, F.col("intercept")).otherwise(F.col("middle")).alias("intercept"), F.when(good, F.col("slope")).otherwise(0.0).alias("slope"), good.alias("good"))
+    fitted = fitted.select(*own, "start_us", "end_us", F.col("n").alias("n_points"), F.when(good, F.col("intercept")).otherwise(F.col("middle")).alias("intercept"), F.when(good, F.col("slope")).otherwise(0.0).alias("slope"), F.when(good, F.col("uncertainty")).alias("uncertainty"), "first_delay", "last_delay", good.alias("good"))
     pooled = fitted.where("good").groupBy(*keys).agg(F.median("slope").alias("pooled")) if keys else fitted.where("good").agg(F.median("slope").alias("pooled"))
     out = fitted.join(pooled, keys, "left") if keys else fitted.crossJoin(F.broadcast(pooled))
     return out.withColumn("pooled", F.coalesce("pooled", F.lit(0.0))).drop("good")

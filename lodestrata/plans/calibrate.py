@@ -21,8 +21,19 @@ VOXEL, LOW, HIGH, LEAST, FAR_T, FAR_DT, REJECT = 0.02, -1.2, 0.6, 1000, 0.40, 0.
 MOUNTING = (-1.2092, 1.2092, 1.2092, 0.0, 0.10, 0.0, 0.0)
 
 
-def costs(samples: DataFrame, vectors: np.ndarray, n_sessions: int) -> list[float]:
-    """Cost of each vector (rotation vector, translation, seconds); those out of bounds, or with a session of few points, are rejected."""
+def enough_samples(samples: DataFrame, n_sessions: int) -> bool:
+    """Whether each session has LEAST samples, in whatever height they lie."""
+    full = samples.groupBy("session_id").count().where(F.col("count") >= LEAST).count()
+    return full == n_sessions
+
+
+def costs(samples: DataFrame, vectors: np.ndarray, n_sessions: int, enough: bool | None = None) -> list[float]:
+    """Cost of each vector (rotation vector, translation, seconds): cells within the height band, none for an empty band.
+
+    Vectors out of bounds are rejected, and all of them if a session has few samples (which enough says, if it is known).
+    """
+    if not (enough_samples(samples, n_sessions) if enough is None else enough):
+        return [REJECT] * len(vectors)
     allowed = [k for k, v in enumerate(vectors) if np.linalg.norm(v[3:6]) <= FAR_T and abs(v[6]) <= FAR_DT]
     rows = [(k, *(float(x) for row in rodrigues(tuple(vectors[k][:3])) for x in row[:2]), *map(float, vectors[k][3:])) for k in allowed]
     found = [REJECT] * len(vectors)
@@ -37,11 +48,10 @@ def costs(samples: DataFrame, vectors: np.ndarray, n_sessions: int) -> list[floa
     middle = placed.groupBy("k", "session_id").agg(F.median("y").alias("middle"))
     h = F.col("y") - F.col("middle")
     held = placed.join(F.broadcast(middle), ["k", "session_id"]).where((h > LOW) & (h < HIGH))  # a number for each candidate and session
-    cells = held.groupBy("k", "session_id", *(F.floor(F.col(a) / VOXEL).alias(a) for a in "xz")).agg(F.count("*").alias("n"))
-    sessions = cells.groupBy("k", "session_id").agg(F.count("*").alias("cells"), F.sum("n").alias("n"))
-    for r in sessions.groupBy("k").agg(F.sum("cells").alias("cells"), F.count_if(F.col("n") >= LEAST).alias("full")).collect():
-        if r.full == n_sessions:
-            found[r.k] = float(r.cells)
+    cells = held.select("k", "session_id", *(F.floor(F.col(a) / VOXEL).alias(a) for a in "xz")).distinct()
+    counts = {r.k: r["count"] for r in cells.groupBy("k").count().collect()}
+    for k in allowed:
+        found[k] = float(counts.get(k, 0))
     return found
 
 
@@ -93,11 +103,12 @@ def calibrations(samples: DataFrame, starts: list[tuple[float, ...]] = [MOUNTING
     schema = "start int, cost_before double, cost_after double, " + ", ".join(f"{n} double" for n in names)
     held = stow(samples.select("session_id", "a", "b", *(f"p{a}" for a in "xyz"), "qx", "qy", "qz", "qw", *(f"v{a}" for a in "xyz")))
     n_sessions = held.select("session_id").distinct().count()
+    enough = enough_samples(held, n_sessions)
     searches = {k: simplex(np.array(s, float), rounds) for k, s in enumerate(starts)}
     wanted, done = {k: next(s) for k, s in searches.items()}, []
     while wanted:
         asked = list(wanted)
-        found = iter(costs(held, np.vstack([wanted[k] for k in asked]), n_sessions))
+        found = iter(costs(held, np.vstack([wanted[k] for k in asked]), n_sessions, enough))
         for k in asked:
             answers = [next(found) for _ in range(len(wanted[k]))]
             try:

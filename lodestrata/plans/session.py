@@ -28,6 +28,7 @@ class Sessions:
     lag_us: float = 0.0
     yaw_sign: int = 1
     yaw_convention: str = "consistent"
+    depth_frames: int | None = None  # of each session, the first so many; all where not said
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
     def stream(self, name: str) -> DataFrame:
@@ -71,7 +72,7 @@ class Sessions:
     def clouds(self) -> DataFrame:
         """session_id, source, x, y, z of both range sensors on the corrected path."""
         lidar = self.lidar_points(self.corrected_path).select("session_id", F.lit("lidar").alias("source"), "x", "y", "z")
-        depth = fusion.depth_points(self.stream("depth"), self.corrected_path, self.clock).select("session_id", F.lit("depth").alias("source"), "x", "y", "z")
+        depth = fusion.depth_points(fusion.first_frames(self.stream("depth"), self.depth_frames), self.corrected_path, self.clock).select("session_id", F.lit("depth").alias("source"), "x", "y", "z")
         return lidar.unionByName(depth)
 
     def labelled(self) -> DataFrame:

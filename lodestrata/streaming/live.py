@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import socket
 import threading
 import time
@@ -18,7 +19,8 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources import schemas
-from ..sources.records import LIMIT, VERSION, WIRE_HEAD, hello_payload, messages, packets
+from ..sources.records import VERSION, WIRE_HEAD, hello_payload, messages, packets
+from ..sources.sessions import write_json
 
 #: A row bears the time at which its last byte came, not that of its batch.
 WIRE = schemas.MESSAGES + ", t_arrival_us long"
@@ -281,6 +283,77 @@ def envelope_stream(rows: DataFrame, keys: list[str], time: str, delay: str, wid
     return rows.withWatermark(time, late).groupBy(*keys, F.window(time, width).alias("w")).agg(least.alias("row")).select(*keys, F.col("w.start").alias("start"), "row.delay", "row.t")
 
 
+def series_envelope_stream(rows: DataFrame, key: str, time: str, t: str, delay: str, seq: str, width: int, late: str = "5 seconds") -> DataFrame:
+    """key, bin, t, delay: the batch envelope's rows. Windows of width begin at the series' first row, which the state holds.
+
+    time is t as a timestamp, for the watermark: a window is sent once the watermark has passed its end; rows that come later
+    than that are left out. The state holds the open windows' best rows. The series' first row must not come late.
+    """
+
+    def run(key_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"start": None, "open": {}, "sent": -1}
+        past = state.getCurrentWatermarkMs() * 1000
+        for part in parts:
+            part = part.sort_values(t, kind="stable")
+            for now, value, number in zip(part[t].tolist(), part[delay].tolist(), part[seq].tolist(), strict=True):
+                if held["start"] is None:
+                    held["start"] = now
+                k = (now - held["start"]) // width
+                best = held["open"].get(str(k))
+                if k > held["sent"] and (best is None or (value, number) < (best[1], best[2])):
+                    held["open"][str(k)] = [now, value, number]
+        done = sorted((int(k) for k in held["open"] if held["start"] + (int(k) + 1) * width <= past))
+        found = [(key_[0], k, *held["open"].pop(str(k))[:2]) for k in done]
+        held["sent"] = max([held["sent"], *done])
+        if held["open"]:
+            state.setTimeoutTimestamp(max((held["start"] + (min(map(int, held["open"])) + 1) * width) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(found, columns=["key", "bin", "t", "delay"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, t, delay)}
+    held = rows.withWatermark(time, late).groupBy(key).applyInPandasWithState(run, f"key {kinds[key]}, bin long, t {kinds[t]}, delay {kinds[delay]}", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return held.withColumnRenamed("key", key)
+
+
+def mapped_stream(rows: DataFrame, segments: DataFrame, key: str, time: str, t: str, late: str = "5 seconds") -> DataFrame:
+    """rows with host_us: device times mapped by the clock segment they lie in, once that is known.
+
+    segments(key, start_us, intercept, slope, and `time`, the start as a timestamp) may come long after the rows, but in order of their starts. A row waits in
+    the state until a segment that begins after it is there, or until the watermark of both streams has passed it by `late`:
+    then the last segment that begins up to it counts, or the first one for earlier rows, as in the batch operator. A row
+    whose key has no segment at all by then is sent without a host time.
+    """
+    names = rows.columns
+    left = rows.select(F.col(key), F.col(time), F.col(t).alias("_t"), F.to_json(F.struct(*names)).alias("_row"), *(F.lit(None).cast(k).alias(n) for n, k in (("_start", "long"), ("_a", "double"), ("_b", "double"))))
+    right = segments.select(F.col(key), F.col(time), F.lit(None).cast("long").alias("_t"), F.lit(None).cast("string").alias("_row"), F.col("start_us").alias("_start"), F.col("intercept").cast("double").alias("_a"), F.col("slope").cast("double").alias("_b"))
+
+    def run(key_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = json.loads(state.get[0]) if state.exists else {"waiting": [], "segments": []}
+        for part in parts:
+            is_row = part["_row"].notna()
+            held["waiting"] += [[int(a), b] for a, b in zip(part.loc[is_row, "_t"], part.loc[is_row, "_row"], strict=True)]
+            held["segments"] += [[int(a), b, c] for a, b, c in zip(part.loc[~is_row, "_start"], part.loc[~is_row, "_a"], part.loc[~is_row, "_b"], strict=True)]
+        known, past = sorted(held["segments"]), state.getCurrentWatermarkMs() * 1000
+        last = known[-1][0] if known else None
+        out, waiting = [], []
+        for at, row in held["waiting"]:
+            if not (last is not None and at < last or at < past):
+                waiting.append([at, row])
+                continue
+            own = next((s for s in reversed(known) if s[0] <= at), known[0] if known else None)
+            out.append((row, None if own is None else math.floor(at + own[1] + own[2] * (at - own[0]) + 0.5)))
+        before = [s for s in known if s[0] <= min([past, *(w[0] for w in waiting)])]
+        held = {"waiting": waiting, "segments": known[max(0, len(before) - 1) :]}
+        if waiting:
+            state.setTimeoutTimestamp(max(min(w[0] for w in waiting) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.update((json.dumps(held),))
+        yield pd.DataFrame(out, columns=["row", "host_us"]).astype({"host_us": "Int64"})
+
+    both = left.unionByName(right).withWatermark(time, late)
+    found = both.groupBy(key).applyInPandasWithState(run, "row string, host_us long", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("row", rows.schema).alias("r"), "host_us").select("r.*", "host_us")
+
+
 def throttled_stream(rows: DataFrame, key: str, t: str, interval: int) -> DataFrame:
     """Rows of each key that come at least interval after the last one sent; the state is one number for each key."""
 
@@ -319,23 +392,68 @@ def segment_stream(rows: DataFrame, key: str, t: str, value: str, jump: float) -
     return rows.groupBy(key).applyInPandasWithState(run, f"{fields}, segment long", "last double, segment long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Runs of one size that are merged into the next size.
+MERGED_RUNS = 8
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _runs(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """First and last batch of each whole run below path."""
+    place, files = _files(spark, path)
+    if not files.exists(place):
+        return []
+    names = [f.getPath().getName() for f in files.listStatus(place) if f.isDirectory()]
+    whole = [n for n in names if n.startswith("run=") and files.exists(_files(spark, f"{path}/{n}/_SUCCESS")[0])]
+    return sorted(tuple(map(int, n.removeprefix("run=").split("-"))) for n in whole)
+
+
+def _outer(runs: list[tuple[int, int]], number: int | None = None) -> list[tuple[int, int]]:
+    """Runs up to a batch that lie in no larger one."""
+    held = [r for r in runs if number is None or r[1] <= number]
+    return [r for r in held if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in held)]
+
+
 def keep_newest(path: str, keys: list[str], seq: str):
-    """For foreachBatch: merges each batch into the table of newest rows under path, one version for each batch.
+    """For foreachBatch: the newest row of each key, as a log of runs under path.
 
-    A batch that is run again overwrites its own version with the same rows.
+    A batch writes a run of its own newest rows alone. As soon as MERGED_RUNS runs of one size are there they are merged into
+    one of the next size, so a row is written again once for each size, however large the table gets. Runs that lie in a
+    merged one go with the batch after. A batch that is run again writes the same run, and changes nothing.
     """
 
+    def newest_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+        rest = [c for c in columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_row")).select(*keys, "_row.*").select(*columns)
+
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch if number == 0 else batch.unionByName(newest(spark, path, batch.schema, number - 1))
-        rest = [c for c in rows.columns if c not in keys]
-        rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), seq).alias("_row")).select(*keys, "_row.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        spark, runs = batch.sparkSession, _runs(batch.sparkSession, path)
+        write_json(spark, f"{path}/layout.json", {"keys": keys, "seq": seq})
+        for first, last in set(runs) - set(_outer(runs)):
+            if last < number:
+                place, files = _files(spark, f"{path}/run={first}-{last}")
+                files.delete(place, True)
+        newest_rows(batch, batch.columns).write.mode("overwrite").parquet(f"{path}/run={number}-{number}")
+        held, size = [r for r in _outer([*runs, (number, number)]) if r[1] <= number], 1
+        while len(tail := [r for r in held if r[1] - r[0] + 1 == size][-MERGED_RUNS:]) == MERGED_RUNS and tail[-1] == held[-1] and tail[-1][1] - tail[0][0] + 1 == size * MERGED_RUNS:
+            parts = spark.read.schema(batch.schema).parquet(*(f"{path}/run={a}-{b}" for a, b in tail))
+            whole = tail[0][0], tail[-1][1]
+            newest_rows(parts, batch.columns).write.mode("overwrite").parquet(f"{path}/run={whole[0]}-{whole[1]}")
+            held = [r for r in held if r not in tail] + [whole]
+            size *= MERGED_RUNS
 
     return merge
 
 
-def newest(spark: SparkSession, path: str, schema, number: int) -> DataFrame:
-    return spark.read.schema(schema).parquet(f"{path}/batch={number}")
+def newest(spark: SparkSession, path: str, schema, number: int | None = None) -> DataFrame:
+    """The newest row of each key, as of a batch or of the last one."""
+    layout = json.loads(spark.read.text(f"{path}/layout.json", wholetext=True).first().value)
+    rows = spark.read.schema(schema).parquet(*(f"{path}/run={a}-{b}" for a, b in _outer(_runs(spark, path), number)))
+    rest = [c for c in rows.columns if c not in layout["keys"]]
+    return rows.groupBy(*layout["keys"]).agg(F.max_by(F.struct(*rest), layout["seq"]).alias("_row")).select(*layout["keys"], "_row.*").select(*rows.columns)
 
 
 def with_live_figures(rows: DataFrame, name: str, t: str) -> DataFrame:
