@@ -53,3 +53,8 @@ def evenly_spread(position: Column, rows: Column, most: int) -> Column:
 def micros(timestamp: Column) -> Column:
     """Integer microseconds of a wall-clock column."""
     return F.unix_micros(timestamp.cast("timestamp"))
+
+
+def session_names(timestamp: Column) -> Column:
+    """Names of sessions that start at wall-clock times, in the session's time zone."""
+    return F.date_format(timestamp, "yyyy-MM-dd'T'HH-mm-ss")

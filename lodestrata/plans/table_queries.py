@@ -527,3 +527,4 @@ def link_components(spark, sf_dir):
     return components(c.groupBy(F.col("c_nationkey").alias("a")).agg(F.min("s_nationkey").alias("b")))
 
 
+from . import session_queries  # noqa: E402, F401  (registers its queries)

@@ -12,6 +12,7 @@ from itertools import islice
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -189,7 +190,7 @@ def pack_mesh(x: dict) -> bytes:
 
 
 def stored(stream: str, x: dict) -> bytes:
-    """One record of a stream's file; lidar angles and distances are already fixed-point."""
+    """One record of a stream's file (a value that is an array may be one of NumPy); lidar angles and distances are already fixed-point."""
     if stream == "poses":
         return struct.pack("<Q", x["t_arrival_us"]) + pack_pose(x)
     if stream == "lidar":
@@ -201,6 +202,61 @@ def stored(stream: str, x: dict) -> bytes:
     return SIZED_HEAD.pack(x["t_arrival_us"], len(payload)) + payload
 
 
+def write_files(blobs: DataFrame, root: str, name: str) -> int:
+    """blobs(session_id, seq, data) one after the other in root/<session>/<name>; the number of files.
+
+    A task writes the files of its sessions, holding a batch of rows; a file is put in its place as a whole, so a task that
+    runs again leaves the same.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, folder = ranges.place(root)
+        session, sink, done = None, None, []
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                system.move(f"{folder}/{session}/{name}.{mark}", f"{folder}/{session}/{name}")
+                done.append(session)
+
+        mark = f"{TaskContext.get().taskAttemptId()}.part"
+        for part in parts:
+            for own, data in zip(part["session_id"], part["data"], strict=True):
+                if own != session:
+                    close()
+                    session = own
+                    system.create_dir(f"{folder}/{own}", recursive=True)
+                    sink = system.open_output_stream(f"{folder}/{own}/{name}.{mark}")
+                sink.write(bytes(data))
+        close()
+        yield pd.DataFrame({"session_id": pd.Series(done, dtype=object)})
+
+    dealt = blobs.select("session_id", "seq", "data").repartition("session_id").sortWithinPartitions("session_id", "seq")
+    return dealt.mapInPandas(run, "session_id string").count()
+
+
+def write_stream(rows: DataFrame, root: str, stream: str) -> int:
+    """A stream's table as binary session files, in order of seq; the number of files."""
+    names = [f.split()[0] for f in stream_fields(stream)]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield pd.DataFrame({"session_id": part["session_id"], "seq": part["seq"], "data": [stored(stream, x) for x in part.to_dict("records")]})
+
+    return write_files(rows.select(*names).mapInPandas(run, "session_id string, seq long, data binary"), root, FILES[stream])
+
+
+def split_messages(blobs: DataFrame) -> DataFrame:
+    """seq, k, type, payload: the whole messages of each row of blobs(seq, data)."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = [(s, k, *m) for s, d in zip(part["seq"], part["data"], strict=True) for k, m in enumerate(messages(bytes(d)))]
+            yield pd.DataFrame(rows, columns=["seq", "k", "type", "payload"])
+
+    return blobs.select("seq", "data").mapInPandas(run, "seq long, k int, type int, payload binary")
+
+
 def wire(kind: int, payload: bytes) -> bytes:
     return WIRE_HEAD.pack(len(payload), kind) + payload
 
