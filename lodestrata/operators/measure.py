@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import turned
-from ..sources.tables import stow
+from ..sources.tables import checked, stow
 from .graph import components
 from .robust import concentration, height_share, histogram, peaks
 
@@ -24,7 +24,7 @@ def yaw_scores(points: DataFrame, keys: list[str], x: str, z: str, step: float =
     a, b = turned(F.col(x), F.col(z), -F.radians(F.col("k") * step))
     both = points.select(*keys, x, z).crossJoin(F.broadcast(turns)).select(*keys, "k", a.alias("a"), b.alias("b"))
     low = both.groupBy(*keys, "k").agg(F.min("a").alias("la"), F.min("b").alias("lb"), F.max("a").alias("ha"), F.max("b").alias("hb"))  # few rows for each key and turn
-    placed = both.join(F.broadcast(low), [*keys, "k"])
+    placed = both.join(checked(stow(low)), [*keys, "k"])
     bins = lambda v: F.least(F.floor((F.col(v) - F.col(f"l{v}")) / width), F.greatest(F.ceil((F.col(f"h{v}") - F.col(f"l{v}")) / width), F.lit(1)) - 1)
     scores = None
     for v in "ab":  # counts are combined before they are shuffled
@@ -76,7 +76,7 @@ def measure_room(points: DataFrame) -> DataFrame:
     yaw = manhattan_yaw(bands, keys, "x", "z")
     a, b = turned(F.col("x"), F.col("z"), -F.radians("yaw_deg"))
     yaw = stow(yaw)
-    straight = bands.join(F.broadcast(yaw), keys).select("source", a.alias("a"), b.alias("b"))
+    straight = bands.join(checked(yaw), keys).select("source", a.alias("a"), b.alias("b"))
     spans = [wall_span(straight, keys, axis).select("source", F.lit(f"wall span {axis.upper()}").alias("name"), F.col("span").alias("value_m"), F.lit(i).alias("seq")) for i, axis in ((1, "a"), (2, "b"))]
     level = lambda code: F.when(F.count_if(F.col("label") == code) > LEAST_LABELLED, F.median(F.when(F.col("label") == code, F.col("y"))))
     heights = points.groupBy(*keys).agg(level(FLOOR).alias("low"), level(CEILING).alias("high"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
@@ -93,7 +93,7 @@ def measure_doors(points: DataFrame, yaw: DataFrame) -> DataFrame:
     marked = points.where(F.col("label") == DOOR)
     enough = marked.groupBy("source").count().where(F.col("count") > LEAST_LABELLED).select("source")
     a, b = turned(F.col("x"), F.col("z"), -F.radians("yaw_deg"))
-    straight = marked.join(F.broadcast(enough), "source", "left_semi").join(F.broadcast(yaw), "source").select("source", "x", "y", "z", a.alias("a"), b.alias("b"))
+    straight = marked.join(checked(stow(enough)), "source", "left_semi").join(checked(yaw), "source").select("source", "x", "y", "z", a.alias("a"), b.alias("b"))
     doors = door_sizes(straight, keys=("source",), across=("a", "b")).where(F.col("width").between(DOOR_MIN, DOOR_MAX))
     placed = doors.withColumn("seq", (F.row_number().over(Window.partitionBy("source").orderBy("door")) + 3).cast("int"))
     sizes = F.explode(F.array(*(F.struct(F.lit(f"door {n}").alias("name"), F.col(n).alias("value_m")) for n in ("width", "height"))))

@@ -14,6 +14,8 @@ from ..sources.tables import checked, stow
 
 #: Distinct values of a group that one task may sort, and ranges that a pass of the search cuts the others into.
 SORTED_AT_ONCE, CUTS = 500_000, 64
+#: Numbers that are made at once.
+NUMBERS = 4096
 #: Bits of a row's place within its range.
 _WITHIN = 33
 
@@ -27,6 +29,13 @@ def matched(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inn
     return rows.join(checked(named), same, how).drop(*(f"_other_{k}" for k in keys))
 
 
+def every_number(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
+    """A row for each number from first to last; none of the arrays on the way is longer than a block, or than there are blocks."""
+    blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((last - first) / NUMBERS))))
+    low = first + F.col("_block") * NUMBERS
+    return blocks.withColumn(name, F.explode(F.sequence(low, F.least(low + NUMBERS - 1, last)))).drop("_block")
+
+
 def placed(rows: DataFrame, keys: list[str], order: list[str], place: str = "place", total: str | None = None) -> DataFrame:
     """Adds each row's place (from 1) in the order of its group, and the group's size as `total`; nulls come first.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import stow
-from .ranks import matched, placed, quantiles
+from .ranks import every_number, matched, placed, quantiles
 
 #: Rows, or hashes, that are hashed together.
 DIGEST_BLOCK = 4096
@@ -25,7 +25,7 @@ def histogram(rows: DataFrame, keys: list[str], value: str, width: float) -> Dat
     bounds = rows.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).withColumn("_bins", F.greatest(F.ceil((F.col("_high") - F.col("_low")) / width), F.lit(1)))
     joined = rows.join(bounds, keys) if keys else rows.crossJoin(F.broadcast(bounds))
     counts = joined.groupBy(*keys, F.least(F.floor((F.col(value) - F.col("_low")) / width), F.col("_bins") - 1).alias("bin")).agg(F.count("*").alias("n"))
-    every = bounds.select(*keys, "_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_bins") - 1)).alias("bin"))
+    every = bounds.select(*keys, "_low", F.col("_bins")).transform(every_number, F.lit(0).cast("long"), F.col("_bins") - 1, "bin").drop("_bins")
     return every.join(counts, [*keys, "bin"], "left").select(*keys, "bin", (F.col("_low") + F.col("bin") * width).alias("low"), F.coalesce("n", F.lit(0)).alias("n"))
 
 

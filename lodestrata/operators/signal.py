@@ -40,30 +40,32 @@ def without_near_sectors(samples: DataFrame, keys: list[str], degrees: str, dist
     return samples.withColumn("sector", sector).join(F.broadcast(filled) if not keys else filled, [*keys, "sector"], "left_anti").drop("sector")
 
 
-def prepared(profile: np.ndarray) -> np.ndarray:
-    """Gaps as the mean, centred, of unit length; all gaps give zeros."""
-    known = np.isfinite(profile)
-    if not known.any():
-        return np.zeros(len(profile))
-    p = np.where(known, profile, profile[known].mean())
-    p = p - p.mean()
-    n = np.linalg.norm(p)
-    return p / n if n > 1e-12 else np.zeros(len(profile))
+def turns(before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """Bins by which each row's profile has turned: the peak of the circular correlation, for all rows in one transform.
+
+    A gap counts as its profile's mean; a profile of gaps alone, or without contrast, correlates with nothing.
+    """
+    both = np.stack([before, after])
+    known = np.isfinite(both)
+    n = np.maximum(known.sum(axis=2, keepdims=True), 1)
+    centred = np.where(known, both - np.where(known, both, 0).sum(axis=2, keepdims=True) / n, 0.0)
+    length = np.linalg.norm(centred, axis=2, keepdims=True)
+    waves = np.fft.rfft(np.divide(centred, length, out=np.zeros_like(centred), where=length > 1e-12), axis=2)
+    peak = np.fft.irfft(waves[1] * np.conj(waves[0]), both.shape[2], axis=1).round(12).argmax(axis=1)
+    return np.where(peak > both.shape[2] // 2, peak - both.shape[2], peak)
 
 
 @F.pandas_udf(T.DoubleType())
 def yaw_step(before: pd.Series, after: pd.Series) -> pd.Series:
-    """Degrees from one profile to the next: peak of their circular correlation, in (-180, 180]."""
-
-    def one(a, b) -> float | None:
-        if a is None or b is None:
-            return None
-        a, b = prepared(np.array(a, float)), prepared(np.array(b, float))
-        n = len(a)
-        k = int(np.fft.irfft(np.fft.rfft(b) * np.conj(np.fft.rfft(a)), n).round(12).argmax())
-        return (k - n if k > n // 2 else k) * 360.0 / n
-
-    return pd.Series([one(a, b) for a, b in zip(before, after, strict=True)], dtype=float)
+    """Degrees from one profile to the next, in (-180, 180]; null where one is missing."""
+    out = pd.Series(np.nan, index=before.index)
+    here = np.flatnonzero(before.notna() & after.notna())
+    size = before.iloc[here].map(len)
+    for n in np.unique(size):  # profiles of one session have one length
+        rows = here[(size == n).to_numpy()]
+        a, b = (np.array(x.iloc[rows].tolist(), float).reshape(len(rows), n) for x in (before, after))
+        out.iloc[rows] = turns(a, b) * 360.0 / n
+    return out
 
 
 def yaw_steps(profiles: DataFrame, keys: list[str], order: str) -> DataFrame:

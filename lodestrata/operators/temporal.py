@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import evenly_spread
 from ..sources.tables import stow
-from .ranks import matched, placed, quantiles
+from .ranks import every_number, matched, placed, quantiles
 
 
 def with_gap(rows: DataFrame, keys: list[str], t: str, *ties: str, name: str = "gap") -> DataFrame:
@@ -145,7 +145,8 @@ def asof_interpolate(left: DataFrame, right: DataFrame, keys: list[str], t: str,
 def grid(rows: DataFrame, keys: list[str], t: str, step: int) -> DataFrame:
     """keys, t: multiples of step within each series."""
     bounds = rows.groupBy(*keys).agg(F.ceil(F.min(t) / step).alias("a"), F.floor(F.max(t) / step).alias("b"))
-    return bounds.where("a <= b").select(*keys, F.explode(F.sequence("a", "b")).alias("k")).select(*keys, (F.col("k") * step).alias("t"))
+    every = every_number(bounds.where("a <= b"), F.col("a"), F.col("b"), "k")
+    return every.select(*keys, (F.col("k") * step).alias("t"))
 
 
 def resample(rows: DataFrame, keys: list[str], t: str, columns: list[str], step: int, bucket: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import rodrigues, rotate
 from ..functions.scalars import on_stride
-from ..sources.tables import stow
+from ..sources.tables import BROADCAST_ROWS, stow
 
 VOXEL, LOW, HIGH, LEAST, FAR_T, FAR_DT, REJECT = 0.02, -1.2, 0.6, 1000, 0.40, 0.10, 1e12
 MOUNTING = (-1.2092, 1.2092, 1.2092, 0.0, 0.10, 0.0, 0.0)
@@ -47,7 +47,8 @@ def costs(samples: DataFrame, vectors: np.ndarray, n_sessions: int, enough: bool
     placed = each.select("k", "session_id", *((w + F.col(f"p{a}") - F.col(f"v{a}") * F.col("dt")).alias(a) for w, a in zip(world, "xyz", strict=True)))
     middle = placed.groupBy("k", "session_id").agg(F.median("y").alias("middle"))
     h = F.col("y") - F.col("middle")
-    held = placed.join(F.broadcast(middle), ["k", "session_id"]).where((h > LOW) & (h < HIGH))  # a number for each candidate and session
+    small = len(allowed) * n_sessions <= BROADCAST_ROWS  # a number for each candidate and session
+    held = placed.join(F.broadcast(middle) if small else middle, ["k", "session_id"]).where((h > LOW) & (h < HIGH))
     cells = held.select("k", "session_id", *(F.floor(F.col(a) / VOXEL).alias(a) for a in "xz")).distinct()
     counts = {r.k: r["count"] for r in cells.groupBy("k").count().collect()}
     for k in allowed:

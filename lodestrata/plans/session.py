@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fusion, mapping, measure, meshes, robust, signal, temporal
 from ..sources.sessions import stream_table
-from ..sources.tables import stow
+from ..sources.tables import checked, stow
 
 #: Host-clock rows carry this where no clock was fitted.
 MIN_POINTS = 1000
@@ -83,7 +83,7 @@ class Sessions:
         """source, name, value_m, seq of one session, for sources with enough points."""
         points = self.labelled().where(F.col("session_id") == session)
         enough = points.groupBy("source").count().where(F.col("count") >= MIN_POINTS).select("source")
-        return measure.measure_room(points.join(F.broadcast(enough), "source", "left_semi"))
+        return measure.measure_room(points.join(checked(stow(enough)), "source", "left_semi"))
 
     def occupancy(self, session: str) -> DataFrame:
         """ix, iy, iz, logodds, state of one session's voxels from its corrected range samples."""
@@ -96,7 +96,7 @@ class Sessions:
         """session_id, lag_us, correlation, sign: how late range stamps are, from yaw rates of both sensors."""
         raw = self.stream("lidar")
         first = raw.groupBy("session_id").agg(F.min("t_arrival_us").alias("_first"))
-        late = raw.join(F.broadcast(first), "session_id").where(F.col("t_arrival_us") >= F.col("_first") + spin_up_us)
+        late = raw.join(checked(stow(first)), "session_id").where(F.col("t_arrival_us") >= F.col("_first") + spin_up_us)
         flat = late.select("session_id", "t_arrival_us", F.explode("samples").alias("s")).select("session_id", "t_arrival_us", (F.col("s.angle_q6") / 64.0).alias("deg"), (F.col("s.dist_q2") / 4.0).alias("mm"))
         steps = signal.yaw_steps(signal.range_profile(flat, ["session_id", "t_arrival_us"], "deg", "mm"), ["session_id"], "t_arrival_us")
         timed = temporal.with_gap(steps, ["session_id"], "t_arrival_us").where("gap > 0")

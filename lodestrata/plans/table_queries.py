@@ -523,7 +523,10 @@ select node, min(seen) as label from r group by 1""")
 def link_components(spark, sf_dir):
     from ..operators.graph import components
 
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "supplier"), F.col("c_custkey") % 50 == F.col("s_suppkey") % 50).where("c_nationkey < s_nationkey")
+    # nations of a remainder meet once, however many customers and suppliers they have
+    buyers = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50).alias("r"), "c_nationkey").distinct()
+    sellers = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") % 50).alias("r"), "s_nationkey").distinct()
+    c = buyers.join(sellers, "r").where("c_nationkey < s_nationkey")
     return components(c.groupBy(F.col("c_nationkey").alias("a")).agg(F.min("s_nationkey").alias("b")))
 
 

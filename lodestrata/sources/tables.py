@@ -47,15 +47,45 @@ def setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
         spark.conf.unset(name) if held is None else spark.conf.set(name, held)
 
 
+#: Names of the open blocks of stowing(), the innermost last.
+_blocks: list[str] = []
+
+
 def stow(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage, and a lost executor loses nothing of it.
 
-    The shuffle files of the write are of no more use then, and go at once.
+    The shuffle files of the write are of no more use then, and go at once. The tables of a block of stowing() go at its end,
+    others with forget_stowed().
     """
-    path = f"{shared_folder(df.sparkSession)}/stowed/{uuid.uuid4().hex}"
-    with setting(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+    spark = df.sparkSession
+    path = "/".join([_stowed(spark), *_blocks[-1:], uuid.uuid4().hex])
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
         df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _stowed(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stowed/{spark.sparkContext.applicationId}"
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextlib.contextmanager
+def stowing(spark: SparkSession) -> Iterator[None]:
+    """A block whose stowed tables go at its end: what is made in it is to be read or written out by then."""
+    _blocks.append(f"block-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _remove(spark, f"{_stowed(spark)}/{_blocks.pop()}")
+
+
+def forget_stowed(spark: SparkSession) -> None:
+    """Removes all tables that this application has stowed."""
+    _remove(spark, _stowed(spark))
 
 
 #: Rows of a key table that may be broadcast; each is a few dozen bytes.
