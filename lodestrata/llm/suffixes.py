@@ -11,7 +11,13 @@ content alone, so equal windows have equal anchors. Three exchanges settle all w
    are merge-sorted; a comparison finds the common extension by binary search on prefix hashes, then looks at one byte.
    The orders to both sides of the anchor, with the extensions that neighbours have in common, tell which windows are equal;
    these are compared byte by byte, and windows that a smaller document has too are settled.
-3. Settled spans go back to their chunk, which cuts them out.
+3. An anchor of more than MANY_BLOCKS blocks, such as a common line amid ever new text, isn't compared in one place: its
+   blocks' windows are dealt by their own bytes' hashes (112 bits: those of both halves), as only equal windows have to meet,
+   and those of larger documents are settled.
+4. Settled spans go back to their chunk, which cuts them out.
+
+Entries are told apart by 32 bits of the anchor's hash, those that choose the bucket (8 or more) and 48 of the block's: among
+n blocks two unlike ones agree with a chance under n * n / 2^89, which is one in five million for 10^10 blocks.
 
 Null text counts as empty. Documents shorter than the string lose nothing. Rows with equal doc_ids aren't smaller than one
 another; a null doc_id is larger than all others. An empty table gives an empty result. Columns besides doc_id and text are
@@ -38,9 +44,12 @@ LENGTH, GRAM = 50, 16
 FINER = 8
 #: Bytes of blocks that are compared at once; those of one key stay together.
 PIECE_BYTES = 1 << 20
+#: Blocks of a key that are compared with one another; the windows of keys with more are dealt out.
+MANY_BLOCKS = 4096
 _LOW = np.uint64((1 << 24) - 1)
 _SEGMENT = 1 << 23
-NOTHING, SETTLED, SEND = 0, 1, 2
+NOTHING, SETTLED, SEND, DEAL = 0, 1, 2, 3
+HERE, BLOCKS, WINDOWS = 0, 1, 2
 
 
 def _anchors(texts: W.Texts, prefix: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -77,7 +86,7 @@ class Chunk:
 
     def __init__(self, texts: W.Texts, ids: np.ndarray, length: int = LENGTH, gram: int = GRAM):
         self.texts, self.ids, self.length = texts, ids, length
-        prefix = texts.prefix_hashes()
+        self.prefix = prefix = texts.prefix_hashes()
         key, self.first, self.last, self.place = _anchors(texts, prefix, length, gram)
         block = W.span_hashes(prefix, self.first, self.last + length) >> np.uint64(16)
         self.row = np.searchsorted(texts.at, self.first, side="right") - 1
@@ -92,6 +101,20 @@ class Chunk:
     def buckets(self, n: int) -> np.ndarray:
         return bucket_of(self.key, n)
 
+    def windows(self, anchors: np.ndarray) -> dict[str, np.ndarray]:
+        """start, row, doc and entry of each window of some anchors; key, block and least document of the entries, in order of keys."""
+        count = self.last[anchors] - self.first[anchors] + 1
+        bounds = np.concatenate([[0], np.cumsum(count)]).astype(np.int64)
+        start = np.arange(bounds[-1]) + np.repeat(self.first[anchors] - bounds[:-1], count)
+        row, doc, half = np.repeat(self.row[anchors], count), np.repeat(self.doc[anchors], count), start + self.length // 2
+        key, block = W.span_hashes(self.prefix, start, half), W.span_hashes(self.prefix, half, start + self.length) >> np.uint64(16)
+        order = np.lexsort((doc, block, key))
+        k, b = key[order], block[order]
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, bool)
+        entry = np.empty(len(k), np.int64)
+        entry[order] = np.cumsum(fresh) - 1
+        return {"start": start, "row": row, "doc": doc, "entry": entry, "key": k[fresh], "block": b[fresh], "least": doc[order][fresh]}
+
 
 def _packed(key: np.ndarray, block: np.ndarray, doc: np.ndarray, base: int) -> bytes:
     """14 bytes an entry, or 18 if doc_ids lie far apart."""
@@ -119,9 +142,8 @@ def _entries(chunks: DataFrame, buckets: int, length: int, gram: int) -> DataFra
     return chunks.mapInArrow(run, "bucket long, chunk long, n long, base long, data binary")
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """For each entry of a bucket: settled by a smaller document, to be sent with its bytes, or neither."""
-    rows = table.to_pydict()
+def _codes(rows: dict, many: int = MANY_BLOCKS) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of a bucket: settled by a smaller document, to be sent with its bytes, to be dealt by windows, or neither; bounds of the rows in them."""
     parts = [_unpacked(n, base, data) for n, base, data in zip(rows["n"], rows["base"], rows["data"], strict=True)]
     key, block, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((doc, block, key))
@@ -130,19 +152,28 @@ def _settle(table: pa.Table) -> pa.Table:
     new_block = new_key | np.concatenate([[True], b[1:] != b[:-1]])
     first = d[np.flatnonzero(new_block)][np.cumsum(new_block) - 1]
     of_key = np.cumsum(new_key) - 1
-    several = np.bincount(of_key[new_block])[of_key] > 1
+    blocks = np.bincount(of_key[new_block])[of_key]
     codes = np.empty(len(k), np.uint8)
-    codes[order] = np.where(d > first, SETTLED, np.where(several, SEND, NOTHING))
-    ends = np.cumsum([0, *rows["n"]])
-    return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "codes": pa.array([zstandard.ZstdCompressor(level=1).compress(codes[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+    codes[order] = np.where(d > first, SETTLED, np.where(blocks > many, DEAL, np.where(blocks > 1, SEND, NOTHING)))
+    return codes, np.cumsum([0, *rows["n"]])
+
+
+def _settle(many: int):
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        codes, ends = _codes(rows, many)
+        return pa.table({"chunk": pa.array(rows["chunk"], pa.int64()), "bucket": pa.array(rows["bucket"], pa.int64()), "codes": pa.array([zstandard.ZstdCompressor(level=1).compress(codes[i:j].tobytes()) for i, j in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
+
+    return run
 
 
 _SPAN = np.dtype([("row", "<u4"), ("start", "<i8"), ("end", "<i8")])
+_PLACE = np.dtype([("entry", "<u4"), ("row", "<u4"), ("start", "<i8")])
 _SENT = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("start", "<i8"), ("size", "<u2"), ("anchor", "<u2")])
 
 
 def _answers(coded: DataFrame, finer: int, length: int, gram: int) -> DataFrame:
-    """Rows with bucket null: chunk and its spans settled by block; others: bucket, chunk, heads and bytes of the blocks that it sends."""
+    """Rows by kind: spans settled in the chunk; heads and bytes of the blocks that it sends; entries and places of the windows that it deals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in each_row(batches):
@@ -151,21 +182,49 @@ def _answers(coded: DataFrame, finer: int, length: int, gram: int) -> DataFrame:
             codes = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["codes"]) for x in sorted(r["answers"], key=lambda x: x["bucket"])), np.uint8)
             code = codes[c.entry]
             gone = (code == SETTLED) | (c.doc > c.least[c.entry])
-            starts, ends, at = texts.tokens(marked(len(texts.data), c.first[gone], c.last[gone] + length))
+            dealt = c.windows(np.flatnonzero((code == DEAL) & ~gone))
+            own = dealt["doc"] > dealt["least"][dealt["entry"]]  # this chunk itself holds a smaller document's
+            starts, ends, at = texts.tokens(marked(len(texts.data), np.concatenate([c.first[gone], dealt["start"][own]]), np.concatenate([c.last[gone], dealt["start"][own]]) + length))
             spans = np.empty(len(starts), _SPAN)
             spans["row"] = W.owner(at)
             spans["start"], spans["end"] = starts - texts.at[spans["row"]], ends - texts.at[spans["row"]]
-            out = [(None, r["chunk"], spans.tobytes(), b"")]
+            out = [(HERE, None, r["chunk"], spans.tobytes(), b"", 0, 0)]
             sent = np.flatnonzero((code == SEND) & ~gone)
             sent = sent[np.argsort(c.key[c.entry[sent]], kind="stable")]
             heads = np.empty(len(sent), _SENT)
             heads["doc"], heads["row"], heads["start"] = c.doc[sent], c.row[sent], c.first[sent] - texts.at[c.row[sent]]
             heads["size"], heads["key"], heads["anchor"] = c.last[sent] + length - c.first[sent], c.key[c.entry[sent]], c.place[sent] - c.first[sent]
             for b, i, j in slices(bucket_of(c.key[c.entry[sent]], finer)):
-                out.append((b, r["chunk"], heads[i:j].tobytes(), b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "chunk", "heads", "data"])
+                data = b"".join(texts.data[p : p + n].tobytes() for p, n in zip(c.first[sent[i:j]].tolist(), heads["size"][i:j].tolist(), strict=True))
+                out.append((BLOCKS, b, r["chunk"], heads[i:j].tobytes(), data, 0, 0))
+            order = np.flatnonzero(~own)[np.argsort(dealt["entry"][~own], kind="stable")]
+            base = int(dealt["least"].min()) if len(dealt["least"]) else 0
+            for b, i, j in slices(bucket_of(dealt["key"], finer)):
+                part = order[np.searchsorted(dealt["entry"][order], i) : np.searchsorted(dealt["entry"][order], j)]
+                places = np.empty(len(part), _PLACE)
+                places["entry"], places["row"] = dealt["entry"][part] - i, dealt["row"][part]
+                places["start"] = dealt["start"][part] - texts.at[dealt["row"][part]]
+                out.append((WINDOWS, b, r["chunk"], places.tobytes(), _packed(dealt["key"][i:j], dealt["block"][i:j], dealt["least"][i:j], base), j - i, base))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()))], ["kind", "bucket", "chunk", "heads", "data", "n", "base"])
+
+    return coded.mapInArrow(run, "kind int, bucket long, chunk long, heads binary, data binary, n long, base long")
+
+
+def _dealt(length: int):
+    """Of the windows of a bucket, the spans of those that a smaller document has."""
 
-    return coded.mapInArrow(run, "bucket long, chunk long, heads binary, data binary")
+    def run(table: pa.Table) -> pa.Table:
+        rows, out = table.to_pydict(), []
+        codes, ends = _codes(rows)
+        for chunk, heads, first in zip(rows["chunk"], rows["heads"], ends.tolist(), strict=False):
+            places = np.frombuffer(heads, _PLACE)
+            places = places[codes[first + places["entry"].astype(np.int64)] == SETTLED]
+            spans = np.empty(len(places), _SPAN)
+            spans["row"], spans["start"], spans["end"] = places["row"], places["start"], places["start"] + length
+            out.append((chunk, spans.tobytes()))
+        return pa.table({"chunk": pa.array([o[0] for o in out], pa.int64()), "heads": pa.array([o[1] for o in out], pa.binary())})
+
+    return run
 
 
 class Extensions:
@@ -374,11 +433,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes)."""
     texts = chunk_table(docs).drop("rest")
     buckets, finer = bucket_count(texts), bucket_count(texts, BUCKET_BYTES // FINER)
-    codes = _entries(texts, buckets, length, gram).groupBy("bucket").applyInArrow(_settle, "chunk long, bucket long, codes binary")
+    codes = _entries(texts, buckets, length, gram).groupBy("bucket").applyInArrow(_settle(MANY_BLOCKS), "chunk long, bucket long, codes binary")
     answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
     with small_batches(docs.sparkSession):
         found = stow(_answers(texts.join(answers, "chunk"), finer, length, gram))
-    by_block = found.where("bucket is null").select("chunk", "heads")
-    by_window = found.where("bucket is not null").groupBy("bucket").applyInArrow(_compare(length, gram), "chunk long, heads binary")
-    spans = by_block.unionByName(by_window).groupBy("chunk").agg(F.collect_list("heads").alias("spans"))
+    here = found.where(F.col("kind") == HERE).select("chunk", "heads")
+    by_block = found.where(F.col("kind") == BLOCKS).select("bucket", "chunk", "heads", "data").groupBy("bucket").applyInArrow(_compare(length, gram), "chunk long, heads binary")
+    by_window = found.where(F.col("kind") == WINDOWS).groupBy("bucket").applyInArrow(_dealt(length), "chunk long, heads binary")
+    spans = here.unionByName(by_block).unionByName(by_window).groupBy("chunk").agg(F.collect_list("heads").alias("spans"))
     return texts.join(spans, "chunk", "left").groupBy("chunk").applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

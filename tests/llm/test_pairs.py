@@ -36,7 +36,9 @@ def removed(rows, length=50):
     return sorted(out)
 
 
-def test_exact_strings(spark):
+@pytest.mark.parametrize("many", [4096, 3, 0])
+def test_exact_strings(spark, monkeypatch, many):
+    monkeypatch.setattr(suffixes, "MANY_BLOCKS", many)
     rng = random.Random(4)
     rows = corpus.documents()
     line = "a line that very many documents hold, word for word, to the end."
@@ -47,6 +49,29 @@ def test_exact_strings(spark):
     assert suffixes.remove_repeats(corpus.empty(spark)).count() == 0
 
 
+def test_an_anchor_in_many_contexts(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "MANY_BLOCKS", 200)
+    rng = random.Random(11)
+    lines = [f"=footer-{k:07d}=" for k in range(20_000)]  # as long as an anchor; the one of least hash is chosen wherever it stands
+    held = W.Texts.joined([x.encode() for x in lines])
+    line = lines[int(W.span_hashes(held.prefix_hashes(), held.at[:-1], held.at[1:]).argmin())]
+    near = [(corpus.sentence(rng, 6), corpus.sentence(rng, 6)) for _ in range(40)]
+    rows = []
+    for k in range(3000):
+        a, b = rng.choice(near) if rng.random() < 0.2 else (corpus.sentence(rng, 6), corpus.sentence(rng, 6))
+        cut = rng.randrange(1, 30)
+        rows.append((k, (a[-cut:] if rng.random() < 0.5 else a) + line + b))
+    found = suffixes.remove_repeats(corpus.table(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == removed(rows)
+    texts = suffixes.chunk_table(corpus.table(spark, rows)).drop("rest")
+    codes = suffixes._entries(texts, 4, 50, 16).groupBy("bucket").applyInArrow(suffixes._settle(200), "chunk long, bucket long, codes binary")
+    answers = codes.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers"))
+    sent = suffixes._answers(texts.join(answers, "chunk"), 4, 50, 16).collect()
+    keys = np.concatenate([np.frombuffer(r["heads"], suffixes._SENT)["key"] for r in sent if r["kind"] == suffixes.BLOCKS] or [np.zeros(0, np.uint64)])
+    assert not len(keys) or np.unique(keys, return_counts=True)[1].max() <= 200  # no task has more of a key
+    assert sum(r["n"] for r in sent if r["kind"] == suffixes.WINDOWS) > 20_000
+
+
 def test_different_bytes_with_one_hash_are_told_apart(monkeypatch):
     monkeypatch.setattr(suffixes.Extensions, "same", lambda self, i, j, n: np.ones(len(i), bool))
     texts = W.Texts.joined([b"abcdef", b"abcxyz", b"zzabcz"])
