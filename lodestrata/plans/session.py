@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -18,7 +19,11 @@ MIN_POINTS = 1000
 
 @dataclass
 class Sessions:
-    """All sessions below a folder of stream tables; every result has session_id."""
+    """All sessions below a folder of stream tables; every result has session_id.
+
+    fit_clock takes poses to clock segments (session_id, start_us, intercept, pooled, ...), keep_samples takes range samples
+    (session_id, rev, k, angle, range_m, t_sample_us) to those that stay: other fits and filters than the ones here.
+    """
 
     spark: SparkSession
     root: str
@@ -30,6 +35,8 @@ class Sessions:
     yaw_convention: str = "consistent"
     depth_frames: int | None = None  # of each session, the first so many; all where not said
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    fit_clock: Callable[[DataFrame], DataFrame] | None = None
+    keep_samples: Callable[[DataFrame], DataFrame] | None = None
 
     def stream(self, name: str) -> DataFrame:
         return self.tables[name] if name in self.tables else stream_table(self.spark, self.root, name)
@@ -37,6 +44,8 @@ class Sessions:
     @cached_property
     def clock(self) -> DataFrame:
         """Clock segments, a few rows for each session; computed once and used by every stream."""
+        if self.fit_clock:
+            return stow(self.fit_clock(self.stream("poses")))
         return stow(temporal.clock_segments(self.stream("poses"), ["session_id"], "t_device_us", "t_arrival_us", "seq"))
 
     @cached_property
@@ -46,7 +55,10 @@ class Sessions:
     @cached_property
     def samples(self) -> DataFrame:
         """Range samples without whoever carries the sensor; written once, as the map, the scans and the corrected map read them."""
-        rows = fusion.revolution_samples(self.stream("lidar"), self.yaw_sign).withColumn("_deg", F.degrees("angle"))
+        rows = fusion.revolution_samples(self.stream("lidar"), self.yaw_sign)
+        if self.keep_samples:
+            return stow(fusion.full_revolutions(self.keep_samples(rows)))
+        rows = rows.withColumn("_deg", F.degrees("angle"))
         return stow(fusion.full_revolutions(signal.without_near_sectors(rows, ["session_id"], "_deg", "range_m").drop("_deg")))
 
     def lidar_points(self, path: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from the table itself.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -13,10 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
 from ..functions.scalars import session_names
 from ..operators import fusion, meshes
-from ..sources import ranges, records
+from ..operators.ranks import placed
+from ..sources import ranges, records, schemas
+from ..sources.sessions import manifests, merged_records
 from ..sources.tables import shared_folder, table
+from ..streaming import live, record
 from . import gates, reports
 from .table_queries import events, query
 
@@ -268,3 +273,77 @@ def yaw_rates(spark, sf_dir):
     half = F.col("value") / 10 / 2
     path = events(spark, sf_dir).select(F.col("event_type").alias("session_id"), F.col("event_id").alias("t_us"), F.lit(0.0).alias("qx"), F.sin(half).alias("qy"), F.lit(0.0).alias("qz"), F.cos(half).alias("qw"))
     return fusion.yaw_rates(path).select("session_id", "t_us", F.round("rate", 3).alias("rate"), F.abs(F.round("tilt", 3)).alias("tilt"))
+
+
+@query("""select vec_id, round(embedding[1]::double * 20 - 2 * pi() * floor((embedding[1]::double * 20 + pi()) / (2 * pi())), 6) as wrapped from embeddings""")
+def wrapped_angles(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(G.wrap_angle(F.col("embedding")[0].cast("double") * 20), 6).alias("wrapped"))
+
+
+@query("""select vec_id, round(embedding[3]::double + 1, 6) as x, round(embedding[1]::double - 2, 6) as y, round(embedding[2]::double + 0.5::double, 6) as z from embeddings""")
+def rigid_transform(spark, sf_dir):
+    """A third of a turn about the diagonal, which moves each axis to the next, and a translation."""
+    turn = 2 * math.pi / 3 / math.sqrt(3)
+    m = G.rigid_matrix((turn, turn, turn), (1.0, -2.0, 0.5))
+    p = [F.col("embedding")[k].cast("double") for k in range(3)]
+    moved = [sum((F.lit(m[i][k]) * p[k] for k in range(3)), F.lit(m[i][3])) for i in range(3)]
+    return table(spark, sf_dir, "embeddings").select("vec_id", *((F.round(c, 6) + 0.0).alias(n) for c, n in zip(moved, "xyz", strict=True)))
+
+
+FIXES = f"""{POSES}, n as (select session_id, t, value, event_id from p), f as (select session_id, t, sin(event_id) as cx, cos(event_id) as cz, 3.0::double * sin(event_id * 2) as cyaw from n where event_id % 40 < 5),
+b as (select n.*, f.t as t0, f.cx as x0, f.cz as z0, f.cyaw as a0 from n asof left join f on n.session_id = f.session_id and n.t >= f.t), w as (select b.*, f.t as t1, f.cx as x1, f.cz as z1, f.cyaw as a1 from b asof left join f on b.session_id = f.session_id and b.t < f.t),
+u as (select session_id, t, value, case when t0 is null then 1.0::double when t1 is null then 0.0::double else (t - t0)::double / (t1 - t0) end as u, coalesce(x0, x1) as x0, coalesce(x1, x0) as x1, coalesce(z0, z1) as z0, coalesce(z1, z0) as z1, coalesce(a0, a1) as a0, coalesce(a1, a0) as a1 from w),
+c as (select session_id, t, value, x0 + (x1 - x0) * u as cx, z0 + (z1 - z0) * u as cz, a0 + (a1 - a0 - 2 * pi() * floor((a1 - a0 + pi()) / (2 * pi()))) * u as a from u)"""
+
+
+@query(f"with {FIXES} select session_id, t as t_us, round(cos(a) * value - sin(a) * value / 2 + cx, 6) as px, round(sin(a) * value + cos(a) * value / 2 + cz, 6) as pz, round(sin(-a / 2), 6) + 0.0::double as qy, round(cos(-a / 2), 6) + 0.0::double as qw from c")
+def corrected_path(spark, sf_dir):
+    """Poses moved by corrections that are interpolated between keyframes, angles the short way."""
+    e = events(spark, sf_dir).select(F.col("event_type").alias("session_id"), F.col("t").alias("t_us"), "event_id", "value")
+    path = e.select("session_id", "t_us", F.col("value").alias("px"), F.lit(0.0).alias("py"), (F.col("value") / 2).alias("pz"), *(F.lit(0.0).alias(c) for c in ("qx", "qy", "qz")), F.lit(1.0).alias("qw"))
+    n = F.col("event_id")
+    fixes = e.where(n % 40 < 5).select("session_id", "t_us", F.sin(n).alias("cx"), F.cos(n).alias("cz"), (3.0 * F.sin(n * 2)).alias("cyaw"))
+    found = fusion.corrected(path, fixes)
+    return found.select("session_id", "t_us", *((F.round(c, 6) + 0.0).alias(c) for c in ("px", "pz", "qy", "qw")))
+
+
+@query(f"with {POSES} select session_id, 'poses' as stream, count(*) as recorded, count(*) as stored, sum(seq)::bigint as places from p group by 1")
+def recorded_counts(spark, sf_dir):
+    """Poses recorded in batches, one of them twice as after a lost driver; counts of the manifests beside the tables'."""
+    folder, poses = _folder(spark), _poses(spark, sf_dir)
+    sessions_ = [r.session_id for r in poses.select("session_id").distinct().collect()]  # a handful of event types
+    for name in sessions_:
+        recorder = record.Recorder(folder, name)
+        put = recorder.rows("poses", "table")
+        for number in (0, 1, 1, 2):
+            put(poses.where((F.col("session_id") == name) & (F.col("seq") % 3 == number)), number)
+        recorder.finish(spark)
+    said = manifests(spark, f"{folder}/manifests").select("session_id", F.col("counts.poses").alias("recorded"))
+    held = record.recorded(spark, folder, "poses").groupBy("session_id").agg(F.count("*").alias("stored"), F.sum("seq").alias("places"))
+    return said.join(held, "session_id").select("session_id", F.lit("poses").alias("stream"), "recorded", "stored", "places")
+
+
+@query("select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
+def newest_log(spark, sf_dir):
+    """The newest event of each user, kept by a log of runs over eleven batches."""
+    folder, rows = _folder(spark), events(spark, sf_dir).select("user_id", "event_id", "event_type", "value")
+    put = live.keep_newest(folder, ["user_id"], "event_id")
+    for number in range(11):
+        put(rows.where(F.col("event_id") % 11 == number), number)
+    return live.newest(spark, folder, rows.schema)
+
+
+@query("""with u as (select 'a' as session_id, epoch_us(ts) as t_arrival_us, 0 as stream, event_id as seq from events union all select 'a', l_orderkey // 50 * 100000, 1, dense_rank() over (order by l_orderkey // 50) - 1 from (select distinct l_orderkey // 50 as k, min(l_orderkey) as l_orderkey from lineitem group by 1))
+select session_id, t_arrival_us, stream, seq, row_number() over (order by t_arrival_us, stream, seq) as place from u""")
+def replay_order(spark, sf_dir):
+    """One replay order of two stored streams."""
+    folder = _folder(spark)
+    e = _poses(spark, sf_dir).withColumn("session_id", F.lit("a")).withColumn("seq", F.col("event_id")).withColumn("t_arrival_us", F.col("t_device_us"))
+    e.drop("event_id").write.partitionBy("session_id").parquet(f"{folder}/poses")
+    revs = table(spark, sf_dir, "lineitem").select(F.expr("l_orderkey div 50").alias("rev")).distinct()
+    turns = placed(revs, [], ["rev"], "n").select(F.lit("a").alias("session_id"), (F.col("n") - 1).alias("seq"), (F.col("rev") * 100_000).alias("t_arrival_us"), F.col("rev").alias("rev_id"))
+    turns.withColumn("samples", F.lit(None).cast(spark.createDataFrame([], f"s {schemas.STREAMS['lidar'].split('samples ')[1]}").schema["s"].dataType)).write.partitionBy("session_id").parquet(f"{folder}/lidar")
+    for other in ("frames", "depth", "mesh"):
+        spark.createDataFrame([], schemas.STREAMS[other]).write.parquet(f"{folder}/{other}")
+    merged = merged_records(spark, folder)
+    return placed(merged, ["session_id"], ["t_arrival_us", "stream", "seq"], "place")

@@ -132,3 +132,10 @@ def test_digest_in_blocks(spark, monkeypatch, block):
     swapped = rows.withColumn("k", F.when(F.col("g") == "a", 22 - F.col("k")).otherwise(F.col("k")))
     other = {r.g: r.digest for r in robust.ordered_digest(swapped, ["g"], ["k"], "t").collect()}
     assert other["a"] != found["a"] and other["b"] == found["b"] and robust.ordered_digest(rows.limit(0), ["g"], ["k"], "t").count() == 0
+
+
+def test_other_clocks_and_filters(spark, session):
+    fixed = lambda poses: poses.groupBy("session_id").agg(F.min("t_device_us").alias("start_us")).select("session_id", "start_us", F.lit(500.0).alias("intercept"), F.lit(0.0).alias("pooled"))
+    s = Sessions(spark, "", room.RVEC, room.TVEC, tables=session.tables, fit_clock=fixed, keep_samples=lambda rows: rows.where("angle < 4"))
+    assert s.path.agg(F.min("t_us")).first()[0] == room.START + 500 and s.samples.agg(F.max("angle")).first()[0] < 4
+    assert s.samples.count() < session.samples.count()
