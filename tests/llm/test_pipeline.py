@@ -6,6 +6,8 @@ from lodestrata.llm import decontaminate, order_minhash, quality
 from lodestrata.llm import words as W
 from lodestrata.sources.tables import stow, table
 
+from . import corpus
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -62,3 +64,33 @@ def test_stages(spark):
     for parts in rows.values():
         parts.sort()
         assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(n for _, n in parts) <= 1024
+
+
+def test_stages_stand_odd_tables(spark):
+    rows = corpus.documents()
+    docs = corpus.table(spark, rows)
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, docs, DATA)
+        left[name] = found.collect()
+        none = stage(spark, corpus.empty(spark), DATA)
+        assert none.columns == found.columns and none.count() == 0, name
+        if name != "packing":
+            assert found.schema == docs.schema and {(r.lang, r.row, r.digest, r.gone_digest) for r in left[name]} <= {("x", "r", "d", "g")}, name
+    texts = lambda name: [(r.doc_id, r.text) for r in left[name]]
+    assert not [t for _, t in texts("quality_rules") if not (t or "").strip()]
+    near = texts("near_dedup")
+    assert sum(not (t or "").split() for _, t in near) == 2 and sum(i == 0 for i, _ in near) == 1  # one empty or null text, and one of other spaces
+    assert not {3, 6} & {i for i, _ in near} and {2, 5} <= {i for i, _ in near}
+    cut = dict(texts("substring_dedup"))
+    assert cut[40] is None and cut[41] == "" and len(cut[12].split()) < len(dict(rows)[12].split()) and cut[10] == dict(rows)[10]
+    assert sorted(map(str, texts("decontaminate"))) == sorted(map(str, rows))  # no copy of an item is here
+    assert sorted({str(r.doc_id) for r in left["packing"]}) == sorted({str(i) for i, _ in rows})
+
+
+def test_all_queries_are_registered():
+    import __spark_entry__
+
+    names = {"op1_quality_rules", "op2_toxicity", "op3_lattice_scores", "op4_compact_windows", "op5_benchmark_leaks", "op6_suffix_dedup", "op7_token_counts", "op8_chat_collapse", "op9_order_minhash", "op10_best_fit_packing", "op11_vector_codes", "op12_fill_in_middle", "op13_simhash", "pipeline"}
+    assert {n for n in __spark_entry__.queries() if n.startswith("op") or n == "pipeline"} == names
+    assert {"op8_chat_collapse", "op11_vector_codes", "op12_fill_in_middle"} <= set(__spark_entry__.oracle_sql())
