@@ -39,10 +39,11 @@ def remainder_of_id(doc_id, modulus: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most `limit` bytes of column text each, or a single row; null is as empty."""
-    column = batch.column(batch.schema.get_field_index("text"))
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), dtype=np.int64)
+def text_chunks(batch: pa.RecordBatch, limit: int = CHUNK_BYTES, columns: tuple[str, ...] = ("text",)) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `limit` bytes of its text columns each, or a single row; null is as empty."""
+    sizes = np.zeros(len(batch), np.int64)
+    for name in columns:
+        sizes += np.asarray(pa.compute.fill_null(pa.compute.binary_length(column_of(batch, name)), 0), dtype=np.int64)
     ends, first = np.cumsum(sizes), 0
     while first < len(sizes):
         before = ends[first - 1] if first else 0

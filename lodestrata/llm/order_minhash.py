@@ -185,8 +185,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, len(batch), 64):
-                part = batch.slice(start, 64)
+            for part in text_chunks(batch, columns=("left_text", "right_text")):
                 (left, left_at), (right, right_at) = _hashed(column_of(part, "left_text")), _hashed(column_of(part, "right_text"))
                 good = pa.array([similar(left[left_at[i] : left_at[i + 1]], right[right_at[i] : right_at[i + 1]]) for i in range(len(part))])
                 yield pa.RecordBatch.from_arrays([column_of(part, "a").filter(good), column_of(part, "b").filter(good)], ["a", "b"])

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm import chat, decontaminate, order_minhash, passages, suffixes
 from lodestrata.llm import words as W
+from lodestrata.llm.common import text_chunks
 
 from . import corpus
 
@@ -257,6 +259,16 @@ def test_near_duplicates(spark):
     assert order_minhash.near_duplicates(corpus.empty(spark)).count() == 0
 
 
+def test_chunks_are_cut_by_bytes():
+    texts = [None, "", "a" * 5, "é" * 4, "b" * 30, "c", "d" * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(texts[::-1])], ["text", "other"])
+    for columns in (("text",), ("text", "other")):
+        parts = [p.to_pylist() for p in text_chunks(batch, 12, columns)]
+        assert sum(parts, []) == batch.to_pylist()
+        size = lambda r: sum(len((r[c] or "").encode()) for c in columns)
+        assert all(len(p) == 1 or sum(map(size, p)) <= 12 for p in parts) and max(map(len, parts)) > 1
+
+
 def test_copies_of_one_text_that_are_unlike_each_other(spark):
     rng = random.Random(11)
     base = corpus.sentence(rng, 300).split()
