@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import turned
 from ..sources.tables import checked, stow
 from .graph import components
+from .ranks import matched, quantiles
 from .robust import concentration, height_share, histogram, peaks
 
 YAW_STEP, YAW_BIN = 0.25, 0.02
@@ -78,9 +79,12 @@ def measure_room(points: DataFrame) -> DataFrame:
     yaw = stow(yaw)
     straight = bands.join(checked(yaw), keys).select("source", a.alias("a"), b.alias("b"))
     spans = [wall_span(straight, keys, axis).select("source", F.lit(f"wall span {axis.upper()}").alias("name"), F.col("span").alias("value_m"), F.lit(i).alias("seq")) for i, axis in ((1, "a"), (2, "b"))]
-    level = lambda code: F.when(F.count_if(F.col("label") == code) > LEAST_LABELLED, F.median(F.when(F.col("label") == code, F.col("y"))))
-    heights = points.groupBy(*keys).agg(level(FLOOR).alias("low"), level(CEILING).alias("high"), F.percentile("y", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    height = heights.select("source", F.lit("floor to ceiling").alias("name"), F.coalesce(F.col("high") - F.col("low"), F.col("q")[1] - F.col("q")[0]).alias("value_m"), F.lit(3).alias("seq"))
+    marked = points.where(F.col("label").isin(FLOOR, CEILING))
+    many = marked.groupBy(*keys, "label").count().where(F.col("count") > LEAST_LABELLED).select(*keys, "label")
+    level = matched(quantiles(marked, [*keys, "label"], "y", {"middle": 0.5}), stow(many), [*keys, "label"], "left_semi")
+    levels = level.groupBy(*keys).agg(*(F.max(F.when(F.col("label") == code, F.col("middle"))).alias(n) for code, n in ((FLOOR, "low"), (CEILING, "high"))))
+    heights = matched(quantiles(points, keys, "y", {"q1": 0.01, "q99": 0.99}), stow(levels), keys, "left")
+    height = heights.select("source", F.lit("floor to ceiling").alias("name"), F.coalesce(F.col("high") - F.col("low"), F.col("q99") - F.col("q1")).alias("value_m"), F.lit(3).alias("seq"))
     direction = yaw.select("source", F.lit("yaw").alias("name"), F.col("yaw_deg").alias("value_m"), F.lit(0).alias("seq"))
     out = direction
     for part in (*spans, height, measure_doors(points, yaw)):

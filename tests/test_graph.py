@@ -24,8 +24,7 @@ def plain(links):
     return {x: find(x) for x in top}
 
 
-@pytest.mark.parametrize("at_once", [1_000_000, 20, 0])
-@pytest.mark.parametrize("kind", ["long", "string", "binary", "struct<x:int,y:string>"])
+@pytest.mark.parametrize("kind,at_once", [("long", 1_000_000), ("long", 0), ("string", 1_000_000), ("binary", 20), ("struct<x:int,y:string>", 1_000_000), ("struct<x:int,y:string>", 20)])
 def test_components(spark, monkeypatch, kind, at_once):
     monkeypatch.setattr(graph, "SOLVED_AT_ONCE", at_once)
     rng = random.Random(len(kind))

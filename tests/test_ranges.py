@@ -26,7 +26,7 @@ def varied(stream, rng, k):
     return row
 
 
-@pytest.mark.parametrize("size", [1, 100, 700, 1 << 25])
+@pytest.mark.parametrize("size", [1, 700])
 @pytest.mark.parametrize("stream", list(ALL))
 def test_any_range_size_gives_the_same_rows(spark, folder, stream, size):
     rng = random.Random(size)

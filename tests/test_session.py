@@ -43,6 +43,18 @@ def test_room_is_measured(spark, session):
     assert not validation(measured, none).first().passed
 
 
+def test_heights_of_labelled_floors_and_ceilings(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for source, n in (("many", 600), ("few", 400)):
+        rows += [(source, *map(float, rng.uniform(-2, 2, 2)), float(y), label) for y, label in ((0.1, measure.FLOOR), (2.6, measure.CEILING)) for _ in range(n)]
+        rows += [(source, *map(float, rng.uniform(-2, 2, 2)), float(y), 255) for y in rng.uniform(-1, 4, 3000)]
+    points = spark.createDataFrame(rows, "source string, x double, z double, y double, label int")
+    found = {r.source: r.value_m for r in measure.measure_room(points).where("name = 'floor to ceiling'").collect()}
+    few = np.array([r[3] for r in rows if r[0] == "few"])
+    assert found == {"many": pytest.approx(2.5), "few": pytest.approx(np.quantile(few, 0.99) - np.quantile(few, 0.01))}
+
+
 def test_map_has_free_space_and_walls(session):
     states = {r.state: r.n for r in session.occupancy("s1").groupBy("state").agg(F.count("*").alias("n")).collect()}
     assert states["free"] > 1000 and states["occupied"] > 300

@@ -21,8 +21,7 @@ def clouds(kind, n, m, seed=0):
     return p, t
 
 
-@pytest.mark.parametrize("leaf", [2, 64])
-@pytest.mark.parametrize("kind", ["even", "dense", "stacked", "line"])
+@pytest.mark.parametrize("kind,leaf", [("even", 64), ("dense", 2), ("dense", 64), ("stacked", 2), ("line", 8)])
 def test_nearest(spark, monkeypatch, kind, leaf):
     monkeypatch.setattr(spatial, "LEAF_TARGETS", leaf)
     p, t = clouds(kind, 300, 240)
