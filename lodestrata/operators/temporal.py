@@ -9,11 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StructType
 
 from ..functions.scalars import evenly_spread
 from ..sources.tables import stow
 from .ranks import every_number, matched, placed, quantiles
 
+#: Time buckets of a block, over which a bucket's first and last row are carried at once.
+BLOCK = 1024
+
 
 def with_gap(rows: DataFrame, keys: list[str], t: str, *ties: str, name: str = "gap") -> DataFrame:
     """Adds the time since the row before; null for the first."""
@@ -104,27 +108,46 @@ def clock_segments(rows: DataFrame, keys: list[str], device: str, arrival: str,
     return out.withColumn("pooled", F.coalesce("pooled", F.lit(0.0))).drop("good")
 
 
-def neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int) -> DataFrame:
+def _beside(ends: DataFrame, over: list[str], place: str) -> DataFrame:
+    """Adds _before and _after: the nearest _last of an earlier place and _first of a later one.
+
+    Both windows grow row by row; one that ends at the last row would be gone through again for each row.
+    """
+    up, down = (Window.partitionBy(*over).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc(place), F.desc(place)))
+    return ends.withColumn("_before", F.last("_last", True).over(up)).withColumn("_after", F.last("_first", True).over(down))
+
+
+def _carried(ends: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _b, _last, _first: the last row before each bucket and the first one after it, within blocks of buckets and then from block to block."""
+    blocked = ends.withColumn("_block", F.floor(F.col("_b") / BLOCK))
+    blocks = _beside(blocked.groupBy(*keys, "_block").agg(F.max("_last").alias("_last"), F.min("_first").alias("_first")), keys, "_block")
+    within = _beside(blocked, [*keys, "_block"], "_b").select(*keys, "_b", "_block", "_before", "_after")
+    both = within.join(blocks.select(*keys, "_block", F.col("_before").alias("_far_before"), F.col("_after").alias("_far_after")), [*keys, "_block"])
+    return both.select(*keys, "_b", F.coalesce("_before", "_far_before").alias("_last"), F.coalesce("_after", "_far_after").alias("_first"))
+
+
+def neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int, slices: int = 1) -> DataFrame:
     """Adds before and after to left: structs (t, *columns) of the last right row up to t and the first one later, null where none.
 
-    Rows meet within time buckets; across buckets only each one's first and last right row move on.
+    Rows meet within time buckets; across buckets only each one's first and last right row move on. Where a bucket may hold
+    very many left rows and few right ones, the left rows are dealt over slices, each of which has all right rows.
     """
     names = left.columns
-    rows = left.select(*(F.col(k) for k in keys), F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(right_t).alias("t"), *columns).alias("v")).schema["v"].dataType).alias("_v"))
-    held = right.select(*(F.col(k) for k in keys), F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col(right_t).alias("t"), *columns).alias("_v"))
+    plain = [F.col(f.name) for f in left.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, BinaryType))]
+    slice_ = F.pmod(F.xxhash64(*plain), F.lit(slices)).cast("int") if slices > 1 else F.lit(0)
+    rows = left.select(*(F.col(k) for k in keys), F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(right_t).alias("t"), *columns).alias("v")).schema["v"].dataType).alias("_v"), slice_.alias("_slice"))
+    held = right.select(*(F.col(k) for k in keys), F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col(right_t).alias("t"), *columns).alias("_v"), F.explode(F.array(*map(F.lit, range(slices)))).alias("_slice"))
     both = rows.unionByName(held).withColumn("_b", F.floor(F.col("_t") / bucket))
-    within = Window.partitionBy(*keys, "_b")
+    within = Window.partitionBy(*keys, "_b", "_slice")
     near = both.withColumn("_before", F.last("_v", True).over(within.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.last("_v", True).over(within.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     ends = both.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_last"), F.min(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_first"))
-    over = Window.partitionBy(*keys).orderBy("_b")
-    carried = ends.select(*keys, "_b", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_last"), F.first("_first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_first"))
-    out = near.join(carried, [*keys, "_b"])
+    out = near.join(_carried(ends, keys), [*keys, "_b"])
     return out.select("_row.*", F.coalesce("_before", "_last._v").alias("before"), F.coalesce("_after", "_first._v").alias("after"))
 
 
-def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int, clamp: bool = False) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int, clamp: bool = False, slices: int = 1) -> DataFrame:
     """Adds the right columns of the last row up to t; before the first row null, or with clamp that row's."""
-    found = neighbours(left, right, keys, t, right_t, columns, bucket)
+    found = neighbours(left, right, keys, t, right_t, columns, bucket, slices)
     value = F.coalesce("before", "after") if clamp else F.col("before")
     return found.withColumn("_v", value).select(*left.columns, F.col("_v")["t"].alias(f"{right_t}_found"), *(F.col("_v")[c].alias(c) for c in columns))
 

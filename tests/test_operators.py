@@ -1,3 +1,4 @@
+import bisect
 import math
 
 import numpy as np
@@ -112,3 +113,25 @@ def test_near_zero_angle_is_blended(spark):
     q = tuple(F.lit(x) for x in (0.0, 0.0, 0.0, 1.0))
     r = spark.range(1).select(*(c.alias(n) for c, n in zip(G.slerp(q, q, F.lit(0.3)), "xyzw"))).first()
     assert (r.x, r.y, r.z) == (0, 0, 0) and r.w == pytest.approx(1)
+
+
+def test_neighbours_over_many_buckets_in_few_steps(spark):
+    """Rows of 9,000 buckets, three in four without a right row: right across blocks of buckets, and no window that is gone through again for each row."""
+    left = spark.range(9000).select(F.lit("k").alias("key"), (F.col("id") * 10 + 5).alias("t"), "id")
+    right = spark.range(9000).where("id % 4 = 1 and (id < 1500 or id > 5000)").select(F.lit("k").alias("key"), (F.col("id") * 10).alias("rt"), F.col("id").alias("v"))
+    found = temporal.neighbours(left, right, ["key"], "t", "rt", ["v"], 10)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+    held = [i for i in range(9000) if i % 4 == 1 and (i < 1500 or i > 5000)]
+    for r in found.collect():
+        k = bisect.bisect_right(held, r.id)
+        assert (r.before and r.before.v, r.after and r.after.v) == (held[k - 1] if k else None, held[k] if k < len(held) else None)
+
+
+def test_neighbours_of_one_bucket_are_dealt(spark):
+    """Left rows of a single bucket meet the same right rows in slices, and no task has all of them."""
+    left = spark.range(20_000).select(F.lit("k").alias("key"), "id", F.array("id").alias("list"))
+    right = spark.createDataFrame([("k", 100, 1), ("k", 15_000, 2)], "key string, rt long, v long")
+    found = temporal.neighbours(left, right, ["key"], "id", "rt", ["v"], 1_000_000, slices=32)
+    rows = found.select("id", F.col("before.v").alias("b"), F.col("after.v").alias("a")).collect()
+    assert sorted((r.id, r.b, r.a) for r in rows) == [(i, None if i < 100 else 1 if i < 15_000 else 2, 1 if i < 100 else 2 if i < 15_000 else None) for i in range(20_000)]
+    assert "_slice" in found._jdf.queryExecution().optimizedPlan().toString()
