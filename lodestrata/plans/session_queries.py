@@ -48,10 +48,9 @@ POSES = "p as (select event_type as session_id, row_number() over (partition by
 
 
 def _poses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir)
-    seq = (F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1).cast("long").alias("seq")
-    return e.select(
-        F.col("event_type").alias("session_id"), seq, (F.col("t") + 1500).alias("t_arrival_us"), F.col("t").alias("t_device_us"), F.col("value").cast("float").alias("px"), (F.col("user_id") / 7).cast("float").alias("py"), (-F.col("value")).cast("float").alias("pz"),
+    """Poses whose seq is the event's number: readers and SQL count places of that order."""
+    return events(spark, sf_dir).select(
+        F.col("event_type").alias("session_id"), F.col("event_id").alias("seq"), (F.col("t") + 1500).alias("t_arrival_us"), F.col("t").alias("t_device_us"), F.col("value").cast("float").alias("px"), (F.col("user_id") / 7).cast("float").alias("py"), (-F.col("value")).cast("float").alias("pz"),
         *_floats("qx qy qz", F.lit(0.0)), F.lit(1.0).cast("float").alias("qw"), *_floats("fx fy", F.lit(60.5)), *_floats("cx cy", F.lit(31.25)), (F.col("event_id") % 3).cast("short").alias("tracking_state"), "event_id",
     )
 
@@ -310,7 +309,8 @@ def corrected_path(spark, sf_dir):
 @query(f"with {POSES} select session_id, 'poses' as stream, count(*) as recorded, count(*) as stored, sum(seq)::bigint as places from p group by 1")
 def recorded_counts(spark, sf_dir):
     """Poses recorded in batches, one of them twice as after a lost driver; counts of the manifests beside the tables'."""
-    folder, poses = _folder(spark), _poses(spark, sf_dir)
+    folder = _folder(spark)
+    poses = placed(_poses(spark, sf_dir).drop("seq"), ["session_id"], ["event_id"], "seq").withColumn("seq", F.col("seq") - 1)
     sessions_ = [r.session_id for r in poses.select("session_id").distinct().collect()]  # a handful of event types
     for name in sessions_:
         recorder = record.Recorder(folder, name)
