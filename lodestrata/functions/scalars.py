@@ -58,3 +58,12 @@ def micros(timestamp: Column) -> Column:
 def session_names(timestamp: Column) -> Column:
     """Names of sessions that start at wall-clock times, in the session's time zone."""
     return F.date_format(timestamp, "yyyy-MM-dd'T'HH-mm-ss")
+
+
+def rounded(value: Column | str, places: int) -> Column:
+    """Halves away from zero, decided on the double times ten to the places, as SQL engines on doubles do.
+
+    Spark's round decides on the shortest decimal text of the double, and so takes other halves up.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    return F.round(value * float(10**places)) / float(10**places)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.scalars import session_names
+from ..functions.scalars import rounded, session_names
 from ..operators import fusion, meshes
 from ..operators.ranks import placed
 from ..sources import ranges, records, schemas
@@ -147,7 +147,7 @@ select session_id, frame, round((u - 3.5::double) / 8.0::double * d + 0.5::doubl
 def depth_to_world(spark, sf_dir):
     depth = _depth(spark, sf_dir)
     found = fusion.depth_points(depth, *_still(depth, "t_device_us", "t_device_us"))
-    return found.select("session_id", "frame", *(F.round(a, 6).alias(a) for a in "xyz"))
+    return found.select("session_id", "frame", *(rounded(a, 6).alias(a) for a in "xyz"))
 
 
 @query(f"""with {LINES}, r as (select distinct session_id, rev, seq, rev * 100000 as t from s), g as (select *, t - lag(t) over (partition by session_id order by t) as period from r), q as (select * from g where period > 20000 and period < 500000),
@@ -158,7 +158,7 @@ def lidar_to_world(spark, sf_dir):
     lidar = _revolutions(spark, sf_dir)
     path, _ = _still(lidar, "t_arrival_us", "t_arrival_us")
     flat = fusion.lidar_points(fusion.revolution_samples(lidar, 1), path, (-1.5707963267948966, 0.0, 0.0), (0.0, 0.0, 0.0), 0.0)
-    return flat.select("session_id", "rev", "t_us", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("z", 6).alias("z"))
+    return flat.select("session_id", "rev", "t_us", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"), rounded("z", 6).alias("z"))
 
 
 @query(f"""with {VECTORS}, n as (select * from v qualify row_number() over (partition by session_id, vec_id % 50 order by seq desc) = 1), c as (select *, list_transform(embedding[1:9], lambda x: x::double) as e from n),
@@ -171,7 +171,7 @@ def session_mesh(spark, sf_dir):
     anchor = F.lower(F.lpad(F.hex(F.col("vec_id") % 50), 32, "0"))
     rows = v.select("session_id", "seq", F.lit(3).cast("long").alias("t_arrival_us"), F.lit(2).cast("long").alias("t_device_us"), anchor.alias("anchor_id"), unit.alias("transform"), F.slice("embedding", 1, 9).alias("vertices"), F.array(*(F.lit(k).cast("long") for k in range(3))).alias("faces"), F.array((F.col("label") % 8).cast("short")).alias("classification"))
     found = meshes.faces(_kept(spark, rows, "mesh"))
-    return found.select("session_id", "anchor_id", *(F.round(f"c{a}", 6).alias(f"c{a}") for a in "xyz"), F.round("area", 6).alias("area"), F.col("label").cast("int").alias("label"))
+    return found.select("session_id", "anchor_id", *(rounded(f"c{a}", 6).alias(f"c{a}") for a in "xyz"), rounded("area", 6).alias("area"), F.col("label").cast("int").alias("label"))
 
 
 @query("""select l_returnflag as session_id, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as seq, l_linenumber = 1 as start, ((l_partkey * 97) % 23040) / 64.0::double as degrees, (l_quantity * 300)::bigint / 4.0::double as mm, l_linenumber as quality from lineitem""")
@@ -194,7 +194,7 @@ def serial_samples(spark, sf_dir):
 select session_id, 'poses' as stream, n_rows, round(hz, 6) as hz, 0 as dropped, case when hz < 36 then 'rate below nominal' when hz > 75 then 'arrivals burst' end as why_not from r union all select session_id, 'lidar', n_rows, round(hz, 6), 2, 'rows were dropped' from r""")
 def live_check(spark, sf_dir):
     rows = events(spark, sf_dir).select(F.when(F.col("event_id") % 2 == 0, "even").otherwise("odd").alias("session_id"), F.expr("t div 40000").alias("t_arrival_us"))
-    return reports.live_check({"poses": rows, "lidar": rows}, {"lidar": 2}).withColumn("hz", F.round("hz", 6))
+    return reports.live_check({"poses": rows, "lidar": rows}, {"lidar": 2}).withColumn("hz", rounded("hz", 6))
 
 
 @query(f"""with {POSES}, g as (select session_id, seq, t // 100000 as t, t // 100000 - lag(t // 100000) over (partition by session_id order by t // 100000, seq) as gap, lag(t // 100000) over (partition by session_id order by seq) as before from p), m as (select session_id, median(gap) as middle from g group by 1),
@@ -202,7 +202,7 @@ a as (select session_id, count(*) as n_rows, 1e6::double / any_value(middle) as
 select session_id, n_rows, round(hz, 6) as hz, worst_gap, round(near_zero, 6) as near_zero, monotone, case when n_rows < 10 then 'few rows' when not monotone then 'stamps fall' when not hz between 0.6 * 10.0 and 1.4 * 10.0 then 'rate' when near_zero > 0.05 then 'bunched' end as why_not from a""")
 def replay_timing(spark, sf_dir):
     rows = _poses(spark, sf_dir).select("session_id", "seq", F.expr("(t_device_us) div 100000").alias("t_arrival_us"))
-    return gates.replay_timing(rows, 10.0).select("session_id", "n_rows", F.round("hz", 6).alias("hz"), "worst_gap", F.round("near_zero", 6).alias("near_zero"), "monotone", "why_not")
+    return gates.replay_timing(rows, 10.0).select("session_id", "n_rows", rounded("hz", 6).alias("hz"), "worst_gap", rounded("near_zero", 6).alias("near_zero"), "monotone", "why_not")
 
 
 def _bench(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,7 +218,7 @@ BENCH = "b as (select l_orderkey * 1000 + l_linenumber as t, l_linenumber = 1 as
 round(avg(quality), 6) as quality, sum(start::int) / ((max(t) - min(t)) / 1e6::double) >= 2 and count(distinct case when mm > 0 then trunc(degrees)::int % 360 end) >= 180 as passed from b""")
 def sensor_bench(spark, sf_dir):
     found = gates.sensor_bench(_bench(spark, sf_dir))
-    return found.select("n", F.round("valid_percent", 6).alias("valid_percent"), F.round("sample_hz", 6).alias("sample_hz"), "bins", "nearest", "middle", "farthest", F.round("quality", 6).alias("quality"), "passed")
+    return found.select("n", rounded("valid_percent", 6).alias("valid_percent"), rounded("sample_hz", 6).alias("sample_hz"), "bins", "nearest", "middle", "farthest", rounded("quality", 6).alias("quality"), "passed")
 
 
 @query(f"""with {BENCH}, r as (select * from b where mm > 0), f as (select quantile_cont(mm, 0.95) as far from r), c as (select round(36 * (1 + sin(radians(degrees)) * mm / far))::int as column, round(16 * (1 - cos(radians(degrees)) * mm / far))::int as row from r, f)
@@ -241,13 +241,13 @@ count(*) >= 2 and (max(price) - min(price)) * 1e-8 * 43 * 1e6 <= 3000 and max(fl
 def clock_agreement(spark, sf_dir):
     c = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("session_id")).agg(F.avg("p_retailprice").alias("price"), F.min("p_size").cast("double").alias("intercept"))
     found = gates.clock_agreement(c.select("session_id", (F.col("price") * 1e-8).alias("pooled"), "intercept"), c.select(F.col("price").alias("lag_us")))
-    return found.select("n_sessions", F.round("skew_error_us", 6).alias("skew_error_us"), "latency_spread_us", "n_lags", F.round("lag_spread_us", 6).alias("lag_spread_us"), "passed")
+    return found.select("n_sessions", rounded("skew_error_us", 6).alias("skew_error_us"), "latency_spread_us", "n_lags", rounded("lag_spread_us", 6).alias("lag_spread_us"), "passed")
 
 
 @query("select label, round(avg(case when embedding[1] > 0 then embedding[1]::double end), 9) as mean from embeddings group by 1")
 def nan_mean(spark, sf_dir):
     x = F.col("embedding")[0].cast("double")
-    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.round(reports.nan_mean(F.when(x > 0, x).otherwise(float("nan"))), 9).alias("mean"))
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(rounded(reports.nan_mean(F.when(x > 0, x).otherwise(float("nan"))), 9).alias("mean"))
 
 
 @query("select strftime(o_orderdate, '%Y-%m-%dT%H-%M-%S') as session_id, count(*) as n from orders group by 1")
@@ -271,12 +271,12 @@ select session_id, event_id as t_us, round(degrees((lw * y - ly * w) * (2e6::dou
 def yaw_rates(spark, sf_dir):
     half = F.col("value") / 10 / 2
     path = events(spark, sf_dir).select(F.col("event_type").alias("session_id"), F.col("event_id").alias("t_us"), F.lit(0.0).alias("qx"), F.sin(half).alias("qy"), F.lit(0.0).alias("qz"), F.cos(half).alias("qw"))
-    return fusion.yaw_rates(path).select("session_id", "t_us", F.round("rate", 3).alias("rate"), F.abs(F.round("tilt", 3)).alias("tilt"))
+    return fusion.yaw_rates(path).select("session_id", "t_us", rounded("rate", 3).alias("rate"), F.abs(rounded("tilt", 3)).alias("tilt"))
 
 
 @query("""select vec_id, round(embedding[1]::double * 20 - 2 * pi() * floor((embedding[1]::double * 20 + pi()) / (2 * pi())), 6) as wrapped from embeddings""")
 def wrapped_angles(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(G.wrap_angle(F.col("embedding")[0].cast("double") * 20), 6).alias("wrapped"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", rounded(G.wrap_angle(F.col("embedding")[0].cast("double") * 20), 6).alias("wrapped"))
 
 
 @query("""select vec_id, round(embedding[3]::double + 1, 6) as x, round(embedding[1]::double - 2, 6) as y, round(embedding[2]::double + 0.5::double, 6) as z from embeddings""")
@@ -286,7 +286,7 @@ def rigid_transform(spark, sf_dir):
     m = G.rigid_matrix((turn, turn, turn), (1.0, -2.0, 0.5))
     p = [F.col("embedding")[k].cast("double") for k in range(3)]
     moved = [sum((F.lit(m[i][k]) * p[k] for k in range(3)), F.lit(m[i][3])) for i in range(3)]
-    return table(spark, sf_dir, "embeddings").select("vec_id", *((F.round(c, 6) + 0.0).alias(n) for c, n in zip(moved, "xyz", strict=True)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *((rounded(c, 6) + 0.0).alias(n) for c, n in zip(moved, "xyz", strict=True)))
 
 
 FIXES = f"""{POSES}, n as (select session_id, t, value, event_id from p), f as (select session_id, t, sin(event_id) as cx, cos(event_id) as cz, 3.0::double * sin(event_id * 2) as cyaw from n where event_id % 40 < 5),
@@ -303,7 +303,7 @@ def corrected_path(spark, sf_dir):
     n = F.col("event_id")
     fixes = e.where(n % 40 < 5).select("session_id", "t_us", F.sin(n).alias("cx"), F.cos(n).alias("cz"), (3.0 * F.sin(n * 2)).alias("cyaw"))
     found = fusion.corrected(path, fixes)
-    return found.select("session_id", "t_us", *((F.round(c, 6) + 0.0).alias(c) for c in ("px", "pz", "qy", "qw")))
+    return found.select("session_id", "t_us", *((rounded(c, 6) + 0.0).alias(c) for c in ("px", "pz", "qy", "qw")))
 
 
 @query(f"with {POSES} select session_id, 'poses' as stream, count(*) as recorded, count(*) as stored, sum(seq)::bigint as places from p group by 1")

@@ -1,6 +1,7 @@
 import bisect
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -8,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestrata.functions import geometry as G
+from lodestrata.functions.scalars import rounded
 from lodestrata.operators import robust, spatial, temporal
 from lodestrata.operators.graph import components, reachable
 
@@ -135,3 +137,10 @@ def test_neighbours_of_one_bucket_are_dealt(spark):
     rows = found.select("id", F.col("before.v").alias("b"), F.col("after.v").alias("a")).collect()
     assert sorted((r.id, r.b, r.a) for r in rows) == [(i, None if i < 100 else 1 if i < 15_000 else 2, 1 if i < 100 else 2 if i < 15_000 else None) for i in range(20_000)]
     assert "_slice" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounding_is_that_of_doubles(spark):
+    """Halves that a double only nearly is: its product with ten to the places decides, as in DuckDB."""
+    values = [s * (k + 0.5) / 8 * d / 1000 + 1.5 for s in (-1, 1) for k in range(4) for d in range(150, 3000, 7)] + [0.0, -0.25, 1e9]
+    found = [r.v for r in spark.createDataFrame([(v,) for v in values], "v double").select(rounded("v", 6).alias("v")).collect()]
+    assert found == [duckdb.execute("select round(?::double, 6)", [v]).fetchone()[0] for v in values]
