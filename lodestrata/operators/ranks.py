@@ -29,6 +29,11 @@ def matched(rows: DataFrame, others: DataFrame, keys: list[str], how: str = "inn
     return rows.join(checked(named), same, how).drop(*(f"_other_{k}" for k in keys))
 
 
+def parts_of(rows: DataFrame, each: int = 500_000) -> int:
+    """Parts of about `each` rows, but no fewer than shuffles have by default; for tables whose count is cheap, as stored ones."""
+    return max(rows.count() // each, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def every_number(rows: DataFrame, first: Column, last: Column, name: str) -> DataFrame:
     """A row for each number from first to last; none of the arrays on the way is longer than a block, or than there are blocks."""
     blocks = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((last - first) / NUMBERS))))

@@ -126,11 +126,12 @@ def _carried(ends: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "_b", F.coalesce("_before", "_far_before").alias("_last"), F.coalesce("_after", "_far_after").alias("_first"))
 
 
-def neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int, slices: int = 1) -> DataFrame:
+def neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, right_t: str, columns: list[str], bucket: int, slices: int = 1, parts: int | None = None) -> DataFrame:
     """Adds before and after to left: structs (t, *columns) of the last right row up to t and the first one later, null where none.
 
     Rows meet within time buckets; across buckets only each one's first and last right row move on. Where a bucket may hold
-    very many left rows and few right ones, the left rows are dealt over slices, each of which has all right rows.
+    very many left rows and few right ones, the left rows are dealt over slices, each of which has all right rows. parts:
+    number of parts that the rows are shuffled into.
     """
     names = left.columns
     plain = [F.col(f.name) for f in left.schema if not isinstance(f.dataType, (ArrayType, MapType, StructType, BinaryType))]
@@ -138,6 +139,8 @@ def neighbours(left: DataFrame, right: DataFrame, keys: list[str], t: str, right
     rows = left.select(*(F.col(k) for k in keys), F.col(t).alias("_t"), F.lit(1).alias("_side"), F.struct(*names).alias("_row"), F.lit(None).cast(right.select(F.struct(F.col(right_t).alias("t"), *columns).alias("v")).schema["v"].dataType).alias("_v"), slice_.alias("_slice"))
     held = right.select(*(F.col(k) for k in keys), F.col(right_t).alias("_t"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(F.col(right_t).alias("t"), *columns).alias("_v"), F.explode(F.array(*map(F.lit, range(slices)))).alias("_slice"))
     both = rows.unionByName(held).withColumn("_b", F.floor(F.col("_t") / bucket))
+    if parts:
+        both = both.repartition(parts, *keys, "_b", "_slice")
     within = Window.partitionBy(*keys, "_b", "_slice")
     near = both.withColumn("_before", F.last("_v", True).over(within.orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_after", F.last("_v", True).over(within.orderBy(F.desc("_t"), F.desc("_side")).rowsBetween(Window.unboundedPreceding, 0))).where("_side = 1")
     ends = both.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_last"), F.min(F.when(F.col("_side") == 0, F.struct("_t", "_v"))).alias("_first"))

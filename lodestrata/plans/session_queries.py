@@ -11,16 +11,17 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.scalars import rounded, session_names
 from ..operators import fusion, meshes
-from ..operators.ranks import placed
+from ..operators.ranks import matched, parts_of, placed
 from ..sources import ranges, records, schemas
 from ..sources.sessions import manifests, merged_records
-from ..sources.tables import shared_folder, table
+from ..sources.tables import shared_folder, stow, table
 from ..streaming import live, record
 from . import gates, reports
 from .table_queries import events, query
@@ -83,16 +84,15 @@ row_number() over (partition by l_returnflag, l_orderkey // 50 order by l_orderk
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem")
-    own = Window.partitionBy("session_id")
-    kept = rows.select(F.col("l_returnflag").alias("session_id"), F.expr("l_orderkey div 50").alias("rev"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_partkey") * 97 % 23040).cast("int").alias("angle_q6"), (F.col("l_quantity") * 300).cast("int").alias("dist_q2"))
-    return kept.withColumn("seq", (F.dense_rank().over(own.orderBy("rev")) - 1).cast("long"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("session_id"), F.expr("l_orderkey div 50").alias("rev"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", (F.col("l_partkey") * 97 % 23040).cast("int").alias("angle_q6"), (F.col("l_quantity") * 300).cast("int").alias("dist_q2"))
 
 
 def _revolutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revolutions whose seq is in their order; readers number them from 0."""
     row = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", F.struct("angle_q6", "dist_q2", F.col("l_linenumber").cast("short").alias("quality")).alias("s"))
-    held = _lines(spark, sf_dir).groupBy("session_id", "seq", "rev").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["s"]).alias("samples"))
-    return held.select("session_id", "seq", (F.col("rev") * 100_000).alias("t_arrival_us"), F.col("rev").alias("rev_id"), "samples")
+    rows = _lines(spark, sf_dir)
+    held = rows.repartition(parts_of(rows), "session_id", "rev").groupBy("session_id", "rev").agg(F.transform(F.array_sort(F.collect_list(row)), lambda r: r["s"]).alias("samples"))
+    return stow(held.select("session_id", F.col("rev").alias("seq"), (F.col("rev") * 100_000).alias("t_arrival_us"), F.col("rev").alias("rev_id"), "samples"))
 
 
 @query(f"with {LINES} select session_id, seq, rev as rev_id, k, angle_q6 / 64.0::double as degrees, dist_q2 / 4.0::double as mm, l_linenumber as quality from s")
@@ -103,8 +103,7 @@ def session_lidar(spark, sf_dir):
 
 @query("""select lang as session_id, row_number() over (partition by lang order by doc_id) - 1 as seq, doc_id * 1000 as t_device_us, (n_chars % 4000)::int as width, octet_length(encode(coalesce(text, ''))) as octets, sha256(coalesce(text, '')) as digest from documents""")
 def session_frames(spark, sf_dir):
-    seq = (F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")) - 1).cast("long")
-    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("session_id"), seq.alias("seq"), F.lit(5).cast("long").alias("t_arrival_us"), (F.col("doc_id") * 1000).alias("t_device_us"), (F.col("n_chars") % 4000).cast("int").alias("width"), F.lit(480).alias("height"), F.coalesce("text", F.lit("")).cast("binary").alias("jpeg"))
+    rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("session_id"), F.col("doc_id").alias("seq"), F.lit(5).cast("long").alias("t_arrival_us"), (F.col("doc_id") * 1000).alias("t_device_us"), (F.col("n_chars") % 4000).cast("int").alias("width"), F.lit(480).alias("height"), F.coalesce("text", F.lit("")).cast("binary").alias("jpeg"))
     return _kept(spark, rows, "frames").select("session_id", "seq", "t_device_us", "width", F.octet_length("jpeg").cast("long").alias("octets"), F.sha2("jpeg", 256).alias("digest"))
 
 
@@ -155,9 +154,11 @@ n as (select s.*, q.t, q.period, count(*) over (partition by s.session_id, s.rev
 f as (select *, count(*) over (partition by session_id, rev) as kept from a)
 select session_id, seq as rev, trunc(stamp)::bigint as t_us, round(0.5::double + m * cos(a), 6) as x, 1.5::double as y, round(-2.0::double - m * sin(a), 6) as z from f where kept >= 32""")
 def lidar_to_world(spark, sf_dir):
-    lidar = _revolutions(spark, sf_dir)
+    raw = _revolutions(spark, sf_dir)
+    order = placed(raw.select("session_id", "rev_id"), ["session_id"], ["rev_id"], "seq").withColumn("seq", F.col("seq") - 1)
+    lidar = matched(raw.drop("seq"), order, ["session_id", "rev_id"])
     path, _ = _still(lidar, "t_arrival_us", "t_arrival_us")
-    flat = fusion.lidar_points(fusion.revolution_samples(lidar, 1), path, (-1.5707963267948966, 0.0, 0.0), (0.0, 0.0, 0.0), 0.0)
+    flat = fusion.lidar_points(stow(fusion.revolution_samples(lidar, 1)), path, (-1.5707963267948966, 0.0, 0.0), (0.0, 0.0, 0.0), 0.0)
     return flat.select("session_id", "rev", "t_us", rounded("x", 6).alias("x"), rounded("y", 6).alias("y"), rounded("z", 6).alias("z"))
 
 
@@ -177,16 +178,15 @@ def session_mesh(spark, sf_dir):
 @query("""select l_returnflag as session_id, row_number() over (partition by l_returnflag order by l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 as seq, l_linenumber = 1 as start, ((l_partkey * 97) % 23040) / 64.0::double as degrees, (l_quantity * 300)::bigint / 4.0::double as mm, l_linenumber as quality from lineitem""")
 def serial_samples(spark, sf_dir):
     """Lines as packets of a serial capture, with stray bytes between some of them; split into ranges and read."""
-    order = Window.partitionBy("session_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
-    rows = _lines(spark, sf_dir).withColumn("seq", F.row_number().over(order).cast("long"))
+    order = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
 
-    def packed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            data = [bytes([q << 2 | (1 if q == 1 else 2), (a & 0x7F) << 1 | 1, a >> 7, d & 0xFF, d >> 8]) + b"\x00" * (q == 3) for a, d, q in part[["angle_q6", "dist_q2", "l_linenumber"]].itertuples(index=False)]
-            yield pd.DataFrame({"session_id": part["session_id"], "seq": part["seq"], "data": data})
+    def packed(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for a, d, q in zip(*(batch.column(c).to_pylist() for c in ("angle_q6", "dist_q2", "l_linenumber")), strict=True):
+            yield bytes([q << 2 | (1 if q == 1 else 2), (a & 0x7F) << 1 | 1, a >> 7, d & 0xFF, d >> 8]) + b"\x00" * (q == 3)
 
     folder = _folder(spark)
-    records.write_files(rows.select("session_id", "seq", "angle_q6", "dist_q2", "l_linenumber").mapInPandas(packed, "session_id string, seq long, data binary"), folder, "lidar.serial")
+    rows = _lines(spark, sf_dir).select("session_id", *order, "angle_q6", "dist_q2")
+    records.write_files(rows, folder, "lidar.serial", order, F.lit(5), packed)
     return ranges.serial_packets(spark, folder, limit=RANGE)
 
 
