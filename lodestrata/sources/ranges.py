@@ -18,16 +18,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import stow
+from .tables import checked, stow
 
 #: Bytes of a range; a longer record is a range of its own.
 RANGE_BYTES = 32 << 20
 #: Bytes that are read at once where heads are looked for.
 _LOOK = 1 << 16
 PACKET = 5
+#: Bytes of ranges for each task that reads many of them.
+TASK_BYTES = 8 << 20
 
 
 def place(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -43,6 +45,18 @@ def in_reach(path: str) -> bool:
     return True
 
 
+def rolled(name: str) -> str:
+    """Pattern of a file and of those it goes on in, which have a number behind its name."""
+    return f"{{{name},{name}.[0-9]*}}"
+
+
+def numbered(held: DataFrame) -> DataFrame:
+    """held(session_id, path, first, n, ...) with `first` counted over all files of a session, in order of their names; one row for each file is sorted."""
+    own = Window.partitionBy("session_id").orderBy(F.length("path"), "path").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.groupBy("session_id", "path").agg(F.sum("n").alias("_n")).select("path", F.coalesce(F.sum("_n").over(own), F.lit(0)).alias("_before"))
+    return held.join(checked(stow(before)), "path").withColumn("first", F.col("first") + F.col("_before")).select(*held.columns)
+
+
 def files(spark: SparkSession, root: str, pattern: str) -> DataFrame:
     """session_id (the file's folder), path, length of the files below root; no content is read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
@@ -99,9 +113,10 @@ def range_bytes(path: str, start: int, end: int) -> bytes:
 
 
 def spread(ranges: DataFrame) -> DataFrame:
-    """Ranges dealt over tasks, a few to each."""
-    n = ranges.count()
-    return ranges.repartition(max(1, min(n, 10_000)), "path", "start") if n > 1 else ranges
+    """Ranges dealt over tasks, a few megabytes to each, or one range to each while there are few."""
+    n, size = ranges.agg(F.count("*"), F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0))).first()
+    tasks = min(n, max(4 * ranges.sparkSession.sparkContext.defaultParallelism, size // TASK_BYTES))
+    return ranges.repartition(tasks, "path", "start") if n > 1 else ranges
 
 
 def _steps(data: bytes) -> np.ndarray:
@@ -129,41 +144,58 @@ def packets_from(good: np.ndarray, entry: int, end: int) -> tuple[list[int], int
     return found, at
 
 
+def _bytes_and_next(path: str, start: int, end: int, length: int, after: list[str]) -> bytes:
+    """A range and what a packet that begins in it may reach beyond it, be it in the files that follow."""
+    data = range_bytes(path, start, min(end + PACKET - 1, length))
+    for name in after:
+        if (missing := end - start + PACKET - 1 - len(data)) > 0:
+            data += range_bytes(name, 0, missing)
+    return data
+
+
 def serial_packets(spark: SparkSession, root: str, pattern: str = "*.serial", limit: int = RANGE_BYTES) -> DataFrame:
-    """session_id, seq, start, degrees, mm, quality: the packets of serial captures, as one reader of a whole file takes them."""
+    """session_id, seq, start, degrees, mm, quality: the packets of serial captures, as one reader of a whole capture takes them.
+
+    A capture may go on in files with a number behind its name; packets may lie across their bounds.
+    """
     each = max(PACKET, limit)
-    found = files(spark, root, pattern).where("length > 0")
+    found = files(spark, root, rolled(pattern)).where("length > 0").withColumn("capture", F.regexp_replace("path", r"(\.serial)\.[0-9]+$", "$1"))
+    place = Window.partitionBy("capture").orderBy(F.length("path"), "path")
+    found = found.withColumn("file", F.row_number().over(place).cast("long")).withColumn("after", F.collect_list("path").over(place.rowsBetween(1, PACKET - 1)))
     ranges = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / each))).alias("k"))
-    ranges = ranges.select("session_id", "path", "length", "k", (F.col("k") * each).alias("start"), F.least((F.col("k") + 1) * each, "length").alias("end"))
+    kept = ["session_id", "capture", "file", "path", "length", "after"]
+    ranges = ranges.select(*kept, "k", (F.col("k") * each).alias("start"), F.least((F.col("k") + 1) * each, "length").alias("end"))
+    fields = "session_id string, capture string, file long, path string, length long, after array<string>, k long, start long, end long"
 
     def exits(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
-            for session, path, length, k, start, end in part.itertuples(index=False):
-                good = _steps(range_bytes(path, start, min(end + PACKET - 1, length)))
+            leaves, counts = [], []
+            for path, length, after, start, end in part[["path", "length", "after", "start", "end"]].itertuples(index=False):
+                good = _steps(_bytes_and_next(path, start, end, length, after))
                 ways = [packets_from(good, e, end - start) if e < end - start else ([], e) for e in range(PACKET)]
-                rows.append((session, path, length, k, start, end, [w[1] - (end - start) for w in ways], [len(w[0]) for w in ways]))
-            yield pd.DataFrame(rows, columns=["session_id", "path", "length", "k", "start", "end", "leaves", "counts"])
+                leaves.append([w[1] - (end - start) for w in ways])
+                counts.append([len(w[0]) for w in ways])
+            yield part.assign(leaves=leaves, counts=counts)
 
-    fields = "session_id string, path string, length long, k long, start long, end long"
     known = stow(spread(ranges).mapInPandas(exits, f"{fields}, leaves array<int>, counts array<long>"))
 
     def chained(part: pd.DataFrame) -> pd.DataFrame:
-        """A few numbers of each range of a file, in order."""
-        part = part.sort_values("k")
+        """A few numbers of each range of a capture, in order."""
+        part = part.sort_values(["file", "k"])
         entry, seq, entries, firsts = 0, 0, [], []
         for leaves, counts in zip(part["leaves"], part["counts"], strict=True):
             entries.append(entry)
             firsts.append(seq)
             entry, seq = int(leaves[entry]), seq + int(counts[entry])
-        return part.assign(entry=entries, first=firsts)[["session_id", "path", "length", "start", "end", "entry", "first"]]
+        return part[["path", "start"]].assign(entry=entries, first=firsts)
 
-    entered = known.groupBy("path").applyInPandas(chained, "session_id string, path string, length long, start long, end long, entry int, first long")
+    numbers = known.select("capture", "file", "path", "k", "start", "leaves", "counts").groupBy("capture").applyInPandas(chained, "path string, start long, entry int, first long")
+    entered = known.select(*kept, "start", "end").join(numbers, ["path", "start"])
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for session, path, length, start, end, entry, first in part.itertuples(index=False):
-                data = range_bytes(path, start, min(end + PACKET - 1, length))
+            for session, path, length, after, start, end, entry, first in part[["session_id", "path", "length", "after", "start", "end", "entry", "first"]].itertuples(index=False):
+                data = _bytes_and_next(path, start, end, length, after)
                 at = np.array(packets_from(_steps(data), entry, end - start)[0], np.int64)
                 x = np.frombuffer(data, np.uint8).astype(np.int64)
                 for low in range(0, len(at), 100_000):

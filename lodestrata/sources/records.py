@@ -7,13 +7,16 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
-from itertools import islice
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ranges, schemas
@@ -27,6 +30,8 @@ LIDAR_HEAD, FRAME_HEAD, SIZED_HEAD = struct.Struct("<QIH"), struct.Struct("<QQHH
 DEPTH_HEAD, MESH_HEAD, WIRE_HEAD, WIRE_FRAME_HEAD = struct.Struct("<QHH4f"), struct.Struct("<Q16s16fII"), struct.Struct("<IB"), struct.Struct("<QHHI")
 HELLO, POSE_TYPE, FRAME_TYPE, DEPTH_TYPE, MESH_TYPE = 0x01, 0x02, 0x03, 0x04, 0x05
 LIMIT, VERSION = 16 << 20, 1
+#: Bytes of a stream from which it is written in several files, each by a task of its own; a row counts as so many more.
+SEGMENT_BYTES, ROW_BYTES = 32 << 20, 64
 FILES = {"poses": "poses.bin", "lidar": "lidar.bin", "frames": "frames.bin", "depth": "depth.bin", "mesh": "mesh.bin"}
 
 
@@ -136,7 +141,7 @@ def read_stream(spark: SparkSession, root: str, stream: str, range_bytes: int =
     In a store that only Spark reads a task reads a whole file.
     """
     schema = schemas.STREAMS[stream]
-    found = ranges.files(spark, root, FILES[stream])
+    found = ranges.files(spark, root, ranges.rolled(FILES[stream]))
     one = found.first()
     if one is None:
         return spark.createDataFrame([], schema)
@@ -155,22 +160,28 @@ def read_stream(spark: SparkSession, root: str, stream: str, range_bytes: int =
                     yield rows.assign(session_id=session, seq=first + np.arange(len(rows)))[names]
                     first += len(rows)
 
-    return ranges.spread(stow(held)).mapInPandas(run, schema)
+    return ranges.spread(ranges.numbered(stow(held))).mapInPandas(run, schema)
 
 
 def _read_whole(spark: SparkSession, root: str, stream: str, schema: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", FILES[stream]).option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ranges.rolled(FILES[stream])).option("recursiveFileLookup", "true").load(root).select(F.element_at(F.split("path", "/"), -2).alias("session_id"), "path", "content")
     names = [f.split()[0] for f in stream_fields(stream)]
 
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            yield part[["session_id", "path"]].assign(first=0, n=[sum(map(len, _frames(stream, bytes(data)))) for data in part["content"]])
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            for session, data in zip(part["session_id"], part["content"], strict=True):
-                first = 0
+            for session, data, first in part[["session_id", "content", "first"]].itertuples(index=False):
                 for rows in _frames(stream, bytes(data)):
                     yield rows.assign(session_id=session, seq=first + np.arange(len(rows)))[names]
                     first += len(rows)
 
-    return files.mapInPandas(run, schema)
+    if files.groupBy("session_id").count().where("count > 1").isEmpty():
+        return files.withColumn("first", F.lit(0)).mapInPandas(run, schema)
+    firsts = ranges.numbered(stow(files.mapInPandas(count, "session_id string, path string, first long, n long")))
+    return files.join(F.broadcast(firsts.select("path", "first")), "path").mapInPandas(run, schema)
 
 
 def pack_pose(x: dict) -> bytes:
@@ -202,48 +213,69 @@ def stored(stream: str, x: dict) -> bytes:
     return SIZED_HEAD.pack(x["t_arrival_us"], len(payload)) + payload
 
 
-def write_files(blobs: DataFrame, root: str, name: str) -> int:
-    """blobs(session_id, seq, data) one after the other in root/<session>/<name>; the number of files.
+def write_files(rows: DataFrame, root: str, name: str, order: tuple[str, ...], size: Column, packed: Callable[[pa.RecordBatch], Iterable[bytes]]) -> int:
+    """What `packed` makes of rows(session_id, *order, ...), about `size` bytes of each, in order in root/<session>/<name>; the number of files.
 
-    A task writes the files of its sessions, holding a batch of rows; a file is put in its place as a whole, so a task that
-    runs again leaves the same.
+    A task sorts, packs and writes a range of the whole order, of about SEGMENT_BYTES. Where there are several ranges, a
+    session's files are root/<session>/<name>.00000 and so on, as of a recorder that rolls its files over. A file is put in
+    its place as a whole, so a task that runs again leaves the same.
     """
+    parts = max(1, -(-int(rows.agg(F.sum(size.cast("long") + ROW_BYTES)).first()[0] or 0) // SEGMENT_BYTES))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, folder = ranges.place(root)
+        context = TaskContext.get()
+        mark = f".{name}.{context.taskAttemptId()}.part"
+        final = f"{name}.{context.partitionId():05}" if parts > 1 else name
         session, sink, done = None, None, []
 
         def close() -> None:
             if sink is not None:
                 sink.close()
-                system.move(f"{folder}/{session}/{name}.{mark}", f"{folder}/{session}/{name}")
+                system.move(f"{folder}/{session}/{mark}", f"{folder}/{session}/{final}")
                 done.append(session)
 
-        mark = f"{TaskContext.get().taskAttemptId()}.part"
-        for part in parts:
-            for own, data in zip(part["session_id"], part["data"], strict=True):
+        for batch in batches:
+            for own, found in groupby(zip(batch.column("session_id").to_pylist(), packed(batch), strict=True), itemgetter(0)):
                 if own != session:
                     close()
                     session = own
                     system.create_dir(f"{folder}/{own}", recursive=True)
-                    sink = system.open_output_stream(f"{folder}/{own}/{name}.{mark}")
-                sink.write(bytes(data))
+                    sink = system.open_output_stream(f"{folder}/{own}/{mark}")
+                sink.write(b"".join(data for _, data in found))
         close()
-        yield pd.DataFrame({"session_id": pd.Series(done, dtype=object)})
+        yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], ["session_id"])
 
-    dealt = blobs.select("session_id", "seq", "data").repartition("session_id").sortWithinPartitions("session_id", "seq")
-    return dealt.mapInPandas(run, "session_id string").count()
+    columns = ["session_id", *order]
+    dealt = rows.repartitionByRange(parts, *columns).sortWithinPartitions(*columns)
+    return dealt.mapInArrow(run, "session_id string").count()
 
 
-def write_stream(rows: DataFrame, root: str, stream: str) -> int:
-    """A stream's table as binary session files, in order of seq; the number of files."""
-    names = [f.split()[0] for f in stream_fields(stream)]
+#: Bytes of a stream's row in its file, or nearly.
+SIZES = {
+    "poses": lambda: F.lit(STORED_POSE.itemsize), "lidar": lambda: LIDAR_HEAD.size + SAMPLE.itemsize * F.size("samples"), "frames": lambda: FRAME_HEAD.size + F.octet_length("jpeg"),
+    "depth": lambda: SIZED_HEAD.size + DEPTH_HEAD.size + 3 * F.size("depth_mm"), "mesh": lambda: SIZED_HEAD.size + MESH_HEAD.size + 4 * (F.size("vertices") + F.size("faces")),
+}
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            yield pd.DataFrame({"session_id": part["session_id"], "seq": part["seq"], "data": [stored(stream, x) for x in part.to_dict("records")]})
 
-    return write_files(rows.select(*names).mapInPandas(run, "session_id string, seq long, data binary"), root, FILES[stream])
+def _lidar_records(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """Records of whole columns of samples; stored() makes the same of one row."""
+    lists = batch.column("samples")
+    n = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False)
+    values = lists.flatten()
+    samples = np.empty(len(values), SAMPLE)
+    for field, mask in (("angle_q6", 0xFFFF), ("dist_q2", 0xFFFF), ("quality", 0xFF)):
+        samples[field] = values.field(field).to_numpy(zero_copy_only=False).astype(np.int64) & mask
+    ends = np.cumsum(n)
+    for arrival, rev, size, end in zip(batch.column("t_arrival_us").to_pylist(), batch.column("rev_id").to_pylist(), n.tolist(), ends.tolist(), strict=True):
+        yield LIDAR_HEAD.pack(arrival, rev, size) + samples[end - size : end].tobytes()
+
+
+def write_stream(rows: DataFrame, root: str, stream: str) -> int:
+    """A stream's table as binary session files, in order of seq; the number of files. Readers number the rows anew."""
+    names = [f.split()[0] for f in stream_fields(stream)]
+    packed = _lidar_records if stream == "lidar" else lambda batch: (stored(stream, x) for x in batch.to_pandas().to_dict("records"))
+    return write_files(rows.select(*names), root, FILES[stream], ("seq",), SIZES[stream](), packed)
 
 
 def split_messages(blobs: DataFrame) -> DataFrame:

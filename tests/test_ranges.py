@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lodestrata.sources import ranges, records
+from lodestrata.sources import ranges, records, schemas
 
 from .test_records import ALL
 
@@ -90,3 +90,37 @@ def test_exits_chain_to_a_single_pass(data, each):
         got += [start + p for p in found]
         entry = at - (end - start)
     assert got == want
+
+
+@pytest.mark.parametrize("stream", list(ALL))
+def test_a_long_stream_is_written_in_several_files(spark, folder, monkeypatch, stream):
+    """No task writes a session; readers number the rows over all files, whole or in ranges."""
+    monkeypatch.setattr(records, "SEGMENT_BYTES", 1000)
+    rng = random.Random(1)
+    want = {("a" if k % 3 else "b", k): varied(stream, rng, k) for k in range(90)}
+    rows = spark.createDataFrame([{"session_id": s, "seq": k} | r for (s, k), r in want.items()], schemas.STREAMS[stream])
+    assert records.write_stream(rows, folder, stream) > 2
+    assert len(os.listdir(f"{folder}/a")) > 2
+    places = {s: {k: n for n, k in enumerate(sorted(k for t, k in want if t == s))} for s in "ab"}
+    for reach in (True, False):
+        monkeypatch.setattr(ranges, "in_reach", lambda path: reach)  # noqa: B023
+        got = {(r.session_id, r.seq): r.asDict(recursive=True) for r in records.read_stream(spark, folder, stream, 500).collect()}
+        assert len(got) == len(want)
+        for (s, k), row in want.items():
+            found = got[s, places[s][k]]
+            assert {c: bytes(found[c]) if c == "jpeg" else found[c] for c in row} == row
+
+
+@pytest.mark.parametrize("sizes", [(7,), (1, 2, 1, 3, 50), (500, 333)])
+def test_a_serial_capture_goes_on_in_files_cut_anywhere(spark, folder, sizes):
+    streams = {"a": noisy(5, 400), "b": noisy(6, 30)}
+    for session, data in streams.items():
+        os.makedirs(f"{folder}/{session}")
+        at = number = 0
+        while at < len(data):
+            size = sizes[number % len(sizes)] if len(sizes) > 1 or number < 20 else len(data)
+            with open(f"{folder}/{session}/lidar.serial.{number:05}", "wb") as f:
+                f.write(data[at : at + size])
+            at, number = at + size, number + 1
+    found = ranges.serial_packets(spark, folder, limit=64).collect()
+    assert sorted(tuple(r) for r in found) == sorted((s, k, *p) for s, data in streams.items() for k, p in enumerate(records.lidar_packets(data)))
