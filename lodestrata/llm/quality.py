@@ -1,8 +1,9 @@
 """Quality rules: an isolation forest over rule statistics.
 
 Every document gets exact rule statistics in one pass without a shuffle. A forest of random splits is grown on the
-statistics of a bounded sample of labelled documents; the mean path length at which a document is isolated is its
-anomaly score, and the labels of the sample fix the score above which a document is rejected.
+statistics of the labelled documents: each tree, as the method has it, on SUBSAMPLE rows drawn from all of them. The mean
+path length at which a document is isolated is its anomaly score, and the scores and labels of all labelled documents fix
+the score above which a document is rejected.
 
 Null text has no words, as has empty text: both fail the base rule. Without labelled rows of both kinds there is no
 threshold, and the base rule alone decides. Labels that repeat a doc_id are taken once; null labels are left out.
@@ -11,21 +12,22 @@ Columns besides doc_id and text (labels: doc_id and quality) are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import BROADCAST_ROWS
 from . import words as W
-from .common import column_of, empty_where_null, filtered, keyed_text, text_chunks
+from .common import column_of, empty_where_null, filtered, keyed_text, stow, text_chunks
 
-#: Labelled documents that the forest and its threshold are fitted on, at most about so many.
+#: Rows of labelled documents that `labelled_sample` gives at most, about.
 SAMPLE_ROWS = 12_000
 TREES, SUBSAMPLE, SEED = 120, 256, 11
-#: Share of the sample's good documents that the threshold must keep.
+#: Share of the labelled good documents that the threshold must keep.
 KEEP_GOOD = 0.98
 
 SYMBOLS = np.zeros(256, bool)
@@ -134,8 +136,18 @@ class IsolationForest:
 
     def __init__(self, rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.usual = _expected(min(subsample, len(rows)))
-        self.trees = [self._grow(rows[rng.choice(len(rows), min(subsample, len(rows)), replace=False)], rng) for _ in range(trees)]
+        self._plant((rows[rng.choice(len(rows), min(subsample, len(rows)), replace=False)] for _ in range(trees)), min(subsample, len(rows)), rng)
+
+    def _plant(self, drawn: Iterable[np.ndarray], subsample: int, rng: np.random.Generator) -> None:
+        self.usual = _expected(subsample)
+        self.trees = [self._grow(rows, rng) for rows in drawn]
+
+    @classmethod
+    def of(cls, drawn: list[np.ndarray], seed: int = SEED) -> IsolationForest:
+        """A tree for each of the given sets of rows."""
+        made = cls.__new__(cls)
+        made._plant(drawn, max(map(len, drawn)), np.random.default_rng(seed))
+        return made
 
     @staticmethod
     def _grow(rows: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
@@ -195,16 +207,61 @@ def labelled_sample(labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> D
     return known.groupBy("doc_id").agg(F.min("label").alias("label"))
 
 
+def drawn_for_trees(rows: DataFrame, total: int, trees: int = TREES, subsample: int = SUBSAMPLE) -> list[np.ndarray]:
+    """For each tree FEATURES of `subsample` rows at most, those of least hashes of tree and row: any row is as likely as any other.
+
+    Rows far from the least hashes never leave their task, so what is sorted and comes to the driver depends on trees and subsample alone.
+    """
+    hashed = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn("_hash", F.pmod(F.xxhash64("tree", "doc_id", *FEATURES), F.lit(1 << 40)))
+    near = hashed.where(F.col("_hash") < int(min(1.0, (2 * subsample + 64) / total) * (1 << 40)))
+    place = F.row_number().over(Window.partitionBy("tree").orderBy("_hash", "doc_id", *FEATURES))
+    found = near.withColumn("_place", place).where(F.col("_place") <= subsample).select("tree", "_place", *FEATURES).toPandas().sort_values(["tree", "_place"])
+    return [part[FEATURES].to_numpy() for _, part in found.groupby("tree")]
+
+
+def score_threshold(scored: DataFrame, keep_good: float = KEEP_GOOD) -> float:
+    """threshold() of scored(score, good) of any size: scores are counted, and summed up over ranges of their order."""
+    counts = scored.groupBy("score").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    held = stow(counts.repartitionByRange("score").withColumn("_range", F.spark_partition_id()))
+    good, bad = held.agg(F.sum("good"), F.sum("bad")).first()
+    if not good or not bad:
+        return np.inf
+    parts = held.groupBy("_range").agg(F.sum("good").alias("_good"), F.sum("bad").alias("_bad"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = parts.select("_range", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_good", "_bad")))
+    within = Window.partitionBy("_range").orderBy("score")
+    summed = held.join(F.broadcast(starts), "_range").select("score", *((F.col(f"_{c}") + F.sum(c).over(within)).alias(c) for c in ("good", "bad")))
+    kept = summed.select("score", (F.col("good") / good).alias("good"), (F.col("bad") / bad).alias("bad")).where(F.col("good") >= keep_good)
+    cut = kept.orderBy((F.col("good") - F.col("bad")).desc(), "score").first().score
+    above = held.where(F.col("score") > cut).agg(F.min("score")).first()[0]
+    return np.inf if above is None else (cut + above) / 2
+
+
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, FEATURES, label of all labelled documents of 50 words or more, stowed. Texts are never shuffled."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label is not null")
+    known = stow(known.groupBy("doc_id").agg(F.min("label").alias("label")))
+    if known.count() <= BROADCAST_ROWS:
+        rows = document_statistics(keyed_text(docs).join(F.broadcast(known.select("doc_id")), "doc_id")).join(F.broadcast(known), "doc_id")
+    else:
+        rows = document_statistics(docs).join(known, "doc_id")
+    return stow(rows.where("n_words >= 50").select("doc_id", *FEATURES, "label"))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[IsolationForest, float] | None:
-    """The forest and its threshold; None if no labelled document is there. What comes to the driver is bounded by SAMPLE_ROWS."""
-    sample = labelled_sample(labels, "quality")
-    rows = document_statistics(keyed_text(docs).join(F.broadcast(sample.select("doc_id")), "doc_id")).join(F.broadcast(sample), "doc_id")
-    found = rows.where("n_words >= 50").select("doc_id", *FEATURES, "label").toPandas().sort_values("doc_id", kind="stable")
-    if not len(found):
+    """The forest and its threshold, from all labelled documents; None if there is none. TREES * SUBSAMPLE rows at most come to the driver."""
+    rows = labelled_statistics(docs, labels)
+    total = rows.count()
+    if not total:
         return None
-    values = found[FEATURES].to_numpy()
-    forest = IsolationForest(values)
-    return forest, threshold(forest.scores(values), found["label"].to_numpy() == 1)
+    forest = IsolationForest.of(drawn_for_trees(rows, total))
+    held = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame({"score": held.value.scores(frame[FEATURES].to_numpy()), "good": frame["label"].to_numpy() == 1})
+
+    return forest, score_threshold(rows.mapInPandas(run, "score double, good boolean"))
 
 
 def base_failed() -> Column:

@@ -55,6 +55,28 @@ def test_forest_isolates_what_lies_apart():
     assert (scores[~good] > cut).all() and (scores[good] <= cut).mean() >= 0.98
 
 
+def test_the_forest_and_its_threshold_come_from_all_labelled_documents(spark):
+    """12,500 of them, more than were sampled once; broadcast labels and joined ones; and the cut of the counts is that of the arrays."""
+    ids = spark.range(12_500)
+    docs = ids.selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 55), x -> cast((x * id) % 97 as string))) as text")
+    labels = ids.selectExpr("id as doc_id", "cast(id % 3 > 0 as int) as quality")
+    rows = quality.labelled_statistics(docs, labels)
+    assert rows.select("doc_id").distinct().count() == rows.count() == 12_500
+    drawn = quality.drawn_for_trees(rows, 12_500)
+    assert [len(d) for d in drawn] == [quality.SUBSAMPLE] * quality.TREES
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality, "BROADCAST_ROWS", 10)
+        assert quality.labelled_statistics(docs, labels).exceptAll(rows).isEmpty()
+    rng = np.random.default_rng(1)
+    for n in (2, 300, 4000):
+        good = rng.random(n) < 0.8
+        good[:2] = True, False
+        scores = np.round(rng.normal(np.where(good, 0.4, 0.55), 0.05), 3)
+        held = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good, strict=True)], "score double, good boolean")
+        assert quality.score_threshold(held) == quality.threshold(scores, good)
+    assert quality.score_threshold(held.where("good")) == np.inf
+
+
 def test_token_counts_against_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rows, t = corpus.documents(), Tokenizer.from_file(path)
