@@ -111,6 +111,13 @@ def run_hashes(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[starts + n] - sums[starts]) * _power("down", len(sums))[starts])
 
 
+def spans(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One hash of the values of each range."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(mix(values + np.uint64(1)) * _power("up", len(values)), out=total[1:])
+    return mix((total[bounds[1:]] - total[bounds[:-1]]) * _power("down", len(total))[bounds[:-1]])
+
+
 def owner(bounds: np.ndarray) -> np.ndarray:
     """For each element, the document whose range it lies in."""
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))

@@ -185,6 +185,62 @@ def test_passages_near_each_other_against_brute_force(spark):
     assert len(set(near) & found) >= 0.98 * len(near) and all(i >= 1000 for i in found)
 
 
+def behind_edited_holders(n, holders, seed=23):
+    """Rows, and the ids of near copies of a passage whose keys up to `holders` edited copies under the threshold hold too."""
+    rng = random.Random(seed)
+    rows, near = [], []
+    for k in range(n):
+        words = corpus.sentence(rng, rng.randint(80, 120)).split()
+
+        def edited(step, mark):
+            first = rng.randrange(step)
+            return " ".join(f"{mark}{k}x{j}" if j % step == first else x for j, x in enumerate(words))
+
+        copies = [(0, " ".join(words))] + [(rng.choice([-1, 1]) * (h + 1), edited(rng.randint(12, 24), f"h{h}")) for h in range(holders)]
+        copy = edited(rng.randint(60, 100), "e")
+        if jaccard(" ".join(words), copy) >= 0.8:
+            near.append(1000 * (k + 1) + 500)
+        rows += [(1000 * (k + 1) + place, corpus.sentence(rng, 30) + " " + text + " " + corpus.sentence(rng, 30)) for place, text in copies]
+        rows.append((1000 * (k + 1) + 500, corpus.sentence(rng, 30) + " " + copy + " " + corpus.sentence(rng, 30)))
+    return rows, near
+
+
+@pytest.mark.parametrize("holders", [2, 30])
+def test_near_copies_behind_many_edited_holders(spark, holders):
+    rows, near = behind_edited_holders(150, holders)
+    found = {(r.doc_id, r.source_id) for r in passages.repeated_passages(corpus.table(spark, rows)).collect()}
+    assert len(near) > 100 and [i for i in near if i not in {a for a, _ in found}] == []
+    assert all(a // 1000 * 1000 - 500 <= b < a for a, b in found)
+
+
+def test_holders_in_blocks_give_the_same_passages(spark):
+    docs = corpus.table(spark, behind_edited_holders(12, 30)[0])
+    whole, blocks = ({(r.doc_id, r.start, r.n_words) for r in passages.repeated_passages(docs, tile).collect()} for tile in (passages.TILE, 5))
+    covered = [{(i, k) for i, start, n in found for k in range(start, start + n)} for found in (whole, blocks)]
+    assert covered[0] and {i for i, _ in covered[0]} == {i for i, _ in covered[1]} and len(covered[0] ^ covered[1]) <= 0.02 * len(covered[0])
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 1 << 30))
+def test_windows_alike_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 14))
+    size = rng.integers(46, 80, n)
+    base = rng.integers(0, 60, 80)  # tokens repeat, and all windows share some
+    texts = [np.where(rng.random(k) < rng.choice([0.5, 0.9, 1]), base[:k], rng.integers(0, 400, k)) for k in size]
+    group, doc, side = np.sort(rng.integers(0, 2, n)), rng.integers(0, 9, n), rng.integers(0, 3, n)
+    asks, answers, middle = rng.random(n) < 0.8, rng.random(n) < 0.8, rng.integers(0, size)
+    pairs = passages.alike(group, doc, side, middle, asks, answers, np.concatenate(texts).astype("<u4"), np.concatenate([[0], np.cumsum(size)]))
+    got = [p for mine, theirs in pairs for p in zip(mine.tolist(), theirs.tolist(), strict=True)]
+
+    def passage(a, b):
+        hit = np.isin(texts[a], texts[b])
+        return any(9 * hit[i:j].sum() >= 8 * (j - i) for i in range(middle[a] + 1) for j in range(max(middle[a] + 1, i + 46), size[a] + 1))
+
+    want = [(a, b) for a in range(n) for b in range(n) if group[a] == group[b] and doc[b] < doc[a] and asks[a] and answers[b] and (side[a] != side[b] or not side[a]) and passage(a, b)]
+    assert sorted(got) == want
+
+
 def test_chunks_stay_the_same_when_plans_change(spark):
     docs = corpus.table(spark, corpus.documents(n=120))
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
