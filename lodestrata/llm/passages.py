@@ -460,18 +460,20 @@ def alike(group: np.ndarray, doc: np.ndarray, side: np.ndarray, middle: np.ndarr
     of = np.repeat(np.arange(n), np.diff(at))
     code, count = np.unique((of.astype(np.uint64) << np.uint64(32)) | tokens, return_counts=True)
     of, token = (code >> np.uint64(32)).astype(np.int64), code & np.uint64((1 << 32) - 1)
-    place = np.lexsort((of, token, group[of]))  # by group and token
-    new = np.concatenate([[True], (token[place][1:] != token[place][:-1]) | (group[of[place]][1:] != group[of[place]][:-1])])
+    grouped = group[of].astype(np.uint64) << np.uint64(32) | token
+    place = np.argsort(grouped, kind="stable")
+    new = np.concatenate([[True], grouped[place][1:] != grouped[place][:-1]])
     list_of = np.empty(len(code), np.int64)
     list_of[place] = np.cumsum(new) - 1
     place = place[answers[of[place]]]
     edges = np.searchsorted(list_of[place], np.arange(int(new.sum()) + 1))
     holders = np.diff(edges)
     # a window's tokens from the most frequent one; those past the first _COMMON - 1 seek
-    order = np.lexsort((token, -holders[list_of], of))
+    order = np.flatnonzero(asks[of] & (holders[list_of] > 0))
+    order = order[np.argsort((of[order] << 32) - holders[list_of[order]], kind="stable")]
     ends = np.cumsum(count[order])
     before = np.concatenate([[0], ends])[np.searchsorted(of[order], of[order])]
-    seek = order[(ends - before >= _COMMON) & asks[of[order]]]
+    seek = order[ends - before >= _COMMON]
     total = np.cumsum(holders[list_of[seek]])
     low = 0
     while low < len(seek):
