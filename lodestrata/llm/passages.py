@@ -23,7 +23,7 @@ besides doc_id and text are ignored, and returned as they are where documents ar
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .chunks import LAST, bucket_count, bucket_of, chunk_table, each_row, marked, opened, slices, small_batches
-from .common import stow
+from .common import hand_back, reused_memory, stow
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many of them must meet.
@@ -157,11 +157,25 @@ class Chunk:
         self.before[order] = np.where(fresh[first], -1, order[first - 1]) if len(key) else order
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    with reused_memory():
+        yield from each_row(batches)
+    hand_back()
+
+
+def _reusing(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    def run(table: pa.Table) -> pa.Table:
+        with reused_memory():
+            return step(table)
+
+    return run
+
+
 def _entries(chunks: DataFrame, buckets: int) -> DataFrame:
     """bucket, chunk, n, keys, heads."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
+        for r in _each(batches):
             c = Chunk(*opened(r["ids"], r["sizes"], r["body"]))
             c.windows()
             w = c.lead
@@ -244,7 +258,7 @@ def _asks(coded: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
+        for r in _each(batches):
             c = Chunk(*opened(r["ids"], r["sizes"], r["body"]))
             c.windows()
             keyed = bucket_of(c.key, r["buckets"])
@@ -369,7 +383,7 @@ def _states(crowded: DataFrame, buckets: int) -> DataFrame:
     """bucket, chunk, states: crowded windows; open where no passage found so far holds the middle, a copy where one holds the whole context word by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
+        for r in _each(batches):
             places = unpacked(r["places"], _PLACE)
             row, middle = places["row"].astype(np.int64), places["middle"].astype(np.int64)
             order = np.lexsort((middle, row))
@@ -422,7 +436,7 @@ def _holders(coded: DataFrame, buckets: int) -> DataFrame:
     """cell, chunk, holders, tokens: wanted windows with the tokens around their middles; a cell is a bucket, or two blocks of one key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in each_row(batches):
+        for r in _each(batches):
             c = Chunk(*opened(r["ids"], r["sizes"], r["body"]))
             wanted = np.concatenate([unpacked(x, _WANTED) for x in r["wanted"]])
             places = unpacked(r["places"], _PLACE)[wanted["at"]]
@@ -454,9 +468,12 @@ def alike(group: np.ndarray, doc: np.ndarray, side: np.ndarray, middle: np.ndarr
 
     That needs _TOKENS or more of the former's tokens, the middle among them, of which a share of _SHARE is in the latter. So
     many aren't all among its _COMMON - 1 most frequent tokens, and pairs come from the others. Windows on one side of two
-    blocks aren't paired; 0 is no side.
+    blocks aren't paired; 0 is no side. A window's pairs come one after the other, by document, however many arrays they fill.
     """
     n = len(doc)
+    by_doc = np.argsort(doc, kind="stable")
+    rank = np.empty(n, np.int64)
+    rank[by_doc] = np.arange(n)
     of = np.repeat(np.arange(n), np.diff(at))
     code, count = np.unique((of.astype(np.uint64) << np.uint64(32)) | tokens, return_counts=True)
     of, token = (code >> np.uint64(32)).astype(np.int64), code & np.uint64((1 << 32) - 1)
@@ -486,10 +503,10 @@ def alike(group: np.ndarray, doc: np.ndarray, side: np.ndarray, middle: np.ndarr
         size = holders[list_of[part]]
         mine, theirs = np.repeat(of[part], size), of[place[_expanded(edges[list_of[part]], size)]]
         ok = (doc[theirs] < doc[mine]) & ((side[mine] != side[theirs]) | (side[mine] == 0))
-        pair = np.unique(mine[ok] * n + theirs[ok])
+        pair = np.unique(mine[ok] * n + rank[theirs[ok]])
         step = max(1, _EXPANDED // (2 * CONTEXT + 1))
         for i in range(0, len(pair), step):
-            mine, theirs = pair[i : i + step] // n, pair[i : i + step] % n
+            mine, theirs = pair[i : i + step] // n, by_doc[pair[i : i + step] % n]
             width = at[mine + 1] - at[mine]
             column = _expanded(np.zeros(len(mine), np.int64), width)
             sought = (np.repeat(theirs, width).astype(np.uint64) << np.uint64(32)) | tokens[_expanded(at[mine], width)]
@@ -537,10 +554,9 @@ def _matches(w: np.ndarray, chunk: np.ndarray, tokens: np.ndarray, at: np.ndarra
     order = np.lexsort((w["doc"], w["side"], same, group))
     answers = np.zeros(len(w), bool)
     answers[order] = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in (group, same, w["side"])], axis=0)])
+    done = -1
     for mine, theirs in alike(group, w["doc"], w["side"], w["left"].astype(np.int64), w["open"], answers, tokens, at):
-        order = np.lexsort((w["doc"][theirs], mine))
-        done = -1
-        for a, b in zip(mine[order].tolist(), theirs[order].tolist(), strict=True):
+        for a, b in zip(mine.tolist(), theirs.tolist(), strict=True):
             if a == done:
                 continue
             doc, row, middle, left = (int(w[name][a]) for name in ("doc", "row", "middle", "left"))
@@ -552,7 +568,7 @@ def _matches(w: np.ndarray, chunk: np.ndarray, tokens: np.ndarray, at: np.ndarra
 
 def _passages(chunks: DataFrame, tile: int = TILE) -> DataFrame:
     buckets = bucket_count(chunks)
-    pairs = _entries(chunks, buckets).groupBy("bucket").applyInArrow(_pairs, "chunk long, bucket long, pairs binary, crowded binary")
+    pairs = _entries(chunks, buckets).groupBy("bucket").applyInArrow(_reusing(_pairs), "chunk long, bucket long, pairs binary, crowded binary")
     answers = pairs.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "pairs", "crowded")).alias("answers"))
     with small_batches(chunks.sparkSession):
         told = stow(_asks(chunks.join(answers, "chunk", "left").withColumn("buckets", F.lit(buckets))))
@@ -561,9 +577,9 @@ def _passages(chunks: DataFrame, tile: int = TILE) -> DataFrame:
     crowded = told.where("places is not null").select(F.col("to").alias("chunk"), "places")
     spans = found.groupBy("chunk").agg(F.collect_list(F.struct("row", "start", "n_words", "similarity")).alias("spans"))
     states = _states(crowded.join(spans, "chunk", "left"), buckets)
-    wanted = states.groupBy("bucket").applyInArrow(lambda table: _wanted(table, tile), "chunk long, wanted binary").groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
+    wanted = states.groupBy("bucket").applyInArrow(_reusing(lambda table: _wanted(table, tile)), "chunk long, wanted binary").groupBy("chunk").agg(F.collect_list("wanted").alias("wanted"))
     with small_batches(chunks.sparkSession):
-        more = stow(_holders(chunks.join(crowded.join(wanted, "chunk"), "chunk"), buckets).groupBy("cell").applyInArrow(_met, _FOUND_SCHEMA))
+        more = stow(_holders(chunks.join(crowded.join(wanted, "chunk"), "chunk"), buckets).groupBy("cell").applyInArrow(_reusing(_met), _FOUND_SCHEMA))
     return found.union(more)
 
 
@@ -573,7 +589,7 @@ def _answered(chunks: DataFrame, asks: DataFrame) -> DataFrame:
     dealt = asks.join(parts, "to").withColumn("part", F.pmod(F.xxhash64("ask"), F.col("parts")))
     by_part = dealt.groupBy(F.col("to").alias("chunk"), "part").agg(F.collect_list(F.struct("ask", "tokens")).alias("asks"))
     copies = chunks.join(parts.withColumnRenamed("to", "chunk"), "chunk").withColumn("part", F.explode(F.expr("sequence(0L, parts - 1)")))
-    return copies.join(by_part, ["chunk", "part"]).groupBy("chunk", "part").applyInArrow(_verified, _FOUND_SCHEMA)
+    return copies.join(by_part, ["chunk", "part"]).groupBy("chunk", "part").applyInArrow(_reusing(_verified), _FOUND_SCHEMA)
 
 
 def repeated_passages(docs: DataFrame, tile: int = TILE) -> DataFrame:
@@ -612,4 +628,4 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         left = pa.array(~changed | (W.sums(~gone & ~W.SPACES[texts.data], texts.at) > 0))
         return pa.table([held[c] for c in names], names).filter(left)
 
-    return chunks.join(spans, "chunk", "left").groupBy("chunk").applyInArrow(cut, docs.schema)
+    return chunks.join(spans, "chunk", "left").groupBy("chunk").applyInArrow(_reusing(cut), docs.schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import resource
 
 import numpy as np
 import pyarrow as pa
@@ -241,6 +242,39 @@ def test_windows_alike_against_brute_force(seed):
     assert sorted(got) == want
 
 
+def crowd(n, size, seed=31):
+    """Holders of one key, each near the others, with their tokens: as `_matches` takes them."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 30, size)
+    tokens = np.where(rng.random((n, size)) < 0.97, base, rng.integers(0, 1 << 30, (n, size))).astype("<u4").ravel()
+    w = np.zeros(n, passages._HOLDER)
+    w["doc"], w["row"], w["middle"], w["open"] = rng.permutation(n), np.arange(n), size // 2, True
+    w["left"], w["right"] = size // 2, size - size // 2 - 1
+    return w, np.zeros(n, np.int64), tokens, np.arange(n + 1) * size
+
+
+def test_a_window_stops_at_its_first_holder_however_few_pairs_are_held_at_once(monkeypatch):
+    whole = sorted(passages._matches(*crowd(150, 60)))
+    assert len({r[2] for r in whole}) == len(whole) > 100
+    monkeypatch.setattr(passages, "_EXPANDED", 1 << 11)
+    assert sorted(passages._matches(*crowd(150, 60))) == whole
+
+
+def test_steps_work_in_memory_that_the_worker_has():
+    rng = random.Random(32)
+    texts, faults = [corpus.sentence(rng, 40000).encode()], []
+
+    def step(table):
+        for _ in range(4):
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+            passages.Chunk(W.Texts.joined(texts), np.zeros(1, np.int64)).windows()
+            faults.append(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+        return table
+
+    passages._reusing(step)(None)
+    assert faults[-1] < 1000, faults
+
+
 def test_chunks_stay_the_same_when_plans_change(spark):
     docs = corpus.table(spark, corpus.documents(n=120))
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
