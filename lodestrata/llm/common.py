@@ -17,7 +17,7 @@ from ..sources.tables import checked, stow, table, workers_import
 
 #: Bytes of text that the array code works on at once; a longer single text is a chunk of its own.
 CHUNK_BYTES = 1 << 21
-#: Bytes of arrays that get a worker's own memory while it is reused, and most free bytes that stay at its end.
+#: Bytes of arrays that get a worker's own memory while it is reused, and most free bytes that then stay at its end.
 REUSED, KEPT = 8 << 20, 32 << 20
 
 
@@ -33,21 +33,18 @@ give_back()
 
 @contextlib.contextmanager
 def reused_memory() -> Iterator[None]:
-    """Meanwhile arrays of up to REUSED bytes get memory that the worker has in hand, as the pages of a new mapping cost more than the arithmetic on them; KEPT bytes of it may stay."""
-    with contextlib.suppress(OSError, AttributeError):
-        libc = ctypes.CDLL(None)
+    """Meanwhile arrays of up to REUSED bytes get memory that the worker has in hand, as the pages of a new mapping cost more than the arithmetic on them; afterwards all that is free goes, as workers outlive their tasks."""
+    libc = ctypes.CDLL(None)
+    with contextlib.suppress(AttributeError):
         libc.mallopt(-1, KEPT)  # M_TRIM_THRESHOLD
         libc.mallopt(-3, REUSED)
     try:
         yield
     finally:
         give_back()
-
-
-def hand_back() -> None:
-    """All free memory goes, as workers outlive their tasks."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
+        with contextlib.suppress(AttributeError):
+            libc.mallopt(-1, 1 << 17)  # as it is by default
+            libc.malloc_trim(0)
 
 
 def keyed_text(docs: DataFrame) -> DataFrame:
@@ -92,4 +89,4 @@ def empty_where_null(texts: pa.Array) -> pa.Array:
     return pa.compute.fill_null(texts, "")
 
 
-__all__ = ["checked", "column_of", "components", "empty_where_null", "filtered", "give_back", "hand_back", "keyed_text", "least_labels", "remainder_of_id", "reused_memory", "stow", "table", "text_chunks", "workers_import"]
+__all__ = ["checked", "column_of", "components", "empty_where_null", "filtered", "give_back", "keyed_text", "least_labels", "remainder_of_id", "reused_memory", "stow", "table", "text_chunks", "workers_import"]

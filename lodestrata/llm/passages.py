@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .chunks import LAST, bucket_count, bucket_of, chunk_table, each_row, marked, opened, slices, small_batches
-from .common import hand_back, reused_memory, stow
+from .common import reused_memory, stow
 
 SHINGLE, WORDS, SIMILARITY = 5, 50, 0.8
 #: Hash functions, and how many of them must meet.
@@ -60,7 +60,7 @@ CONTEXT = 2 * _TOKENS - 1
 #: Windows of one key that meet in one task; those of a key with more are dealt into blocks, and blocks meet in pairs.
 TILE = 4096
 #: Numbers that the array code expands at once, and tokens of windows that it compares at once.
-_EXPANDED, _AT_ONCE = 1 << 22, 1 << 20
+_EXPANDED, _AT_ONCE = 1 << 19, 1 << 18
 
 _HEAD = np.dtype([("doc", "<i8"), ("row", "<u4"), ("middle", "<u4"), ("left", "u1"), ("right", "u1"), ("function", "u1"), ("docs", "u1")])
 _PLACE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<u4"), ("middle", "<u4"), ("left", "u1"), ("right", "u1")])
@@ -160,7 +160,6 @@ class Chunk:
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     with reused_memory():
         yield from each_row(batches)
-    hand_back()
 
 
 def _reusing(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import resource
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -260,6 +261,16 @@ def test_a_window_stops_at_its_first_holder_however_few_pairs_are_held_at_once(m
     assert sorted(passages._matches(*crowd(150, 60))) == whole
 
 
+def test_memory_of_a_crowded_key():
+    held = crowd(900, 60)
+    tracemalloc.start()
+    try:
+        assert sum(1 for _ in passages._matches(*held)) > 800
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def test_steps_work_in_memory_that_the_worker_has():
     rng = random.Random(32)
     texts, faults = [corpus.sentence(rng, 40000).encode()], []
