@@ -90,29 +90,45 @@ def compact_windows(hashes: np.ndarray, at: np.ndarray, least: int, reach: int =
             width *= 2
         if width < least:
             held = np.minimum(held[: width - least], held[least - width :])
-        found.append(np.unique(held[s - low] & _MIDDLE).astype(np.int64) + low)
-    middle = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        found.append(np.flatnonzero(_marks((held[s - low] & _MIDDLE).astype(np.int64), len(part))) + low)  # in order, at less than a hash table's cost
+    middle = np.unique(np.concatenate(found)) if len(found) > 1 else found[0] if found else np.zeros(0, np.int64)
     tables = [hashes]
     while 1 << len(tables) <= reach + 1 and len(tables[-1]) > 1 << len(tables) - 1:
         half = 1 << len(tables) - 1
         tables.append(np.minimum(tables[-1][:-half], tables[-1][half:]))
     doc = np.searchsorted(at, middle, side="right") - 1
-    first_of, last_of, own = at[doc], at[doc + 1] - 1, hashes[middle]
-    left, right = middle.copy(), middle.copy()
+    first_of, last_of, own = np.maximum(at[doc], middle - reach), np.minimum(at[doc + 1] - 1, middle + reach), hashes[middle]
+    left, right = middle, middle
     for level in range(len(tables) - 1, -1, -1):
         step, table = 1 << level, tables[level]
         to = left - step
-        ok = (to >= first_of) & (middle - to <= reach)
-        ok[ok] = table[to[ok]] > own[ok]  # an equal token to the left has precedence
-        left[ok] = to[ok]
-        begin = right + 1
-        ok = (right + step <= last_of) & (right + step - middle <= reach)
-        ok[ok] = table[begin[ok]] >= own[ok]
-        right[ok] += step
+        ok = (to >= first_of) & (table[np.maximum(to, 0)] > own)  # an equal token to the left has precedence
+        left = np.where(ok, to, left)
+        to = right + step
+        ok = (to <= last_of) & (table[np.minimum(right + 1, len(table) - 1)] >= own)
+        right = np.where(ok, to, right)
     wide = right - left + 1 >= least
     return middle[wide], left[wide], right[wide]
 
 
+def _marks(values: np.ndarray, n: int) -> np.ndarray:
+    held = np.zeros(n, bool)
+    held[values] = True
+    return held
+
+
+def ordered(key: np.ndarray, *ties: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.lexsort((*ties, key)), and which places of it hold a key that stands there more than once; only those are sorted by ties."""
+    order = np.argsort(key)
+    k = key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = k[1:] == k[:-1]
+    shared = same[1:] | same[:-1]
+    among = np.sort(order[shared])
+    order[shared] = among[np.lexsort((*(x[among] for x in ties), key[among]))]
+    return order, shared
+
+
 def packed(rows: np.ndarray) -> bytes:
     """Byte by byte of all rows, as the high bytes of their numbers, mostly zero, compress well together."""
     return rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T.tobytes()
@@ -122,10 +138,23 @@ def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def _unpacked(parts: list[bytes], kind: np.dtype) -> np.ndarray:
+    """All parts, one after the other; np.concatenate of rows settles their type anew for each part."""
+    out = np.empty((sum(map(len, parts)) // kind.itemsize, kind.itemsize), np.uint8)
+    np.concatenate([np.zeros((kind.itemsize, 0), np.uint8), *(np.frombuffer(x, np.uint8).reshape(kind.itemsize, -1) for x in parts)], axis=1, out=out.T)
+    return out.view(kind).ravel()
+
+
 class Chunk:
-    """Shingles of a chunk's documents and its windows, one entry for each key (that of the smallest document)."""
+    """Shingles of a chunk's documents and its windows, one entry for each key (that of the smallest document).
+
+    rows: the documents whose shingles are needed, if not all; the others get none.
+    """
 
-    def __init__(self, texts: W.Texts, ids: np.ndarray):
+    def __init__(self, texts: W.Texts, ids: np.ndarray, rows: np.ndarray | None = None):
+        if rows is not None:
+            size, needed = np.diff(texts.at), _marks(rows, len(ids))
+            texts = W.Texts(texts.data[np.repeat(needed, size)], np.concatenate([[0], np.cumsum(size * needed)]))
         self.texts, self.ids = texts, ids
         self.starts, self.ends, self.word_at = texts.words()
         words = W.span_hashes(texts.prefix_hashes(), self.starts, self.ends)
@@ -143,7 +172,7 @@ class Chunk:
         key, self.function, self.middle, self.left, self.right = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.row = np.searchsorted(self.at, self.middle, side="right") - 1
         self.doc = self.ids[self.row] if len(self.ids) else np.zeros(0, np.int64)
-        order = np.lexsort((self.middle, self.doc, key))
+        order, _ = ordered(key, self.middle, self.doc)
         k, d = key[order], self.doc[order]
         fresh = np.concatenate([[True], k[1:] != k[:-1]]) if len(key) else np.zeros(0, bool)
         self.key, self.lead = k[fresh], order[fresh]
@@ -198,10 +227,13 @@ def _pairs(table: pa.Table) -> pa.Table:
     """
     rows = table.to_pydict()
     key = np.concatenate([np.frombuffer(x, "<u4") for x in rows["keys"]])
-    head = np.concatenate([unpacked(x, _HEAD) for x in rows["heads"]])
+    head = _unpacked(rows["heads"], _HEAD)
     ends = np.cumsum([0, *rows["n"]])
     of = np.repeat(np.arange(len(rows["n"])), rows["n"])
-    order = np.lexsort((np.array(rows["chunk"])[of], head["doc"], head["function"], key))
+    order, shared = ordered(key, np.array(rows["chunk"])[of], head["doc"], head["function"])
+    order = order[shared | (head["docs"][order] > 2)]  # others have no partner
+    if not len(order):
+        return _table([], ["chunk", "bucket", "pairs", "crowded"], pa.int64(), pa.int64(), pa.binary(), pa.binary())
     k, d, f = key[order], head["doc"][order], head["function"][order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (f[1:] != f[:-1])])
     least = np.flatnonzero(new)[np.cumsum(new) - 1]
@@ -262,12 +294,12 @@ def _asks(coded: DataFrame) -> DataFrame:
             c.windows()
             keyed = bucket_of(c.key, r["buckets"])
             begin = {b: i for b, i, _ in slices(keyed)}
-            got = [(x["bucket"], unpacked(x["pairs"], _PAIR)) for x in r["answers"] or []]
-            pair = np.concatenate([np.zeros(0, _PAIR), *(p for _, p in got)])
-            entry = np.concatenate([np.zeros(0, np.int64), *(p["entry"].astype(np.int64) + begin[b] for b, p in got)])
+            answers = r["answers"] or []
+            first = np.array([begin[x["bucket"]] for x in answers], np.int64)
+            pair = _unpacked([x["pairs"] for x in answers], _PAIR)
+            entry = pair["entry"] + np.repeat(first, [len(x["pairs"]) // _PAIR.itemsize for x in answers])
             many = np.zeros(len(c.key), bool)
-            for x in r["answers"] or []:
-                many[np.frombuffer(x["crowded"], "<u4").astype(np.int64) + begin[x["bucket"]]] = True
+            many[np.frombuffer(b"".join(x["crowded"] for x in answers), "<u4") + np.repeat(first, [len(x["crowded"]) // 4 for x in answers])] = True
             held = np.flatnonzero(many[c.entry])
             places = np.empty(len(held), _PLACE)
             for name, values in (("key", c.key[c.entry]), ("doc", c.doc), ("row", c.row), ("middle", c.middle - c.at[c.row]), ("left", c.middle - c.left), ("right", c.right - c.middle)):
@@ -359,10 +391,11 @@ def agreeing(tokens: np.ndarray, earlier: np.ndarray) -> list[tuple[int, int, fl
 def _verified(table: pa.Table) -> pa.Table:
     """chunk, row, doc_id, start, n_words, source_id, similarity: passages of later documents, from one part of the asks for a chunk."""
     (r,) = table.to_pylist()
-    c = Chunk(*opened(r["ids"], r["sizes"], r["body"]))
+    asks = [np.frombuffer(x["ask"], _ASK) for x in r["asks"]]
+    c = Chunk(*opened(r["ids"], r["sizes"], r["body"]), np.concatenate([ask["their_row"] for ask in asks]))
     low, out = c.shingles.astype(np.uint32), []
-    for x in r["asks"]:
-        ask, tokens = np.frombuffer(x["ask"], _ASK), np.frombuffer(x["tokens"], "<u4")
+    for ask, x in zip(asks, r["asks"], strict=True):
+        tokens = np.frombuffer(x["tokens"], "<u4")
         ends = np.cumsum(ask["size"])
         for a, end in zip(ask, ends.tolist(), strict=True):
             first, last = int(c.at[a["their_row"]]), int(c.at[a["their_row"] + 1])
@@ -409,9 +442,8 @@ def _states(crowded: DataFrame, buckets: int) -> DataFrame:
 def _wanted(table: pa.Table, tile: int) -> pa.Table:
     """chunk, wanted: open windows that a smaller document's may answer, and those that may answer them; copies of an earlier text can't add to it."""
     rows = table.to_pydict()
-    held = [unpacked(x, _STATE) for x in rows["states"]]
-    state = np.concatenate(held)
-    of = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    state = _unpacked(rows["states"], _STATE)
+    of = np.repeat(np.arange(len(rows["states"])), [len(x) // _STATE.itemsize for x in rows["states"]])
     _, group = np.unique(state["key"], return_inverse=True)
     answers = ~state["copy"]
     least, most = np.full(group.max() + 1, LAST), np.full(group.max() + 1, np.iinfo(np.int64).min)
@@ -436,9 +468,9 @@ def _holders(coded: DataFrame, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in _each(batches):
-            c = Chunk(*opened(r["ids"], r["sizes"], r["body"]))
-            wanted = np.concatenate([unpacked(x, _WANTED) for x in r["wanted"]])
+            wanted = _unpacked(r["wanted"], _WANTED)
             places = unpacked(r["places"], _PLACE)[wanted["at"]]
+            c = Chunk(*opened(r["ids"], r["sizes"], r["body"]), places["row"])
             blocks = wanted["blocks"].astype(np.int64)
             own = (W.mix(places["doc"].astype(np.uint64) * np.uint64(CONTEXT) + places["middle"]) % blocks.astype(np.uint64)).astype(np.int64)
             at, other = np.repeat(np.arange(len(places)), blocks), _expanded(np.zeros(len(places), np.int64), blocks)
@@ -527,9 +559,8 @@ def _dense(hit: np.ndarray, middle: np.ndarray) -> np.ndarray:
 def _met(table: pa.Table) -> pa.Table:
     """chunk, row, doc_id, start, n_words, source_id, similarity: passages of open windows; each goes through its key's smaller documents until one holds its middle's passage."""
     rows = table.to_pydict()
-    held = [unpacked(x, _HOLDER) for x in rows["holders"]]
-    of = np.repeat(np.arange(len(held)), [len(x) for x in held])
-    w = np.concatenate(held)
+    w = _unpacked(rows["holders"], _HOLDER)
+    of = np.repeat(np.arange(len(rows["holders"])), [len(x) // _HOLDER.itemsize for x in rows["holders"]])
     chunk = np.array(rows["chunk"], np.int64)[of]
     tokens = np.concatenate([np.frombuffer(x, "<u4") for x in rows["tokens"]])
     size = w["left"].astype(np.int64) + w["right"] + 1

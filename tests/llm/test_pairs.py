@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -286,6 +287,44 @@ def test_steps_work_in_memory_that_the_worker_has():
     assert faults[-1] < 1000, faults
 
 
+def test_only_shared_keys_are_sorted_by_their_ties(monkeypatch):
+    rng, sizes, lexsort = np.random.default_rng(33), [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sizes.append(len(keys[0])) or lexsort(keys))
+    c = passages.Chunk(W.Texts.joined([corpus.sentence(random.Random(k % 9), 400).encode() for k in range(10)]), np.arange(10)[::-1])
+    c.windows()
+    assert c.docs.max() == 2 and 0 < sum(sizes) < 0.5 * len(c.entry)
+    head = np.zeros(3000, passages._HEAD)
+    head["doc"], head["function"], head["docs"] = rng.integers(0, 50, 3000), rng.integers(0, 5, 3000), 1
+    key = np.where(rng.random(3000) < 0.9, rng.permutation(3000) + 100, rng.integers(0, 100, 3000)).astype("<u4")
+    sizes.clear()
+    passages._pairs(pa.table({"bucket": [0], "chunk": [5], "n": [3000], "keys": [key.tobytes()], "heads": [passages.packed(head)]}))
+    assert 0 < sum(sizes) < 1000
+    order, shared = passages.ordered(key, head["doc"], head["function"])
+    assert order.tolist() == lexsort((head["doc"], head["function"], key)).tolist()
+    assert shared.tolist() == (np.unique(key, return_counts=True)[1][np.unique(key, return_inverse=True)[1]] > 1)[order].tolist()
+
+
+def test_texts_that_none_asks_for_are_not_hashed(monkeypatch):
+    rng, hashed, prefix_hashes = random.Random(34), [], W.Texts.prefix_hashes
+    texts = [corpus.sentence(rng, 80).encode() for _ in range(40)]
+    c = passages.Chunk(W.Texts.joined(texts), np.arange(40))
+    tokens = c.shingles[c.at[7] : c.at[8]].astype("<u4")
+    ask = np.array([(3, 90, 2, 0, len(tokens), 7, 0, len(tokens))], passages._ASK)
+    monkeypatch.setattr(W.Texts, "prefix_hashes", lambda self: hashed.append(len(self.data)) or prefix_hashes(self))
+    row = {"ids": list(range(40)), "sizes": [len(t) for t in texts], "body": zstandard.ZstdCompressor().compress(b"".join(texts)), "asks": [{"ask": ask.tobytes(), "tokens": tokens.tobytes()}]}
+    (found,) = passages._verified(pa.Table.from_pylist([row])).to_pylist()
+    assert (found["doc_id"], found["start"], found["n_words"], found["source_id"]) == (90, 0, len(tokens) + 4, 7)
+    assert hashed == [len(texts[7])]
+
+
+def test_rows_of_many_parts_are_joined():
+    rows = np.zeros(7, passages._HOLDER)
+    rows["key"], rows["doc"], rows["side"] = np.arange(7) << 40, -np.arange(7), np.arange(7) % 3
+    got = passages._unpacked([passages.packed(rows[i:j]) for i, j in ((0, 3), (3, 3), (3, 7))], passages._HOLDER)
+    assert got.dtype == rows.dtype and got.tolist() == rows.tolist()
+    assert passages._unpacked([], passages._HOLDER).tolist() == []
+
+
 def test_chunks_stay_the_same_when_plans_change(spark):
     docs = corpus.table(spark, corpus.documents(n=120))
     held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
